@@ -1,0 +1,166 @@
+"""Ordered windows over groups of any size.
+
+``Window.partitionBy(key)`` sorts a whole group inside one task. That is the right plan while
+groups stay small, and only then. ``ordered`` checks the group sizes first. Rows of groups over
+the limit take another way: they are range-partitioned by key and order, so that a large group
+spreads over many tasks; windows run inside each (key, block), and the values that cross a block
+border (last row, row count, running total) are carried over from a table with at most one row
+per hot key plus one per block.
+"""
+
+from __future__ import annotations
+
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from evidora.session import written
+
+GROUP_ROWS = 1_000_000
+_BLOCK = "__block"
+_FIRST, _LAST, _ROWS, _OFFSET, _AT = "__first", "__last", "__rows", "__offset", "__at"
+
+
+def _same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
+    return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
+
+
+def large_groups(df: DataFrame, keys: list[str], group_rows: int) -> DataFrame:
+    """Keys of groups over the limit: at most ``rows / group_rows`` of them."""
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias(_ROWS))
+        .filter(F.col(_ROWS) > group_rows)
+    )
+
+
+def ordered(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    *,
+    descending: bool = False,
+    index: str | None = None,
+    lags: dict[str, str] | None = None,
+    leads: dict[str, str] | None = None,
+    derive: dict[str, Column] | None = None,
+    sums: dict[str, str] | None = None,
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """Add window columns over ``keys`` ordered by ``order``, which must be unique within a key.
+
+    index    name of a 1-based position column
+    lags     new column -> column taken from the row before
+    leads    new column -> column taken from the row after
+    derive   new column -> expression that may use the columns above
+    sums     new column -> column (may be a derived one) for an inclusive running sum
+    """
+    lags, leads, derive, sums = lags or {}, leads or {}, derive or {}, sums or {}
+    hot = written(large_groups(df, keys, group_rows), "hot-groups")
+    hot_rows = hot.agg(F.sum(_ROWS)).first()[0]
+    if not hot_rows:
+        return _in_one_task(df, keys, order, descending, index, lags, leads, derive, sums)
+
+    marked = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys])
+    match = _same(df, marked, [(k, f"__hot_{k}") for k in keys])
+    # The hot list is bounded by rows / group_rows, so the broadcast cannot grow past it.
+    cold = df.join(F.broadcast(marked), match, "left_anti")
+    large = df.join(F.broadcast(marked), match, "left_semi")
+    blocks = max(2, math.ceil(2 * hot_rows / group_rows))
+    return _in_one_task(cold, keys, order, descending, index, lags, leads, derive, sums).unionByName(
+        _in_blocks(large, keys, order, descending, index, lags, leads, derive, sums, blocks)
+    )
+
+
+def _sorting(order: list[str], descending: bool) -> list[Column]:
+    return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+
+
+def _in_one_task(df, keys, order, descending, index, lags, leads, derive, sums) -> DataFrame:
+    by_order = Window.partitionBy(*keys).orderBy(*_sorting(order, descending))
+    added = {}
+    if index:
+        added[index] = F.row_number().over(by_order)
+    added |= {name: F.lag(column).over(by_order) for name, column in lags.items()}
+    added |= {name: F.lead(column).over(by_order) for name, column in leads.items()}
+    out = df.withColumns(added) if added else df
+    if derive:
+        out = out.withColumns(derive)
+    running = by_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if sums:
+        out = out.withColumns({name: F.sum(column).over(running) for name, column in sums.items()})
+    return out
+
+
+def _in_blocks(df, keys, order, descending, index, lags, leads, derive, sums, blocks) -> DataFrame:
+    # Range bounds are sampled, so the block ids are fixed by writing them down once.
+    placed = written(
+        df.repartitionByRange(blocks, *[F.col(k) for k in keys], *_sorting(order, descending)).withColumn(
+            _BLOCK, F.spark_partition_id()
+        ),
+        "ordered-blocks",
+    )
+    group = [*keys, _BLOCK]
+    inside = Window.partitionBy(*group).orderBy(*_sorting(order, descending))
+    across = Window.partitionBy(*keys).orderBy(_BLOCK)
+    at = F.struct(*[F.col(c) for c in order])
+    carried = sorted({*lags.values(), *leads.values()})
+    row = F.struct(*[F.col(c) for c in carried]) if carried else F.struct(F.lit(1).alias("none"))
+    first_of, last_of = (F.max_by, F.min_by) if descending else (F.min_by, F.max_by)
+
+    edges = (
+        placed.groupBy(*group)
+        .agg(
+            F.count(F.lit(1)).alias(_ROWS),
+            first_of(row, at).alias(_FIRST),
+            last_of(row, at).alias(_LAST),
+        )
+        .select(
+            *[F.col(c).alias(f"__edge_{c}") for c in group],
+            _ROWS,
+            (F.sum(_ROWS).over(across) - F.col(_ROWS)).alias(_OFFSET),
+            F.lag(_LAST).over(across).alias(_LAST),
+            F.lead(_FIRST).over(across).alias(_FIRST),
+        )
+    )
+    out = placed.withColumn(_AT, F.row_number().over(inside))
+    out = out.withColumns(
+        {f"__in_{n}": F.lag(c).over(inside) for n, c in lags.items()}
+        | {f"__in_{n}": F.lead(c).over(inside) for n, c in leads.items()}
+    ) if lags or leads else out
+    out = out.join(F.broadcast(edges), _same(out, edges, [(c, f"__edge_{c}") for c in group]), "left")
+    added = {n: F.when(F.col(_AT) == 1, F.col(_LAST)[c]).otherwise(F.col(f"__in_{n}")) for n, c in lags.items()}
+    added |= {
+        n: F.when(F.col(_AT) == F.col(_ROWS), F.col(_FIRST)[c]).otherwise(F.col(f"__in_{n}"))
+        for n, c in leads.items()
+    }
+    if index:
+        added[index] = (F.col(_AT) + F.col(_OFFSET)).cast("int")
+    if added:
+        out = out.withColumns(added)
+    if derive:
+        out = out.withColumns(derive)
+    keep = [*df.columns, _BLOCK, *added, *derive]
+    out = out.select(*keep)
+
+    if sums:
+        totals = out.groupBy(*group).agg(*[F.sum(c).alias(f"__sum_{n}") for n, c in sums.items()])
+        before = across.rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select(
+            *[F.col(c).alias(f"__edge_{c}") for c in group],
+            *[F.sum(f"__sum_{n}").over(before).alias(f"__before_{n}") for n in sums],
+        )
+        running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumns({f"__run_{n}": F.sum(c).over(running) for n, c in sums.items()})
+        out = out.join(F.broadcast(totals), _same(out, totals, [(c, f"__edge_{c}") for c in group]), "left")
+        out = out.withColumns(
+            {
+                n: F.when(F.col(f"__before_{n}").isNull(), F.col(f"__run_{n}")).otherwise(
+                    F.col(f"__before_{n}") + F.coalesce(F.col(f"__run_{n}"), F.lit(0))
+                )
+                for n in sums
+            }
+        )
+    return out.select(*df.columns, *added, *derive, *sums)
