@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from evidora import constants as K
 
-_EDGE_SPACE = r"(?U)^[\s﻿]+|[\s﻿]+$"
+# White space and line ends that trimming removes, byte-order mark included.
+_SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_EDGE_SPACE = f"^{_SPACE}+|{_SPACE}+\\z"
 
 
 def fold(text: Column) -> Column:

@@ -39,12 +39,12 @@ def phrase_hits(text: Column, phrases: list[str]) -> Column:
     return total
 
 
-def refuses(text: Column) -> Column:
-    return contains_any(fold(text), K.REFUSAL_PHRASES)
+def refuses(text: Column, phrases: list[str] = K.REFUSAL_PHRASES) -> Column:
+    return contains_any(fold(text), phrases)
 
 
-def overcertain(text: Column) -> Column:
-    return phrase_hits(text, K.OVERCERTAIN_PHRASES)
+def overcertain(text: Column, phrases: list[str] = K.OVERCERTAIN_PHRASES) -> Column:
+    return phrase_hits(text, phrases)
 
 
 def flag_agreement(df: DataFrame, refused: Column, flagged: Column) -> DataFrame:

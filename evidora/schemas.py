@@ -4,102 +4,113 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+TEXTS = T.ArrayType(T.StringType())
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+
+def _fields(names: str, kind: str | T.DataType = "string") -> list[tuple[str, str | T.DataType]]:
+    return [(name, kind) for name in names.split()]
+
+
+def _struct(*groups: list[tuple[str, str | T.DataType]]) -> T.StructType:
+    out = T.StructType()
+    for group in groups:
+        for name, kind in group:
+            out = out.add(name, kind)
+    return out
 
 
 CITATION = _struct(
-    "id string, source string, section string, page string, quote string, "
-    "relevance_score double, strength string"
+    _fields("id source section page quote"), _fields("relevance_score", "double"), _fields("strength")
 )
 
 METRICS = _struct(
-    "precision_at_k double, faithfulness_score double, retrieval_latency_ms bigint, "
-    "generation_latency_ms bigint, total_latency_ms bigint, tokens_used bigint, "
-    "embedding_model string, llm_model string"
+    _fields("precision_at_k faithfulness_score", "double"),
+    _fields("retrieval_latency_ms generation_latency_ms total_latency_ms tokens_used", "long"),
+    _fields("embedding_model llm_model"),
 )
 
 TRANSLATION = _struct(
-    "original_query string, detected_lang string, translated_query string, "
-    "translation_model string, latency_ms bigint"
+    _fields("original_query detected_lang translated_query translation_model"), _fields("latency_ms", "long")
 )
 
-COMPARISON = _struct("who_stance string, nice_stance string, consensus string")
+COMPARISON = _struct(_fields("who_stance nice_stance consensus"))
 
 RETRIEVED_CHUNK = _struct(
-    "id string, title string, content string, source string, section string, page string, "
-    "similarity_score double, recommendation_strength string"
+    _fields("id title content source section page"),
+    _fields("similarity_score", "double"),
+    _fields("recommendation_strength"),
 )
 
 CHUNK = _struct(
-    "id string, route string, ord int, title string, content string, source string, section string, "
-    "page string, similarity_score double, recommendation_strength string, embedding array<float>"
+    _fields("id route"),
+    _fields("ord", "integer"),
+    _fields("title content source section page"),
+    _fields("similarity_score", "double"),
+    _fields("recommendation_strength"),
+    _fields("embedding", T.ArrayType(T.FloatType())),
 )
 
-MESSAGE = (
-    T.StructType()
-    .add("id", "string")
-    .add("role", "string")
-    .add("content", "string")
-    .add("timestamp", "long")
-    .add("citations", T.ArrayType(CITATION))
-    .add("metrics", METRICS)
-    .add("retrieved_chunks", T.ArrayType(RETRIEVED_CHUNK))
-    .add("translation", TRANSLATION)
-    .add("confidence_score", "double")
-    .add("is_insufficient_evidence", "boolean")
-    .add("comparison", COMPARISON)
+MESSAGE = _struct(
+    _fields("id role content"),
+    _fields("timestamp", "long"),
+    _fields("citations", T.ArrayType(CITATION)),
+    _fields("metrics", METRICS),
+    _fields("retrieved_chunks", T.ArrayType(RETRIEVED_CHUNK)),
+    _fields("translation", TRANSLATION),
+    _fields("confidence_score", "double"),
+    _fields("is_insufficient_evidence", "boolean"),
+    _fields("comparison", COMPARISON),
 )
 
-SESSION = (
-    T.StructType()
-    .add("id", "string")
-    .add("title", "string")
-    .add("created_at", "long")
-    .add("updated_at", "long")
-    .add("messages", T.ArrayType(MESSAGE))
-    .add("pinned", "boolean")
+SESSION = _struct(
+    _fields("id title"),
+    _fields("created_at updated_at", "long"),
+    _fields("messages", T.ArrayType(MESSAGE)),
+    _fields("pinned", "boolean"),
 )
 
-RULE = _struct("priority int, route string, keyword string")
+RULE = _struct(_fields("priority", "integer"), _fields("route keyword"))
 
-QUESTION = _struct(
-    "id string, category string, question_ar string, question_en string, primary_guideline string"
-)
+QUESTION = _struct(_fields("id category question_ar question_en primary_guideline"))
 
 GUIDELINE = _struct(
-    "id string, name string, code string, organization string, year int, title string, url string, "
-    "scope string, total_chunks_count int, last_updated string"
+    _fields("id name code organization"),
+    _fields("year", "integer"),
+    _fields("title url scope"),
+    _fields("total_chunks_count", "integer"),
+    _fields("last_updated"),
 )
 
-CRITERION = _struct(
-    "id string, max_points int, checks array<string>, checks_ar array<string>"
-)
+CRITERION = _struct(_fields("id"), _fields("max_points", "integer"), _fields("checks checks_ar", TEXTS))
 
 MODEL = _struct(
-    "id string, name string, provider string, context_window int, badge string, "
-    "is_default boolean, recommended_for string"
+    _fields("id name provider"),
+    _fields("context_window", "integer"),
+    _fields("badge"),
+    _fields("is_default", "boolean"),
+    _fields("recommended_for"),
 )
 
-SETTING = _struct("user_id string, key string, value string")
+SETTING = _struct(_fields("user_id key value"))
 
 PROFILE = _struct(
-    "id string, email string, full_name string, avatar_url string, clinical_role string, "
-    "created_at timestamp, updated_at timestamp"
+    _fields("id email full_name avatar_url clinical_role"), _fields("created_at updated_at", "timestamp")
 )
 
 CHAT_SESSION = _struct(
-    "id string, user_id string, title string, pinned boolean, created_at timestamp, updated_at timestamp"
+    _fields("id user_id title"), _fields("pinned", "boolean"), _fields("created_at updated_at", "timestamp")
 )
 
 CHAT_MESSAGE = _struct(
-    "id string, session_id string, user_id string, role string, content string, citations string, "
-    "retrieved_chunks string, translation string, metrics string, confidence_score decimal(4,2), "
-    "is_insufficient_evidence boolean, guideline_comparison string, created_at timestamp"
+    _fields("id session_id user_id role content citations retrieved_chunks translation metrics"),
+    _fields("confidence_score", T.DecimalType(4, 2)),
+    _fields("is_insufficient_evidence", "boolean"),
+    _fields("guideline_comparison"),
+    _fields("created_at", "timestamp"),
 )
 
 API_RESPONSE = _struct(
-    "model string, choices array<struct<message: struct<role: string, content: string>>>, "
-    "usage struct<prompt_tokens: bigint, completion_tokens: bigint, total_tokens: bigint>"
+    _fields("model"),
+    _fields("choices", T.ArrayType(_struct(_fields("message", _struct(_fields("role content")))))),
+    _fields("usage", _struct(_fields("prompt_tokens completion_tokens total_tokens", "long"))),
 )
