@@ -1,6 +1,6 @@
 """Queries over the given tables."""
 
-from evidora.catalog import aggregates, lookups, projections, tables  # noqa: F401
+from evidora.catalog import aggregates, lookups, projections, tables, texts  # noqa: F401
 from evidora.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -414,7 +414,7 @@ def _(t):
     "c4_new_profiles",
     f"""SELECT c_custkey AS id, coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, split_part(c_name, '#', 1)) AS full_name,
         'Clinician' AS clinical_role, epoch_us(TIMESTAMP '{BATCH_TIME}') // 1000 AS created_ms FROM customer
-        WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+        WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
 )
 def _(t):
     users = t.customer.select(
@@ -422,7 +422,7 @@ def _(t):
         F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("full_name"),
         F.lit(None).cast("string").alias("avatar_url"),
     )
-    known = t.orders.select(F.col("o_custkey").alias("id"))
+    known = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id"))
     made = new_profiles(users, known, F.lit(BATCH_TIME).cast("timestamp"), delimiter="#")
     return made.select("id", "full_name", "clinical_role", F.unix_millis("created_at").alias("created_ms"))
 
