@@ -1,6 +1,8 @@
 """Queries over the given tables."""
 
-from evidora.catalog import aggregates, lookups, projections, tables, texts  # noqa: F401
+from evidora.catalog import (  # noqa: F401
+    aggregates, composites, lookups, projections, streams, tables, texts,
+)
 from evidora.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

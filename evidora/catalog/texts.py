@@ -19,7 +19,7 @@ from evidora.operators.audit import (
 )
 from evidora.operators.integrity import domain_violations
 from evidora.operators.markdown import (
-    chunk_by_section, headings_of, inline_spans, lines_of, marker_free, tables_of,
+    chunk_by_section, headings_of, inline_spans, lines_of, tables_of,
 )
 
 
@@ -97,9 +97,7 @@ def _(t):
 )
 def _(t):
     lines = lines_of(part_pages(t), "text", "p_partkey")
-    return lines.select(
-        "p_partkey", F.col("line_no").cast("bigint").alias("line_no"), marker_free(F.col("line")).alias("content")
-    )
+    return lines.select("p_partkey", F.col("line_no").cast("bigint").alias("line_no"), "content")
 
 
 @query(

@@ -26,8 +26,8 @@ def cited(df: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def invented(citations: DataFrame, retrieved: DataFrame, on: list[str]) -> DataFrame:
-    """Citations that match no retrieved chunk."""
-    return citations.join(retrieved.select(*on), on, "left_anti")
+    """Citations that match no retrieved chunk; repeated chunks are folded before the join."""
+    return citations.join(retrieved.select(*on).distinct(), on, "left_anti")
 
 
 def phrase_hits(text: Column, phrases: list[str]) -> Column:

@@ -9,6 +9,7 @@ from evidora import constants as K
 from evidora.functions.payloads import citation
 from evidora.functions.scores import insufficient, mean_in_order, round_half_up
 from evidora.functions.text import evidence_block
+from evidora.operators.markdown import once
 from evidora.operators.ranking import top_k_per_group
 
 
@@ -86,14 +87,15 @@ def evidence_per_route(
 
 def within_budget(df: DataFrame, chunks: str, text: str, budget: Column, tokens) -> DataFrame:
     """Longest prefix of a ranked list whose running token sum fits the budget."""
+    def running_sums(sizes: Column) -> Column:
+        return F.transform(
+            sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x)
+        )
+
     sizes = F.transform(F.col(chunks), lambda c: tokens(c[text]))
-    running = F.transform(
-        F.sequence(F.lit(1), F.size(sizes)),
-        lambda n: F.aggregate(F.slice(sizes, F.lit(1), n), F.lit(0).cast("bigint"), lambda a, x: a + x),
-    )
-    running = F.when(F.size(sizes) > 0, running).otherwise(F.array().cast("array<bigint>"))
+    fitting = F.filter("running_tokens", lambda t: t <= budget)
     return (
-        df.withColumn("running_tokens", running)
-        .withColumn("chunks_used", F.size(F.filter("running_tokens", lambda t: t <= budget)))
-        .withColumn("tokens_used", F.coalesce(F.array_max(F.filter("running_tokens", lambda t: t <= budget)), F.lit(0)))
+        df.withColumn("running_tokens", once(sizes, running_sums))
+        .withColumn("chunks_used", F.size(fitting))
+        .withColumn("tokens_used", F.coalesce(F.array_max(fitting), F.lit(0)))
     )

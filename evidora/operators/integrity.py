@@ -13,7 +13,7 @@ def owned_by(df: DataFrame, owner: str, user: Column) -> DataFrame:
 
 def owned_by_any(df: DataFrame, owner: str, grants: DataFrame, user: str) -> DataFrame:
     """Rows whose owner appears in a grants table."""
-    return df.join(grants.select(F.col(user).alias(owner)), owner, "left_semi")
+    return df.join(grants.select(F.col(user).alias(owner)).distinct(), owner, "left_semi")
 
 
 def check_writes(rows: DataFrame, owner: str, actor: str) -> DataFrame:
@@ -35,7 +35,7 @@ def delete_by_id(df: DataFrame, key: str, value: Column) -> DataFrame:
 
 
 def delete_by_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    return df.join(ids.select(key), key, "left_anti")
+    return df.join(ids.select(key).distinct(), key, "left_anti")
 
 
 def cascade(doomed: DataFrame, parent_key: str, children: DataFrame, child_key: str) -> tuple[DataFrame, DataFrame]:

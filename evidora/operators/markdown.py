@@ -10,13 +10,22 @@ from evidora.functions.text import trim_all
 HEADING = "^#{2,3} "
 
 
-def line_kind(line: Column) -> Column:
+def once(value: Column, use) -> Column:
+    """Evaluate a value once and use it many times, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _is_table(trimmed: Column) -> Column:
+    return trimmed.startswith("|") & trimmed.endswith("|")
+
+
+def line_kind(line: Column, trimmed: Column | None = None) -> Column:
     """Kind of a line; the first rule that holds decides."""
-    t = trim_all(line)
+    t = trim_all(line) if trimmed is None else trimmed
     inner = F.substring(t, F.lit(3), F.greatest(F.length(t) - 4, F.lit(0)))
     return (
         F.when(t.isin("---", "***", "___"), "rule")
-        .when(is_table_line(line), "table")
+        .when(_is_table(t), "table")
         .when(line.rlike(HEADING), "heading")
         .when(t.startswith("**") & t.endswith("**") & ~inner.contains("**"), "bold_title")
         .when(t.startswith("- ") | t.startswith("• "), "bullet")
@@ -26,59 +35,65 @@ def line_kind(line: Column) -> Column:
     )
 
 
-def is_table_line(line: Column) -> Column:
-    t = trim_all(line)
-    return t.startswith("|") & t.endswith("|")
+def marker_free(line: Column, trimmed: Column, kind: Column) -> Column:
+    """Text of a heading, bold title or list line without its marker."""
+    return (
+        F.when(kind == "heading", F.regexp_replace(line, r"^#+\s*", ""))
+        .when(kind == "bold_title", F.regexp_replace(trimmed, r"\*\*", ""))
+        .when(kind == "bullet", F.regexp_replace(trimmed, r"^[-•]\s*", ""))
+        .when(kind == "ordered", F.regexp_replace(trimmed, r"^[0-9]+\.\s*", ""))
+        .otherwise(line)
+    )
 
 
 def lines_of(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """One row per line with its 1-based number and kind."""
-    return df.select(*keys, F.posexplode(F.split(text, "\n")).alias("at", "line")).select(
-        *keys, (F.col("at") + 1).alias("line_no"), "line", line_kind(F.col("line")).alias("kind")
+    """One row per line: its 1-based number, kind, and text without markers."""
+    split = df.select(*keys, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    trimmed = split.withColumn("trimmed", trim_all(F.col("line")))
+    kinds = trimmed.withColumn("kind", line_kind(F.col("line"), F.col("trimmed")))
+    return kinds.select(
+        *keys, (F.col("at") + 1).alias("line_no"), "line", "kind",
+        marker_free(F.col("line"), F.col("trimmed"), F.col("kind")).alias("content"),
     )
 
 
-def marker_free(line: Column) -> Column:
-    """Text of a heading, bold title or list line without its marker."""
-    t = trim_all(line)
-    kind = line_kind(line)
-    return (
-        F.when(kind == "heading", F.regexp_replace(line, r"^#+\s*", ""))
-        .when(kind == "bold_title", F.regexp_replace(t, r"\*\*", ""))
-        .when(kind == "bullet", F.regexp_replace(t, r"^[-•]\s*", ""))
-        .when(kind == "ordered", F.regexp_replace(t, r"^[0-9]+\.\s*", ""))
-        .otherwise(line)
+def _cells(trimmed: Column) -> Column:
+    return once(
+        F.split(trimmed, "[|]"),
+        lambda parts: F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), trim_all),
     )
 
 
-def _cells(line: Column) -> Column:
-    parts = F.split(trim_all(line), "[|]")
-    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), trim_all)
+def _table(lines: Column, first: Column, last: Column) -> Column:
+    def from_rows(rows: Column) -> Column:
+        body = F.filter(
+            F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))),
+            lambda r: ~F.forall(r, lambda c: c.contains("---") | (c == "")),
+        )
+        return F.struct((first + 1).alias("first_line"), F.get(rows, F.lit(0)).alias("header"), body.alias("body"))
+
+    return once(F.transform(F.slice(lines, first + 1, last - first + 1), _cells), from_rows)
 
 
 def tables_of(text: Column) -> Column:
     """Array of tables (first_line, header, body) in a text.
 
     A table is a run of neighbouring table lines. Runs are found from their first and last lines,
-    which pair up in order, so one pass over the line array is enough.
+    which pair up in order, so the work is linear in the number of lines.
     """
-    lines = F.split(text, "\n")
-    flags = F.transform(lines, is_table_line)
-    last = F.size(lines) - 1
-    positions = F.sequence(F.lit(0), last)
-    starts = F.filter(positions, lambda i: F.get(flags, i) & ~F.coalesce(F.get(flags, i - 1), F.lit(False)))
-    ends = F.filter(positions, lambda i: F.get(flags, i) & ~F.coalesce(F.get(flags, i + 1), F.lit(False)))
-    spans = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
-
-    def table(span: Column) -> Column:
-        rows = F.transform(F.slice(lines, span["s"] + 1, span["e"] - span["s"] + 1), _cells)
-        body = F.filter(
-            F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))),
-            lambda r: ~F.forall(r, lambda c: c.contains("---") | (c == "")),
-        )
-        return F.struct((span["s"] + 1).alias("first_line"), F.get(rows, F.lit(0)).alias("header"), body.alias("body"))
 
-    return F.transform(spans, table)
+    def from_lines(lines: Column) -> Column:
+        return once(F.transform(lines, _is_table), lambda flags: from_flags(lines, flags))
+
+    def from_flags(lines: Column, flags: Column) -> Column:
+        no = F.lit(False)
+        positions = F.sequence(F.lit(0), F.size(flags) - 1)
+        starts = F.filter(positions, lambda i: F.get(flags, i) & ~F.coalesce(F.get(flags, i - 1), no))
+        ends = F.filter(positions, lambda i: F.get(flags, i) & ~F.coalesce(F.get(flags, i + 1), no))
+        spans = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+        return F.transform(spans, lambda span: _table(lines, span["s"], span["e"]))
+
+    return once(F.transform(F.split(text, "\n"), trim_all), from_lines)
 
 
 def inline_spans(text: Column) -> Column:
