@@ -36,7 +36,7 @@ def ranked_documents(t, k: int = 4):
         (F.col("n_chars") / (F.col("n_chars") + F.lit(1000.0))).alias("similarity_score"),
         F.when(F.col("lang") == "fr", "Conditional").alias("recommendation_strength"),
     )
-    return top_k_per_group(chunks, ["source"], [F.col("similarity_score").desc(), F.col("ord")], k)
+    return top_k_per_group(chunks, ["source"], [F.col("similarity_score").desc(), F.col("ord")], k, row_key="ord")
 
 
 _CHUNK_COLUMNS = ["id", "source", "section", "page", "content", "similarity_score", "recommendation_strength"]

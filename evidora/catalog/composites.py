@@ -117,7 +117,7 @@ def _(t):
     "q3_answer_batch",
     rf"""WITH {sql_evidence('doc_id')},
         memory AS (SELECT text AS original, min(concat('who ', turn)) AS translated FROM conversations
-          WHERE role = 'user' AND conv_id % 3 = 0 GROUP BY text),
+          WHERE role = 'user' AND length(text) > 150 GROUP BY text),
         asked AS (SELECT conv_id, turn, {sql_trim('text')} AS query, CASE WHEN regexp_matches({sql_trim('text')},
           '[\x{{00C0}}-\x{{00FF}}]') THEN 'ar' ELSE 'en' END AS lang FROM conversations WHERE role = 'user'),
         found AS (SELECT a.*, CASE WHEN lang = 'ar' AND original IS NOT NULL THEN translated ELSE query END AS translated_query,
@@ -132,7 +132,7 @@ def _(t):
 )
 def _(t):
     questions = t.conversations.filter("role = 'user'")
-    memory = questions.filter("conv_id % 3 = 0").select(
+    memory = questions.filter("length(text) > 150").select(
         F.col("text").alias("original"), F.concat(F.lit("who "), F.col("turn").cast("string")).alias("translated")
     )
     batch = answer_batch(

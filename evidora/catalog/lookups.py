@@ -372,7 +372,7 @@ def _(t):
 )
 def _(t):
     return side_by_side(
-        t.documents, "source", "lang", {"en": "en_text", "fr": "fr_text"}, F.md5("text"), F.col("n_chars"), F.col("doc_id")
+        t.documents, "source", "lang", {"en": "en_text", "fr": "fr_text"}, F.md5("text"), "n_chars", "doc_id"
     )
 
 

@@ -183,7 +183,7 @@ def _(t):
        (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 4""",
 )
 def _(t):
-    first = top_k_per_group(t.documents, ["source"], [F.col("n_chars").desc(), F.col("doc_id")], 4)
+    first = top_k_per_group(t.documents, ["source"], [F.col("n_chars").desc(), F.col("doc_id")], 4, row_key="doc_id")
     page = F.concat(F.lit("p. "), F.col("doc_id").cast("string"))
     block = evidence_block(F.col("rank"), F.col("source"), F.col("lang"), page, F.col("text"))
     return first.select("source", "rank", F.md5(block).alias("block"))

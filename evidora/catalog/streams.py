@@ -9,7 +9,6 @@ from evidora.catalog.aggregates import BATCH_TIME
 from evidora.catalog.base import query
 from evidora.catalog.lookups import sql_route
 from evidora.catalog.projections import ACCENTED
-from evidora.functions.text import short_title
 from evidora.operators.sessions import upsert_sessions
 from evidora.session import scratch_path
 from evidora.streaming.jobs import (
@@ -35,7 +34,7 @@ def _(t):
         path=scratch_path(t.spark, "session-state"), checkpoint=scratch_path(t.spark, "stream-state"),
     )
     return state.select(
-        "conv_id", "messages", "last_at", "first_user_at", short_title(F.col("first_user_text")).alias("title")
+        "conv_id", "messages", "last_at", "first_user_at", F.col("first_title").alias("title")
     )
 
 

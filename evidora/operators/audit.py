@@ -26,8 +26,13 @@ def cited(df: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def invented(citations: DataFrame, retrieved: DataFrame, on: list[str]) -> DataFrame:
-    """Citations that match no retrieved chunk; repeated chunks are folded before the join."""
-    return citations.join(retrieved.select(*on).distinct(), on, "left_anti")
+    """Citations that match no retrieved chunk.
+
+    The retrieved side is cut down to cited keys and made distinct first, so a corpus is filtered
+    where it is scanned when there are few citations.
+    """
+    found = retrieved.select(*on).join(citations.select(*on).distinct(), on, "left_semi").distinct()
+    return citations.join(found, on, "left_anti")
 
 
 def phrase_hits(text: Column, phrases: list[str]) -> Column:

@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 
 def side_by_side(
-    df: DataFrame, topic: str, org: str, organizations: dict[str, str], content: Column, score: Column, tie: Column
+    df: DataFrame, topic: str, org: str, organizations: dict[str, str], content: Column, score: str, key: str
 ) -> DataFrame:
     """Best text per topic and organization, one column each, and whether all sides are present.
 
-    ``organizations`` maps a value of ``org`` to the name of its column.
+    ``organizations`` maps a value of ``org`` to the name of its column. The best row is found on
+    narrow columns; texts are fetched for the winners only.
     """
-    rank = F.struct(score.alias("score"), tie.alias("tie"))
+    wanted = df.filter(F.col(org).isin(list(organizations)))
+    winners = wanted.groupBy(topic, org).agg(F.max_by(key, F.struct(score, key)).alias(key)).select(key)
     best = (
-        df.groupBy(topic)
+        wanted.join(winners, key, "left_semi").select(topic, org, content.alias("content"))
+        .groupBy(topic)
         .pivot(org, list(organizations))
-        .agg(F.max_by(content, rank))
+        .agg(F.first("content"))
     )
+    # Topics that none of the organizations covers stay, with empty sides.
+    best = df.select(topic).distinct().join(best, topic, "left")
     sides = [F.col(f"`{value}`").alias(name) for value, name in organizations.items()]
     present = F.lit(True)
     for name in organizations.values():

@@ -69,7 +69,7 @@ def evidence_per_route(
     sort = (
         [F.col("ord"), F.col("id")] if order_by == "list" else [F.col("similarity_score").desc(), F.col("id")]
     )
-    first_k = top_k_per_group(chunks, ["route"], sort, k)
+    first_k = top_k_per_group(chunks, ["route"], sort, k, row_key="id")
     position = F.lit(0)
     for i, name in enumerate(default_parts):
         position = F.when(F.col("route") == name, i).otherwise(position)

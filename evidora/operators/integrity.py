@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidora.operators.skew import salted_join
+
 
 def owned_by(df: DataFrame, owner: str, user: Column) -> DataFrame:
     """Rows of one user; a plain predicate, so it reaches the scan."""
@@ -60,9 +62,9 @@ def find_or_first(
     """Look each key up among the options; a miss takes the first option in the stated order."""
     first = options.orderBy(*sort).limit(1)
     found = options.select(F.col(option_key), *columns, F.lit(True).alias("__found"))
-    joined = df.join(found, df[key] == found[option_key], "left")
+    joined = salted_join(df, found.withColumnRenamed(option_key, key), [key], "left")
     return joined.select(
-        *[df[c] for c in df.columns],
+        *df.columns,
         *[
             F.when(F.col("__found"), F.col(c)).otherwise(first.select(c).scalar()).alias(c)
             for c in columns

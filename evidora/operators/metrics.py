@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidora.functions.times import to_epoch_ms
 from evidora.operators.ordered import GROUP_ROWS, ordered
+from evidora.operators.skew import salted_join
+from evidora.session import written
 
 
 def share_of_total(df: DataFrame, keys: list[str], amount: str) -> DataFrame:
@@ -28,13 +28,12 @@ def quantiles(
     Equal values are counted first, a running count gives each value its position range, and the
     values at the wanted positions are picked by a mergeable minimum.
     """
-    counted = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    counted = written(
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), "value-counts"
     )
     placed = ordered(counted, keys, [value], sums={"__upto": "__n"}, group_rows=group_rows)
-    totals = counted.groupBy(*[F.col(k).alias(f"__t_{k}") for k in keys]).agg(F.sum("__n").alias("__total"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__t_{k}")) for k in keys])
-    joined = placed.join(totals, same)
+    totals = counted.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    joined = salted_join(placed, totals, keys, key_rows=group_rows)
     picks = []
     for name, point in points.items():
         at = (F.col("__total") - 1) * F.lit(point)
@@ -83,9 +82,14 @@ def precision_at_k(found: DataFrame, query: str, relevant: Column, k: int) -> Da
 def support_share(claims: DataFrame, owner: str, claim: str, evidence: DataFrame, passage: str) -> DataFrame:
     """Share of each owner's claims found among the evidence passages.
 
-    Passages are made distinct before the join, so repeated ones cannot multiply rows.
+    Passages are first cut down to those that some claim states, then made distinct: with few
+    claims the corpus is filtered where it is scanned, and repeated passages cannot multiply rows.
     """
-    known = evidence.select(F.col(passage).alias(claim)).distinct().withColumn("__hit", F.lit(1))
+    stated = claims.select(claim).distinct()
+    known = (
+        evidence.select(F.col(passage).alias(claim)).join(stated, claim, "left_semi")
+        .distinct().withColumn("__hit", F.lit(1))
+    )
     return (
         claims.join(known, claim, "left")
         .groupBy(owner)

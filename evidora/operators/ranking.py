@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 
 def top_k_per_group(
-    df: DataFrame, keys: list[str], sort: list[Column], k: int, *, rank: str = "rank"
+    df: DataFrame, keys: list[str], sort: list[Column], k: int, *, rank: str = "rank", row_key: str | None = None
 ) -> DataFrame:
     """First k rows of every group. The rank filter is applied before the shuffle as well,
-    so a task sends at most k rows per group."""
+    so a task sends at most k rows per group.
+
+    Give ``row_key`` (unique) when rows are wide: ranks are then worked out on the sort columns
+    alone, and the wide columns are fetched for the rows that stay.
+    """
     if k < 0:
         raise ValueError("k must not be negative")
     by_sort = Window.partitionBy(*keys).orderBy(*sort)
-    return df.withColumn(rank, F.row_number().over(by_sort)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(by_sort)).filter(F.col(rank) <= k)
+    return ranked if row_key is None else df.join(ranked.select(row_key, rank), row_key)
 
 
 def limit_k(df: DataFrame, sort: list[Column], k: int) -> DataFrame:

@@ -11,9 +11,10 @@ from evidora.operators.ordered import GROUP_ROWS, ordered
 from evidora.operators.ranking import top_k_per_group
 
 
-def _first_user(role: str, order: str, value: str) -> Column:
+def _first_title(role: str, order: str, text: str) -> Column:
+    """Title of the first user message; texts are cut before they are aggregated."""
     is_user = F.col(role) == "user"
-    return F.min_by(F.when(is_user, F.col(value)), F.when(is_user, F.col(order)))
+    return F.min_by(F.when(is_user, short_title(F.col(text))), F.when(is_user, F.col(order)))
 
 
 def first_user_message(df: DataFrame, session: str, order: str, role: str = "role", text: str = "text") -> DataFrame:
@@ -31,7 +32,7 @@ def session_summary(df: DataFrame, session: str, order: str, role: str = "role",
         F.min(order).alias("first_at"),
         F.max(order).alias("last_at"),
         *[F.count_if(F.col(role) == name).alias(f"{name}_messages") for name in K.ROLES],
-        short_title(_first_user(role, order, text)).alias("title"),
+        _first_title(role, order, text).alias("title"),
     )
 
 
@@ -79,7 +80,7 @@ def message_deltas(df: DataFrame, session: str, order: str, role: str = "role",
         F.count(F.lit(1)).alias("messages"),
         F.max(order).alias("last_at"),
         F.min(F.when(F.col(role) == "user", F.col(order))).alias("first_user_at"),
-        _first_user(role, order, text).alias("first_user_text"),
+        _first_title(role, order, text).alias("first_title"),
     )
 
 
@@ -89,7 +90,7 @@ def merge_deltas(deltas: DataFrame, session: str) -> DataFrame:
         F.sum("messages").alias("messages"),
         F.max("last_at").alias("last_at"),
         F.min("first_user_at").alias("first_user_at"),
-        F.min_by("first_user_text", "first_user_at").alias("first_user_text"),
+        F.min_by("first_title", "first_user_at").alias("first_title"),
     )
 
 
@@ -103,10 +104,10 @@ def upsert_sessions(
     """
     old, new = sessions.alias("old"), deltas.alias("new")
     current = F.coalesce(F.col("old.title"), F.lit(default_title))
-    derived = short_title(F.col("new.first_user_text"))
+    derived = F.col("new.first_title")
     # An empty derived title falls back to the title at hand.
     title = F.when(
-        (current == default_title) & F.col("new.first_user_text").isNotNull() & (derived != ""), derived
+        (current == default_title) & derived.isNotNull() & (derived != ""), derived
     ).otherwise(current)
     return old.join(new, F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer").select(
         F.coalesce(F.col(f"old.{key}"), F.col(f"new.{key}")).alias(key),

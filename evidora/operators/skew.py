@@ -1,0 +1,50 @@
+"""Joins whose many-side may hold a third of its rows under one key."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evidora.session import written
+
+KEY_ROWS = 1_000_000
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *, key_rows: int = KEY_ROWS
+) -> DataFrame:
+    """Equi-join (null-safe) of a many-side with a side of few rows per key.
+
+    Keys over ``key_rows`` on the left are counted first; there are at most rows / key_rows of
+    them, so their list can be broadcast. Their left rows are spread over parts by a hash of the
+    whole row and their right rows are repeated once per part. Each left row still meets all its
+    matches exactly once, so inner, left, left_semi and left_anti all stay exact. Without such keys
+    this is a plain join.
+    """
+    key = F.xxhash64(*on)
+    hot = written(
+        left.groupBy(key.alias("__key")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > key_rows)
+        .select("__key", F.ceil(F.col("__n") / key_rows).cast("int").alias("__parts")),
+        "hot-keys",
+    )
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on]
+    if hot.isEmpty():
+        joined = left.join(renamed, reduce(lambda a, b: a & b, same), how)
+        return joined.drop(*[f"__r_{c}" for c in on])
+
+    def with_parts(df: DataFrame, hashed) -> DataFrame:
+        marked = df.withColumn("__key", hashed)
+        return marked.join(F.broadcast(hot), "__key", "left").fillna(1, ["__parts"]).drop("__key")
+
+    spread = with_parts(left, key).withColumn(
+        "__part", F.pmod(F.xxhash64(*left.columns), F.col("__parts")).cast("int")
+    ).drop("__parts")
+    repeated = with_parts(renamed, F.xxhash64(*[F.col(f"__r_{c}") for c in on])).withColumn(
+        "__r_part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
+    ).drop("__parts")
+    same.append(F.col("__part") == F.col("__r_part"))
+    joined = spread.join(repeated, reduce(lambda a, b: a & b, same), how)
+    return joined.drop("__part", "__r_part", *[f"__r_{c}" for c in on])

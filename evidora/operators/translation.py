@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidora.functions.text import falsy_or
+from evidora.operators.skew import salted_join
 
 
 def translate(
@@ -17,13 +18,13 @@ def translate(
     original, labelled 'fallback'; an empty translation keeps the original under the model's label.
     Memory is reduced to one row per original, so the join never multiplies questions.
     """
-    known = memory.groupBy(F.col("original").alias("__original")).agg(
+    known = memory.groupBy(F.col("original").alias("__wanted")).agg(
         F.min("translated").alias("__translated"), F.lit(True).alias("__known")
     )
     # Rows that need no translation get keys of their own: null keys would all meet in one task.
-    no_match = F.concat(F.lit("\0"), F.xxhash64(text).cast("string"))
+    no_match = F.concat(F.lit("\0"), F.xxhash64(*df.columns).cast("string"))
     wanted = F.when(F.col(lang) == needs, F.col(text)).otherwise(no_match)
-    joined = df.withColumn("__wanted", wanted).join(known, F.col("__wanted") == F.col("__original"), "left")
+    joined = salted_join(df.withColumn("__wanted", wanted), known, ["__wanted"], "left")
     direct = F.col(lang) != needs
     hit = F.coalesce(F.col("__known"), F.lit(False))
     return joined.withColumns(
@@ -33,4 +34,4 @@ def translate(
             ),
             "translation_model": F.when(direct, "direct").when(hit, model).otherwise("fallback"),
         }
-    ).drop("__wanted", "__original", "__translated", "__known")
+    ).drop("__wanted", "__translated", "__known")

@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidora.operators.ranking import top_k_per_group
+from evidora.operators.skew import salted_join
 
 # The task functions travel with the job, so executors do not need this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,13 +40,22 @@ _TILE = 1_024
 SCORE_PLACES = 6
 
 
-def unit_rows(vectors) -> np.ndarray:
-    """Rows scaled to length one, in double precision; a zero vector stays zero."""
-    matrix = np.stack(list(vectors)).astype(np.float64)
+def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Arrow list column as a matrix with rows of length one, in double precision.
+
+    A zero vector stays zero; all vectors must have the same number of dimensions.
+    """
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def ids_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+
+
 def best_of_block(
     query_ids: np.ndarray, queries: np.ndarray, chunk_ids: np.ndarray, chunks: np.ndarray, k: int, exclude_self: bool
 ) -> pd.DataFrame:
@@ -87,21 +98,23 @@ def _pair_schema(queries: DataFrame, query_id: str, chunks: DataFrame, chunk_id:
 
 
 def _scan_with_broadcast(queries: DataFrame, chunks: DataFrame, k: int, exclude_self: bool, schema) -> DataFrame:
-    local = queries.toPandas()
-    shared = chunks.sparkSession.sparkContext.broadcast((local["id"].to_numpy(), unit_rows(local["vec"])))
+    local = queries.toArrow()
+    shared = chunks.sparkSession.sparkContext.broadcast((ids_of(local["id"]), unit_rows(local["vec"])))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
         best = None
         for batch in batches:
-            if len(batch) == 0:
+            if batch.num_rows == 0 or len(ids) == 0:
                 continue
-            found = best_of_block(ids, matrix, batch["id"].to_numpy(), unit_rows(batch["vec"]), k, exclude_self)
+            found = best_of_block(
+                ids, matrix, ids_of(batch.column("id")), unit_rows(batch.column("vec")), k, exclude_self
+            )
             best = found if best is None else _head_per_query(pd.concat([best, found], ignore_index=True), k)
         if best is not None:
-            yield best
+            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
-    return chunks.select("id", "vec").mapInPandas(scan, schema)
+    return chunks.select("id", "vec").mapInArrow(scan, schema)
 
 
 def _grid(queries: DataFrame, chunks: DataFrame, cell: list[str], k: int, exclude_self: bool, schema) -> DataFrame:
@@ -114,19 +127,27 @@ def _grid(queries: DataFrame, chunks: DataFrame, cell: list[str], k: int, exclud
         "qp", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1))
     )
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"query_id": left["id"][:0], "chunk_id": right["id"][:0], "score": np.zeros(0)})
-        return best_of_block(
-            left["id"].to_numpy(), unit_rows(left["vec"]), right["id"].to_numpy(), unit_rows(right["vec"]),
-            k, exclude_self,
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        query_ids, chunk_ids = ids_of(left["id"]), ids_of(right["id"])
+        if len(query_ids) and len(chunk_ids):
+            best = best_of_block(
+                query_ids, unit_rows(left["vec"]), chunk_ids, unit_rows(right["vec"]), k, exclude_self
+            )
+        else:
+            best = pd.DataFrame({"query_id": query_ids[:0], "chunk_id": chunk_ids[:0], "score": np.zeros(0)})
+        return pa.table(
+            {
+                "query_id": pa.array(best["query_id"], left["id"].type),
+                "chunk_id": pa.array(best["chunk_id"], right["id"].type),
+                "score": pa.array(best["score"], pa.float64()),
+            }
         )
 
     keys = [*cell, "qp", "cp"]
     return (
         placed_queries.select(*keys, "id", "vec").groupBy(*keys)
         .cogroup(placed_chunks.select(*keys, "id", "vec").groupBy(*keys))
-        .applyInPandas(search, schema)
+        .applyInArrow(search, schema)
     )
 
 
@@ -168,24 +189,37 @@ def exact_top_k(
 
 
 def signatures(df: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
-    """One row per vector and hash table: (id, vec, bucket), the bucket being table and sign bits."""
-    schema = T.StructType([df.schema["id"], df.schema["vec"]]).add("bucket", "long")
+    """One row per vector and hash table: (id, vec, bucket), the bucket being table and sign bits.
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Python hands each vector back once with its list of buckets; the list is exploded by Spark.
+    """
+    schema = T.StructType([df.schema["id"], df.schema["vec"]]).add("buckets", T.ArrayType(T.LongType()))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        offsets = np.arange(tables, dtype=np.int64) << bits
         for batch in batches:
-            if len(batch) == 0:
+            if batch.num_rows == 0:
                 continue
-            matrix = unit_rows(batch["vec"])
+            matrix = unit_rows(batch.column("vec"))
             if planes is None:
                 planes = np.random.default_rng(seed).standard_normal((tables * bits, matrix.shape[1]))
             # Rounding keeps equal vectors on the same side whatever batch they are in.
-            side = (np.round(matrix @ planes.T, 9) >= 0).reshape(len(batch), tables, bits)
-            code = side @ (1 << np.arange(bits, dtype=np.int64))
-            for table in range(tables):
-                yield batch.assign(bucket=(table << bits) + code[:, table])
+            side = (np.round(matrix @ planes.T, 9) >= 0).reshape(len(matrix), tables, bits)
+            codes = pa.array((side @ weights + offsets).ravel())
+            starts = pa.array(np.arange(0, len(codes) + 1, tables, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(starts, codes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("vec"), lists], names=["id", "vec", "buckets"]
+            )
+
+    return df.mapInArrow(sign, schema).select("id", "vec", F.explode("buckets").alias("bucket"))
+
 
-    return df.mapInPandas(sign, schema)
+def bits_for(rows: int, bucket_rows: int) -> int:
+    """Sign bits that give buckets of about ``bucket_rows`` rows, whatever the table size."""
+    return max(2, math.ceil(math.log2(max(rows, 1) / bucket_rows)))
 
 
 def approx_top_k(
@@ -198,8 +232,9 @@ def approx_top_k(
     chunk_id: str = "chunk_id",
     chunk_vec: str = "chunk_vec",
     exclude_self: bool = False,
-    tables: int = 16,
-    bits: int = 4,
+    tables: int = 12,
+    bits: int | None = None,
+    bucket_rows: int = 4_096,
     seed: int = 7,
     query_block: int = QUERY_BLOCK,
     chunk_block: int = CHUNK_BLOCK,
@@ -209,9 +244,13 @@ def approx_top_k(
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec")).filter("vec is not null")
     c = chunks.select(F.col(chunk_id).alias("id"), F.col(chunk_vec).alias("vec")).filter("vec is not null")
     wanted = k + 1 if exclude_self else k
+    if bits is None:
+        bits = bits_for(c.count(), bucket_rows)
 
     # Copies: a result can only hold the first ids among equal vectors.
-    c = top_k_per_group(c, ["vec"], [F.col("id")], wanted).drop("rank")
+    # The hash goes first in keys, so that sorting compares numbers and rarely whole vectors.
+    c = top_k_per_group(c.withColumn("hash", F.xxhash64("vec")), ["hash", "vec"], [F.col("id")], wanted)
+    c = c.select("id", "vec")
     distinct = q.groupBy("vec").agg(F.min("query_id").alias("id"))
 
     signed_q = signatures(distinct, tables, bits, seed)
@@ -239,7 +278,7 @@ def approx_top_k(
     per_vector = distinct.select("vec", F.col("id").alias("vector_id")).join(
         found.withColumnRenamed("query_id", "vector_id"), "vector_id"
     )
-    listed = q.join(per_vector, "vec").select("query_id", "found")
+    listed = salted_join(q, per_vector, ["vec"]).select("query_id", "found")
     if exclude_self:
         listed = listed.withColumn("found", F.filter("found", lambda f: f["chunk_id"] != F.col("query_id")))
     return listed.select("query_id", F.posexplode(F.slice("found", 1, k)).alias("at", "hit")).select(
