@@ -30,9 +30,9 @@ def rules_from_table(rules: DataFrame) -> tuple[Rule, ...]:
     return tuple(Rule(route, tuple(words)) for (_, route), words in grouped.items())
 
 
-def _hit(folded: Column, keyword: str, word_boundary: bool) -> Column:
+def _hit(folded: Column, keyword: Column, word_boundary: bool) -> Column:
     if word_boundary:
-        return folded.rlike(r"(?U)(?<!\w)\Q" + keyword + r"\E(?!\w)")
+        return F.regexp_like(folded, F.concat(F.lit(r"(?U)(?<!\w)\Q"), keyword, F.lit(r"\E(?!\w)")))
     return folded.contains(keyword)
 
 
@@ -54,7 +54,7 @@ def route(
         for rule in rules:
             hit = F.lit(False)
             for keyword in rule.keywords:
-                hit = hit | _hit(folded, keyword.lower(), word_boundary)
+                hit = hit | _hit(folded, F.lit(keyword.lower()), word_boundary)
             chain = F.when(hit, rule.route) if chain is None else chain.when(hit, rule.route)
         return F.lit(default) if chain is None else chain.otherwise(default)
     listed = F.array(
@@ -63,14 +63,7 @@ def route(
             for r in rules
         ]
     )
-    hits = F.filter(
-        listed,
-        lambda r: F.exists(
-            r["words"],
-            lambda w: F.when(F.lit(word_boundary), folded.rlike(F.concat(F.lit(r"(?U)(?<!\w)\Q"), w, F.lit(r"\E(?!\w)"))))
-            .otherwise(folded.contains(w)),
-        ),
-    )
+    hits = F.filter(listed, lambda r: F.exists(r["words"], lambda w: _hit(folded, w, word_boundary)))
     return F.coalesce(F.get(hits, F.lit(0))["route"], F.lit(default))
 
 

@@ -1,0 +1,91 @@
+"""Windows in blocks against windows in one task."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from evidora.operators.metrics import quantiles
+from evidora.operators.ordered import large_groups, ordered
+from evidora.operators.sessions import runs, turn_pairs
+from evidora.operators.skew import salted_join
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = random.Random(3)
+    made = []
+    for i in range(3000):
+        key = 1 if rng.random() < 0.4 else rng.randrange(2, 400)
+        made.append((key, i, rng.choice(["a", "b", "b", None]), rng.randrange(10)))
+    return spark.createDataFrame(made, "k int, o int, v string, n int").repartition(7).cache()
+
+
+def collected(df):
+    return sorted(map(tuple, df.collect()), key=lambda r: tuple((x is not None, x if x is not None else 0) for x in r[:2]))
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("group_rows", [100, 5])
+def test_blocks_equal_one_task(rows, descending, group_rows):
+    def windows(limit):
+        return ordered(
+            rows, ["k"], ["o"], descending=descending, index="pos", lags={"before": "v"}, leads={"after": "v"},
+            derive={"grew": F.when(F.col("before").eqNullSafe(F.col("v")), 0).otherwise(F.col("n"))},
+            sums={"running": "n", "grown": "grew"}, group_rows=limit,
+        ).select("k", "o", "v", "n", "pos", "before", "after", "grew", "running", "grown")
+
+    assert large_groups(rows, ["k"], group_rows).count() >= 1
+    assert collected(windows(group_rows)) == collected(windows(10**9))
+
+
+def test_null_key_group_can_be_large(spark):
+    df = spark.range(500).select(F.when(F.col("id") % 3 > 0, F.lit(None)).otherwise(F.col("id")).alias("k"), "id")
+    small = ordered(df, ["k"], ["id"], index="pos", sums={"s": "id"}, group_rows=50)
+    plain = ordered(df, ["k"], ["id"], index="pos", sums={"s": "id"})
+    assert sorted(map(str, small.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_runs_cross_block_borders(spark):
+    df = spark.range(1000).select(F.lit(1).alias("k"), "id", (F.floor(F.col("id") / 300)).alias("v"))
+    numbered = runs(df, ["k"], ["id"], "v", group_rows=40)
+    got = {r.run_no: r.n for r in numbered.groupBy("run_no").agg(F.count("*").alias("n")).collect()}
+    assert got == {1: 300, 2: 300, 3: 300, 4: 100}
+
+
+def test_turn_pairs_in_blocks(spark):
+    turns = [(1, i, "user" if i % 3 != 1 else "assistant", f"t{i}") for i in range(201)]
+    df = spark.createDataFrame(turns, "s int, turn int, role string, text string")
+    a = turn_pairs(df, "s", "turn", group_rows=20).select("turn", "answered", "next_text")
+    b = turn_pairs(df, "s", "turn").select("turn", "answered", "next_text")
+    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    assert not a.filter("turn = 200").first().answered
+
+
+@pytest.mark.parametrize("limit", [10**9, 20])
+def test_quantiles_are_exact(spark, limit):
+    rng = random.Random(5)
+    made = [("hot", round(rng.random() * 100, 2)) for _ in range(300)] + [("cold", 3.0), ("cold", 4.0), (None, 9.0)]
+    df = spark.createDataFrame(made, "g string, v double")
+    got = {r.g: (r.p50, r.p95) for r in quantiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}, group_rows=limit).collect()}
+    want = {
+        r.g: (r.p50, r.p95)
+        for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("p50"), F.percentile("v", 0.95).alias("p95")).collect()
+    }
+    assert got.keys() == want.keys()
+    for g in want:
+        assert got[g] == pytest.approx(want[g], abs=1e-9)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("key_rows", [10**9, 50])
+def test_salted_join(spark, how, key_rows):
+    left = spark.range(600).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).cast("long").alias("k"), "id"
+    )
+    right = spark.createDataFrame([(7, "a"), (7, "b"), (1, "c"), (4, "d"), (None, "n")], "k long, w string")
+    got = salted_join(left, right, ["k"], how, key_rows=key_rows)
+    joined = left.join(right.withColumnRenamed("k", "rk"), F.col("k").eqNullSafe(F.col("rk")), how)
+    want = joined.drop("rk")
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
