@@ -10,7 +10,7 @@ from evidora.catalog.lookups import LANGUAGE_RULES, SQL_NEIGHBOURS, _SCORED, sql
 from evidora.catalog.projections import ACCENTED, sql_trim
 from evidora.functions.scores import insufficient, mean_in_order
 from evidora.operators.metrics import precision_at_k, support_share
-from evidora.operators.routing import route
+from evidora.operators.routing import with_route
 from evidora.operators.vectors import exact_top_k
 from evidora.plans.answer_batch import answer_batch
 from evidora.plans.evaluation import evaluation_report, measure
@@ -20,8 +20,8 @@ from evidora.plans.vector_evidence import vector_evidence
 
 def route_chunks(t):
     """Documents as evidence chunks of the route their own text falls into."""
-    return t.documents.select(
-        F.col("doc_id").cast("string").alias("id"), route(F.col("text")).alias("route"), F.col("doc_id").alias("ord"),
+    return with_route(t.documents, "text").select(
+        F.col("doc_id").cast("string").alias("id"), "route", F.col("doc_id").alias("ord"),
         F.lit("").alias("title"), F.col("text").alias("content"), "source", F.col("lang").alias("section"),
         F.concat(F.lit("p. "), F.col("n_chars").cast("string")).alias("page"),
         (F.col("n_chars") / (F.col("n_chars") + F.lit(1000.0))).alias("similarity_score"),
@@ -178,7 +178,7 @@ def _(t):
     )
     claims = sentences(t.benchmark, "text", "item_id")
     support = support_share(claims, "item_id", "sentence", sentences(t.documents, "text", "doc_id"), "sentence")
-    routed = t.documents.withColumn("routed", route(F.col("text"), LANGUAGE_RULES))
+    routed = with_route(t.documents, "text", LANGUAGE_RULES, name="routed")
     n = F.count(F.lit(1))
     return evaluation_report(
         measure("precision_at_k", precision, F.round(F.sum("precision_at_k") / n, 6)),

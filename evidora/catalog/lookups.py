@@ -16,7 +16,7 @@ from evidora.operators.integrity import (
     owned_by_any,
 )
 from evidora.operators.ranking import top_k_per_group
-from evidora.operators.routing import Rule, expand_sources, route, routing_accuracy, rules_from_table
+from evidora.operators.routing import Rule, expand_sources, routing_accuracy, rules_from_table, with_route
 from evidora.operators.translation import translate
 from evidora.operators.vectors import above_threshold, approx_top_k, exact_top_k, mean_vectors, recall_against
 
@@ -164,7 +164,7 @@ def _(t):
 
 @query("j1_keyword_router", f"SELECT doc_id, {sql_route('text')} AS route FROM documents")
 def _(t):
-    return t.documents.select("doc_id", route(F.col("text")).alias("route"))
+    return with_route(t.documents, "text").select("doc_id", "route")
 
 
 @query(
@@ -181,7 +181,7 @@ def _(t):
         F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("route"),
         F.concat(F.lit("e"), F.substring(alphabet, F.col("n_nationkey") + 1, F.lit(1)), F.lit("o")).alias("keyword"),
     )
-    return t.conversations.select("conv_id", "turn", route(F.col("text"), rules_from_table(rules)).alias("route"))
+    return with_route(t.conversations, "text", rules_from_table(rules)).select("conv_id", "turn", "route")
 
 
 _SCORED = "(SELECT *, n_chars / (n_chars + 1000.0::DOUBLE) AS score FROM documents)"
@@ -196,9 +196,9 @@ _SCORED = "(SELECT *, n_chars / (n_chars + 1000.0::DOUBLE) AS score FROM documen
         FROM (SELECT conv_id, turn, {sql_route('text')} AS route FROM conversations) q JOIN chunks c ON q.route = c.route""",
 )
 def _(t):
-    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), "n_chars", route(F.col("text")).alias("route"))
+    chunks = with_route(t.documents, "text").select(F.col("doc_id").alias("chunk_id"), "n_chars", "route")
     best = top_k_per_group(chunks, ["route"], [F.col("n_chars").desc(), F.col("chunk_id")], 4)
-    asked = t.conversations.select("conv_id", "turn", route(F.col("text")).alias("route"))
+    asked = with_route(t.conversations, "text").select("conv_id", "turn", "route")
     # At most k chunks per route, and as many routes as rules: a bounded side.
     return asked.join(F.broadcast(best), "route").select("conv_id", "turn", "route", "chunk_id", "rank")
 
@@ -433,5 +433,5 @@ LANGUAGE_RULES = (
     + " ELSE 'default' END AS routed FROM documents) GROUP BY lang",
 )
 def _(t):
-    routed = t.documents.withColumn("routed", route(F.col("text"), LANGUAGE_RULES))
+    routed = with_route(t.documents, "text", LANGUAGE_RULES, name="routed")
     return routing_accuracy(routed, "routed", "lang", ["lang"])

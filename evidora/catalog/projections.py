@@ -36,7 +36,8 @@ _PADDED = "concat(chr(10), chr(160), ' ', text, chr(9), chr(65279), chr(8195), c
 
 @query("p2_whitespace_trim", f"SELECT conv_id, turn, md5({sql_trim(_PADDED)}) AS trimmed FROM conversations")
 def _(t):
-    padded = F.concat(F.lit("\n  "), "text", F.lit("\t﻿ \n"))
+    before, after = "".join(map(chr, [10, 160, 32])), "".join(map(chr, [9, 65279, 8195, 10]))
+    padded = F.concat(F.lit(before), "text", F.lit(after))
     return t.conversations.select("conv_id", "turn", F.md5(trim_all(padded)).alias("trimmed"))
 
 

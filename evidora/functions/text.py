@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from evidora import constants as K
 
-# White space and line ends that trimming removes, byte-order mark included.
-_SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-_EDGE_SPACE = f"^{_SPACE}+|{_SPACE}+\\z"
+# Code points of white space and line ends that trimming removes.
+_SPACE_POINTS = [
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+    0xFEFF,
+]
+_SPACE = "".join(map(chr, _SPACE_POINTS))
 
 
 def fold(text: Column) -> Column:
@@ -18,7 +21,7 @@ def fold(text: Column) -> Column:
 
 def trim_all(text: Column) -> Column:
     """Trim every kind of Unicode space, line breaks and the byte-order mark."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
 def has_text(text: Column) -> Column:

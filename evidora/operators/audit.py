@@ -16,12 +16,17 @@ _MARK = r"\[([^\[\]—,]+?)(?: — ([^\[\],]+))?, p\. ?([^\[\]]+)\]"
 def cited(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """Citation marks ``[Source — Section, p. N]`` of each answer; the section may be missing."""
     marks = df.select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit(_MARK), F.lit(0))).alias("at", "mark"))
+    # Neither source nor section can hold a comma, so the first page marker ends them.
+    inner = F.substring("mark", F.lit(2), F.length("mark") - 2)
+    head = F.substring_index(inner, ", p.", 1)
+    page = F.substring(inner, F.length(head) + 5, F.length(inner))
+    source = F.substring_index(head, " — ", 1)
     return marks.select(
         *keys,
         (F.col("at") + 1).alias("mark_no"),
-        F.regexp_extract("mark", _MARK, 1).alias("source"),
-        F.regexp_extract("mark", _MARK, 2).alias("section"),
-        F.regexp_extract("mark", _MARK, 3).alias("page"),
+        source.alias("source"),
+        F.substring(head, F.length(source) + 4, F.length(head)).alias("section"),
+        F.when(page.startswith(" "), F.substring(page, F.lit(2), F.length(page))).otherwise(page).alias("page"),
     )
 
 

@@ -69,20 +69,26 @@ def evidence_per_route(
     sort = (
         [F.col("ord"), F.col("id")] if order_by == "list" else [F.col("similarity_score").desc(), F.col("id")]
     )
-    first_k = top_k_per_group(chunks, ["route"], sort, k, row_key="id")
-    position = F.lit(0)
+    narrow = chunks.select("id", "route", "ord", "similarity_score")
+    first_k = top_k_per_group(narrow, ["route"], sort, k, rank="part_rank")
+    # Chunks of the default parts go into two lists: their own and the default one.
+    part = F.lit(0)
     for i, name in enumerate(default_parts):
-        position = F.when(F.col("route") == name, i).otherwise(position)
-    combined = (
-        first_k.filter(F.col("route").isin(default_parts))
-        .withColumn("part", position)
-        .withColumn("route", F.lit(default_route))
+        part = F.when(F.col("route") == name, i).otherwise(part)
+    # Chunks filed under the default route itself belong to no list.
+    lists = (
+        F.when(F.col("route").isin(default_parts), F.array("route", F.lit(default_route)))
+        .when(F.col("route") != default_route, F.array("route"))
     )
-    fallback_sort = [F.col("part"), F.col("part_rank")] if order_by == "list" else sort
-    fallback = top_k_per_group(combined.withColumnRenamed("rank", "part_rank"), ["route"], fallback_sort, k)
-    listed = first_k.select("route", "rank", *columns).unionByName(fallback.select("route", "rank", *columns))
+    spread = first_k.withColumn("part", part).withColumn("list", F.explode(lists))
+    by_list = [F.col("part"), F.col("part_rank")] if order_by == "list" else sort
+    chosen = top_k_per_group(spread, ["list"], by_list, k).select("id", F.col("list").alias("route"), "rank")
+    # At most k rows per route: the texts are fetched by a broadcast of their ids.
+    listed = chunks.select(*columns).join(F.broadcast(chosen), "id")
     record = score_evidence(collect_ranked(listed, ["route"], "rank", columns), threshold=threshold)
-    return record.withColumn("citations", citations_of(F.col("chunks")))
+    return record.withColumn("citations", citations_of(F.col("chunks"))).withColumn(
+        "context", context_of(F.col("chunks"))
+    )
 
 
 def within_budget(df: DataFrame, chunks: str, text: str, budget: Column, tokens) -> DataFrame:

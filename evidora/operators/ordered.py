@@ -58,14 +58,17 @@ def ordered(
     sums     new column -> column (may be a derived one) for an inclusive running sum
     """
     lags, leads, derive, sums = lags or {}, leads or {}, derive or {}, sums or {}
-    hot = written(large_groups(df, keys, group_rows), "hot-groups")
-    hot_rows = hot.agg(F.sum(_ROWS)).first()[0]
-    if not hot_rows:
+    large_keys = large_groups(df, keys, group_rows)
+    # The list is bounded by rows / group_rows, so it may be held by the driver and broadcast.
+    hot = large_keys.collect()
+    if not hot:
         return _in_one_task(df, keys, order, descending, index, lags, leads, derive, sums)
 
-    marked = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys])
+    hot_rows = sum(row[_ROWS] for row in hot)
+    marked = df.sparkSession.createDataFrame(hot, large_keys.schema).select(
+        *[F.col(k).alias(f"__hot_{k}") for k in keys]
+    )
     match = _same(df, marked, [(k, f"__hot_{k}") for k in keys])
-    # The hot list is bounded by rows / group_rows, so the broadcast cannot grow past it.
     cold = df.join(F.broadcast(marked), match, "left_anti")
     large = df.join(F.broadcast(marked), match, "left_semi")
     blocks = max(2, math.ceil(2 * hot_rows / group_rows))

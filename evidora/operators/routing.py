@@ -48,7 +48,12 @@ def route(
     Keywords match inside words unless ``word_boundary`` is set. Short rule lists become one CASE
     chain; longer ones one pass over a constant list, which keeps the generated code small.
     """
-    folded = fold(text)
+    return _first_hit(fold(text), rules, default=default, word_boundary=word_boundary)
+
+
+def _first_hit(
+    folded: Column, rules: tuple[Rule, ...], *, default: str = K.DEFAULT_ROUTE, word_boundary: bool = False
+) -> Column:
     if sum(len(r.keywords) for r in rules) <= WHEN_CHAIN_KEYWORDS:
         chain = None
         for rule in rules:
@@ -67,6 +72,14 @@ def route(
     return F.coalesce(F.get(hits, F.lit(0))["route"], F.lit(default))
 
 
+def with_route(
+    df: DataFrame, text: str, rules: tuple[Rule, ...] = DEFAULT_RULES, *, name: str = "route", **options
+) -> DataFrame:
+    """Add the route of a text column. The text is folded once per row, not once per keyword."""
+    folded = df.withColumn("__folded", fold(F.col(text)))
+    return folded.withColumn(name, _first_hit(F.col("__folded"), rules, **options)).drop("__folded")
+
+
 def expand_sources(expected: Column, both: str, sources: list[str]) -> Column:
     """One row per named source; the 'both' value stands for all of them."""
     return F.explode(F.when(expected == both, F.array(*[F.lit(s) for s in sources])).otherwise(F.array(expected)))

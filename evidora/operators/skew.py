@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidora.session import written
-
 KEY_ROWS = 1_000_000
 
 
@@ -24,17 +22,19 @@ def salted_join(
     this is a plain join.
     """
     key = F.xxhash64(*on)
-    hot = written(
+    large = (
         left.groupBy(key.alias("__key")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > key_rows)
-        .select("__key", F.ceil(F.col("__n") / key_rows).cast("int").alias("__parts")),
-        "hot-keys",
+        .select("__key", F.ceil(F.col("__n") / key_rows).cast("int").alias("__parts"))
     )
+    hot_keys = large.collect()
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
     same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on]
-    if hot.isEmpty():
+    if not hot_keys:
         joined = left.join(renamed, reduce(lambda a, b: a & b, same), how)
         return joined.drop(*[f"__r_{c}" for c in on])
 
+    hot = left.sparkSession.createDataFrame(hot_keys, large.schema)
+
     def with_parts(df: DataFrame, hashed) -> DataFrame:
         marked = df.withColumn("__key", hashed)
         return marked.join(F.broadcast(hot), "__key", "left").fillna(1, ["__parts"]).drop("__key")

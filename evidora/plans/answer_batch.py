@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from evidora import constants as K
 from evidora.functions.language import detected_language
 from evidora.functions.text import has_text, token_proxy, trim_all
-from evidora.operators.evidence import context_of
 from evidora.operators.routing import DEFAULT_RULES, Rule
 from evidora.operators.translation import translate
 from evidora.plans.keyword_evidence import keyword_evidence
@@ -38,14 +37,12 @@ def answer_batch(
     found = keyword_evidence(
         translated, chunks, "translated_query", rules=rules, k=k, order_by=order_by, default_parts=default_parts
     )
-    context = F.coalesce(context_of(F.col("chunks")), F.lit(""))
     prompt = F.concat(
         F.lit("Clinical Evidence Documents:\n"), F.col("context"),
         F.lit("\n\nClinical Question:\n"), F.col("original_query"),
     )
     return (
-        found.withColumn("context", context)
-        .withColumn("prompt", prompt)
+        found.withColumn("prompt", prompt)
         .withColumn("prompt_tokens", token_proxy(F.col("prompt")))
         .withColumn("fits_window", F.col("prompt_tokens") <= context_window)
     )

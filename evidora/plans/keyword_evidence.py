@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from evidora import constants as K
 from evidora.functions.text import has_text
 from evidora.operators.evidence import evidence_per_route
-from evidora.operators.routing import DEFAULT_RULES, Rule, route
-
-EVIDENCE_COLUMNS = ["chunks", "citations", "mean_similarity", "grounded_score", "is_insufficient_evidence"]
+from evidora.operators.routing import DEFAULT_RULES, Rule, with_route
 
 
 def keyword_evidence(
@@ -32,16 +30,18 @@ def keyword_evidence(
     that takes a third of all questions costs nothing extra. A route without chunks gets the empty
     record. ``comparison`` (route, comparison) adds the side-by-side record of a route.
     """
-    routed = questions.filter(has_text(F.col(text))).withColumn("route", route(F.col(text), rules))
+    routed = with_route(questions.filter(has_text(F.col(text))), text, rules)
+    # Routes without a rule meet no question; filtering them here would only repeat the work of
+    # finding the route of each chunk.
     records = evidence_per_route(
-        chunks.filter(F.col("route").isin([r.route for r in rules])),
-        k=k, order_by=order_by, threshold=threshold, default_parts=default_parts,
+        chunks, k=k, order_by=order_by, threshold=threshold, default_parts=default_parts
     )
     if comparison is not None:
         records = records.join(comparison, "route", "full_outer")
     out = routed.join(F.broadcast(records), "route", "left")
     return out.withColumns(
         {
+            "context": F.coalesce("context", F.lit("")),
             "mean_similarity": F.coalesce("mean_similarity", F.lit(0.0)),
             "grounded_score": F.coalesce("grounded_score", F.lit(0.0)),
             "is_insufficient_evidence": F.coalesce("is_insufficient_evidence", F.lit(0.0 < threshold)),

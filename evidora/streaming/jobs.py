@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidora.functions.language import detected_language
-from evidora.operators.routing import DEFAULT_RULES, Rule, route
+from evidora.operators.routing import DEFAULT_RULES, Rule, with_route
 from evidora.operators.sessions import merge_deltas, message_deltas, new_profiles
 from evidora.session import scratch_path
 from evidora.sources.tables import read_or_empty
@@ -111,4 +111,4 @@ def route_and_tag(
 ) -> DataFrame:
     """Route and script label per incoming question; stateless."""
     language = detected_language(F.col(text)) if ranges is None else detected_language(F.col(text), ranges)
-    return stream.withColumns({"route": route(F.col(text), rules), "detected_lang": language})
+    return with_route(stream, text, rules).withColumn("detected_lang", language)
