@@ -77,7 +77,7 @@ def rank_tiers(df: DataFrame, keys: list[str], tier: Column) -> DataFrame:
     counted = df.withColumn("tier", tier).groupBy(*keys, "tier").agg(F.count(F.lit(1)).alias("chunks"))
     present = counted.groupBy(*keys).agg(F.collect_set("tier").alias("tiers"))
     return counted.join(present, keys).select(
-        *keys, "tier", "chunks", F.size(F.filter("tiers", lambda t: t <= F.col("tier"))).alias("tier_rank")
+        *keys, "tier", "chunks", F.size(F.filter("tiers", lambda t: t <= F.col("tier"))).cast("bigint").alias("tier_rank")
     )
 
 

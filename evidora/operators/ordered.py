@@ -85,7 +85,7 @@ def _in_one_task(df, keys, order, descending, index, lags, leads, derive, sums)
     by_order = Window.partitionBy(*keys).orderBy(*_sorting(order, descending))
     added = {}
     if index:
-        added[index] = F.row_number().over(by_order)
+        added[index] = F.row_number().over(by_order).cast("bigint")
     added |= {name: F.lag(column).over(by_order) for name, column in lags.items()}
     added |= {name: F.lead(column).over(by_order) for name, column in leads.items()}
     out = df.withColumns(added) if added else df
@@ -140,7 +140,7 @@ def _in_blocks(df, keys, order, descending, index, lags, leads, derive, sums, bl
         for n, c in leads.items()
     }
     if index:
-        added[index] = (F.col(_AT) + F.col(_OFFSET)).cast("int")
+        added[index] = F.col(_AT) + F.col(_OFFSET)
     if added:
         out = out.withColumns(added)
     if derive:

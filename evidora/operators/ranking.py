@@ -19,6 +19,7 @@ def top_k_per_group(
         raise ValueError("k must not be negative")
     by_sort = Window.partitionBy(*keys).orderBy(*sort)
     ranked = df.withColumn(rank, F.row_number().over(by_sort)).filter(F.col(rank) <= k)
+    ranked = ranked.withColumn(rank, F.col(rank).cast("bigint"))
     return ranked if row_key is None else df.join(ranked.select(row_key, rank), row_key)
 
 
@@ -31,7 +32,7 @@ def limit_k(df: DataFrame, sort: list[Column], k: int) -> DataFrame:
 def pick_positions(df: DataFrame, sort: list[Column], positions: list[int], *, name: str = "position") -> DataFrame:
     """Rows at 0-based positions of the sorted table; sorts only as far as the last one."""
     first_rows = limit_k(df, sort, max(positions) + 1)
-    numbered = first_rows.withColumn(name, F.row_number().over(Window.orderBy(*sort)) - 1)
+    numbered = first_rows.withColumn(name, (F.row_number().over(Window.orderBy(*sort)) - 1).cast("bigint"))
     return numbered.filter(F.col(name).isin(positions))
 
 

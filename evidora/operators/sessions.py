@@ -11,10 +11,18 @@ from evidora.operators.ordered import GROUP_ROWS, ordered
 from evidora.operators.ranking import top_k_per_group
 
 
-def _first_title(role: str, order: str, text: str) -> Column:
-    """Title of the first user message; texts are cut before they are aggregated."""
-    is_user = F.col(role) == "user"
-    return F.min_by(F.when(is_user, short_title(F.col(text))), F.when(is_user, F.col(order)))
+def _with_titles(df: DataFrame, keep: list[str], role: str, text: str) -> DataFrame:
+    """Narrow messages: user texts cut to titles.
+
+    A string aggregate sorts its input, so the cut has to come first. As a plain projection the
+    optimizer would move it into the aggregate again and sort whole texts; a generator stays put.
+    """
+    title = F.when(F.col(role) == "user", short_title(F.col(text)))
+    return df.select(*keep, role, F.inline(F.array(F.struct(title.alias("title")))))
+
+
+def _first_title(role: str, order: str) -> Column:
+    return F.min_by("title", F.when(F.col(role) == "user", F.col(order)))
 
 
 def first_user_message(df: DataFrame, session: str, order: str, role: str = "role", text: str = "text") -> DataFrame:
@@ -27,12 +35,12 @@ def first_user_message(df: DataFrame, session: str, order: str, role: str = "rol
 
 
 def session_summary(df: DataFrame, session: str, order: str, role: str = "role", text: str = "text") -> DataFrame:
-    return df.groupBy(session).agg(
+    return _with_titles(df, [session, order], role, text).groupBy(session).agg(
         F.count(F.lit(1)).alias("messages"),
         F.min(order).alias("first_at"),
         F.max(order).alias("last_at"),
         *[F.count_if(F.col(role) == name).alias(f"{name}_messages") for name in K.ROLES],
-        _first_title(role, order, text).alias("title"),
+        _first_title(role, order).alias("title"),
     )
 
 
@@ -76,11 +84,11 @@ def runs(
 
 def message_deltas(df: DataFrame, session: str, order: str, role: str = "role", text: str = "text") -> DataFrame:
     """Mergeable partial state per session: what a set of messages adds to it."""
-    return df.groupBy(session).agg(
+    return _with_titles(df, [session, order], role, text).groupBy(session).agg(
         F.count(F.lit(1)).alias("messages"),
         F.max(order).alias("last_at"),
         F.min(F.when(F.col(role) == "user", F.col(order))).alias("first_user_at"),
-        _first_title(role, order, text).alias("first_title"),
+        _first_title(role, order).alias("first_title"),
     )
 
 

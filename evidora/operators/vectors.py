@@ -176,7 +176,7 @@ def exact_top_k(
     """
     schema = _pair_schema(queries, query_id, chunks, chunk_id)
     if k == 0:
-        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0).cast("bigint"))
     q = queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("vec")).filter("vec is not null")
     c = chunks.select(F.col(chunk_id).alias("id"), F.col(chunk_vec).alias("vec")).filter("vec is not null")
     n_queries, n_values = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
@@ -282,7 +282,7 @@ def approx_top_k(
     if exclude_self:
         listed = listed.withColumn("found", F.filter("found", lambda f: f["chunk_id"] != F.col("query_id")))
     return listed.select("query_id", F.posexplode(F.slice("found", 1, k)).alias("at", "hit")).select(
-        "query_id", "hit.chunk_id", "hit.score", (F.col("at") + 1).alias("rank")
+        "query_id", "hit.chunk_id", "hit.score", (F.col("at") + 1).cast("bigint").alias("rank")
     )
 
 
