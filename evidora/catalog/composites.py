@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidora import constants as K
 from evidora.catalog.aggregates import sentences, sql_sentences
 from evidora.catalog.base import query
 from evidora.catalog.lookups import LANGUAGE_RULES, SQL_NEIGHBOURS, _SCORED, sql_route, vector_sides
@@ -11,8 +12,9 @@ from evidora.catalog.projections import ACCENTED, sql_trim
 from evidora.functions.scores import insufficient, mean_in_order
 from evidora.operators.metrics import precision_at_k, support_share
 from evidora.operators.routing import with_route
+from evidora.operators.sessions import turn_pairs
 from evidora.operators.vectors import exact_top_k
-from evidora.plans.answer_batch import answer_batch
+from evidora.plans.answer_batch import answer_batch, answer_messages
 from evidora.plans.evaluation import evaluation_report, measure
 from evidora.plans.keyword_evidence import keyword_evidence
 from evidora.plans.vector_evidence import vector_evidence
@@ -145,6 +147,41 @@ def _(t):
     )
 
 
+@query(
+    "q3_answer_messages",
+    rf"""WITH {sql_evidence('doc_id')},
+        turns AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations
+          WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        asked AS (SELECT conv_id, turn, {sql_trim('text')} AS query, next_role = 'assistant' AS ok, next_text FROM turns
+          WHERE role = 'user'),
+        routed AS (SELECT a.*, {sql_route('query')} AS route FROM asked a)
+        SELECT conv_id, turn, concat('msg_', sha256(concat(conv_id, '|', turn, '|assistant'))) AS id,
+        md5(CASE WHEN ok THEN next_text ELSE concat('{K.ERROR_OPENING['en']}', '{K.ERROR_CAUSE['en']}') END) AS content,
+        CASE WHEN ok THEN coalesce(chunk_ids, '') ELSE 'none' END AS chunk_ids,
+        CASE WHEN ok THEN coalesce(mean, 0.0::DOUBLE) < 0.65 ELSE TRUE END AS insufficient,
+        CASE WHEN ok THEN greatest(length(next_text) // 4, 0) ELSE -1 END AS tokens FROM (SELECT conv_id, turn, query,
+          coalesce(ok, FALSE) AS ok, next_text, route FROM routed) q LEFT JOIN records r ON q.route = r.route""",
+)
+def _(t):
+    questions = t.conversations.filter("role = 'user'")
+    memory = questions.select(F.col("text").alias("original"), F.col("text").alias("translated"))
+    batch = answer_batch(questions, memory, route_chunks(t), "text", translation_model="memory", context_window=8192)
+    none = F.lit(None).cast("bigint")
+    answers = turn_pairs(t.conversations, "conv_id", "turn").filter("answered").select(
+        "conv_id", "turn", F.col("next_text").alias("content"),
+        F.floor(F.length("next_text") / 4).alias("tokens_used"), F.lit(None).cast("string").alias("error"),
+        none.alias("retrieval_ms"), none.alias("generation_ms"), none.alias("total_ms"),
+    )
+    made = answer_messages(batch, answers, ["conv_id", "turn"], llm_model="m", embedding_model="e")
+    ids = F.array_join(F.transform("citations", lambda c: c["id"]), ",")
+    return made.select(
+        "conv_id", "turn", "id", F.md5("content").alias("content"),
+        F.when(F.col("metrics").isNull(), "none").otherwise(F.coalesce(ids, F.lit(""))).alias("chunk_ids"),
+        F.col("is_insufficient_evidence").alias("insufficient"),
+        F.coalesce(F.col("metrics.tokens_used"), F.lit(-1)).alias("tokens"),
+    )
+
+
 @query(
     "q4_evaluation_report",
     f"""WITH n AS ({SQL_NEIGHBOURS}),

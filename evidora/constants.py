@@ -33,6 +33,16 @@ FALLBACK_RETRIEVAL_MS = 25
 FALLBACK_GENERATION_MS = 320
 FALLBACK_TOTAL_MS = 345
 
+# Opening and default cause of the message that reports a failed request.
+ERROR_OPENING = {
+    "ar": "⚠️ حدث خطأ أثناء معالجة الطلب السريري:\n",
+    "en": "⚠️ Error processing clinical query:\n",
+}
+ERROR_CAUSE = {
+    "ar": "فشل الاتصال بمزود الذكاء الاصطناعي.",
+    "en": "Failed to communicate with AI provider.",
+}
+
 # Score bands as (lowest percentage, label).
 SCORE_BANDS = [(85, "high"), (70, "good"), (50, "fair")]
 LOWEST_BAND = "low"

@@ -17,7 +17,8 @@ def salted_join(
 
     Keys over ``key_rows`` on the left are counted first; there are at most rows / key_rows of
     them, so their list can be broadcast. Their left rows are spread over parts by a hash of the
-    whole row and their right rows are repeated once per part. Each left row still meets all its
+    row and of its input partition (equal rows spread too, and a rerun task gives the same parts),
+    and their right rows are repeated once per part. Each left row still meets all its
     matches exactly once, so inner, left, left_semi and left_anti all stay exact. Without such keys
     this is a plain join.
     """
@@ -40,7 +41,7 @@ def salted_join(
         return marked.join(F.broadcast(hot), "__key", "left").fillna(1, ["__parts"]).drop("__key")
 
     spread = with_parts(left, key).withColumn(
-        "__part", F.pmod(F.xxhash64(*left.columns), F.col("__parts")).cast("int")
+        "__part", F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.col("__parts")).cast("int")
     ).drop("__parts")
     repeated = with_parts(renamed, F.xxhash64(*[F.col(f"__r_{c}") for c in on])).withColumn(
         "__r_part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))

@@ -36,7 +36,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK = 8_192
 CHUNK_BLOCK = 32_768
-_TILE = 1_024
+_TILE_SCORES = 8 << 20
 SCORE_PLACES = 6
 
 
@@ -62,9 +62,11 @@ def best_of_block(
     """The k best chunks per query of one block, ties broken by the smaller chunk id."""
     parts = []
     scale = 10.0**SCORE_PLACES
-    for start in range(0, len(query_ids), _TILE):
-        ids = query_ids[start : start + _TILE]
-        scores = np.floor(queries[start : start + _TILE] @ chunks.T * scale + 0.5) / scale
+    # A tile of queries at a time, so that the score matrix stays within 64 MB.
+    tile = max(1, _TILE_SCORES // max(1, len(chunk_ids)))
+    for start in range(0, len(query_ids), tile):
+        ids = query_ids[start : start + tile]
+        scores = np.floor(queries[start : start + tile] @ chunks.T * scale + 0.5) / scale
         if exclude_self:
             scores[ids[:, None] == chunk_ids[None, :]] = -np.inf
         if scores.shape[1] > k:

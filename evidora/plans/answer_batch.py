@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidora import constants as K
 from evidora.functions.language import detected_language
-from evidora.functions.text import has_text, token_proxy, trim_all
+from evidora.functions.text import falsy_or, has_text, row_id, token_proxy, trim_all
 from evidora.operators.routing import DEFAULT_RULES, Rule
 from evidora.operators.translation import translate
 from evidora.plans.keyword_evidence import keyword_evidence
@@ -46,3 +46,48 @@ def answer_batch(
         .withColumn("prompt_tokens", token_proxy(F.col("prompt")))
         .withColumn("fits_window", F.col("prompt_tokens") <= context_window)
     )
+
+
+def answer_messages(
+    batch: DataFrame,
+    answers: DataFrame,
+    keys: list[str],
+    *,
+    llm_model: str,
+    embedding_model: str,
+    user_language: str = "en",
+) -> DataFrame:
+    """Assistant messages: evidence of the batch joined to the model's answers.
+
+    answers has the keys and content, tokens_used, error, retrieval_ms, generation_ms, total_ms. A
+    question whose answer failed or is missing gets the error message, flagged as insufficient.
+    """
+    failed = F.col("error").isNotNull() | F.col("content").isNull()
+    cause = falsy_or(F.col("error"), K.ERROR_CAUSE[user_language], empty="")
+    found = F.when(~failed, F.lit(True))
+    metrics = F.struct(
+        F.lit(None).cast("double").alias("precision_at_k"),
+        F.col("grounded_score").alias("faithfulness_score"),
+        F.col("retrieval_ms").alias("retrieval_latency_ms"),
+        F.col("generation_ms").alias("generation_latency_ms"),
+        F.col("total_ms").alias("total_latency_ms"),
+        falsy_or(F.col("tokens_used"), F.lit(K.FALLBACK_TOKENS).cast("bigint")).alias("tokens_used"),
+        F.lit(embedding_model).alias("embedding_model"),
+        F.lit(llm_model).alias("llm_model"),
+    )
+    translation = F.struct(
+        "original_query", "detected_lang", "translated_query", "translation_model",
+    )
+    joined = batch.join(answers, keys, "left")
+    return joined.select(
+        *keys,
+        row_id("msg_", *[F.col(k) for k in keys], F.lit("assistant")).alias("id"),
+        F.lit("assistant").alias("role"),
+        F.when(failed, F.concat(F.lit(K.ERROR_OPENING[user_language]), cause)).otherwise(F.col("content")).alias("content"),
+        F.when(found, F.col("citations")).alias("citations"),
+        F.when(found, F.col("chunks")).alias("retrieved_chunks"),
+        F.when(found, translation).alias("translation"),
+        F.when(found, metrics).alias("metrics"),
+        F.when(found, F.col("grounded_score")).alias("confidence_score"),
+        F.when(failed, F.lit(True)).otherwise(F.col("is_insufficient_evidence")).alias("is_insufficient_evidence"),
+    )

@@ -26,7 +26,7 @@ def collected(df):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("group_rows", [100, 5])
+@pytest.mark.parametrize("group_rows", [100, 30])
 def test_blocks_equal_one_task(rows, descending, group_rows):
     def windows(limit):
         return ordered(
@@ -89,3 +89,10 @@ def test_salted_join(spark, how, key_rows):
     want = joined.drop("rk")
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_salted_join_with_equal_rows(spark):
+    left = spark.range(400).repartition(6).select(F.lit(7).alias("k"), F.lit("same").alias("v"))
+    right = spark.createDataFrame([(7, "a"), (8, "b")], "k int, w string")
+    got = salted_join(left, right, ["k"], key_rows=30).groupBy("k", "v", "w").count().collect()
+    assert [tuple(r) for r in got] == [(7, "same", "a", 400)]

@@ -6,7 +6,7 @@ from evidora.functions.text import fold, trim_all
 from evidora.operators.evidence import context_of, evidence_per_route, within_budget
 from evidora.operators.routing import DEFAULT_RULES, Rule, expand_sources, route, routing_accuracy, rules_from_table
 from evidora.operators.translation import translate
-from evidora.plans.answer_batch import answer_batch
+from evidora.plans.answer_batch import answer_batch, answer_messages
 from evidora.plans.keyword_evidence import keyword_evidence
 from evidora.plans.vector_evidence import vector_evidence
 
@@ -146,6 +146,21 @@ def test_answer_batch_routes_the_translation_and_prompts_the_original(spark, chu
     assert row.route == "statins_intensity" and row.prompt.endswith("Clinical Question:\nسؤال") and row.fits_window
 
 
+def test_answer_messages_with_failures(spark, chunks):
+    memory = spark.createDataFrame([], "original string, translated string")
+    asked = spark.createDataFrame([(1, "which statin"), (2, "who"), (3, "classes")], "n int, q string")
+    batch = answer_batch(asked, memory, chunks, "q", translation_model="m", context_window=8192)
+    answers = spark.createDataFrame(
+        [(1, "Use it.", 0, None, 5, 6, 11), (2, None, None, "Server error 500", None, None, None)],
+        "n int, content string, tokens_used bigint, error string, retrieval_ms bigint, generation_ms bigint, total_ms bigint",
+    )
+    rows = {r.n: r for r in answer_messages(batch, answers, ["n"], llm_model="l", embedding_model="e").collect()}
+    assert rows[1].content == "Use it." and rows[1].metrics.tokens_used == 350 and rows[1].metrics.total_latency_ms == 11
+    assert rows[1].confidence_score == 0.96 and not rows[1].is_insufficient_evidence and len(rows[1].citations) == 1
+    assert rows[2].content.endswith("query:\nServer error 500") and rows[2].is_insufficient_evidence
+    assert rows[3].content.endswith("Failed to communicate with AI provider.") and rows[3].citations is None
+
+
 def test_vector_evidence_of_a_query_without_chunks(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id int, query_vec array<double>")
     c = spark.createDataFrame([(7, [1.0, 0.1])], "chunk_id int, chunk_vec array<double>")
