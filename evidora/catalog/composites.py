@@ -15,6 +15,7 @@ from evidora.operators.routing import with_route
 from evidora.operators.sessions import turn_pairs
 from evidora.operators.vectors import exact_top_k
 from evidora.plans.answer_batch import answer_batch, answer_messages
+from evidora.plans.history import browse_sessions, evidence_cards
 from evidora.plans.evaluation import evaluation_report, measure
 from evidora.plans.keyword_evidence import keyword_evidence
 from evidora.plans.vector_evidence import vector_evidence
@@ -223,3 +224,26 @@ def _(t):
         measure("claim_support", support, F.round(F.sum("supported") / F.sum("claims"), 6)),
         measure("routing_accuracy", routed, F.round(F.count_if(F.col("routed") == F.col("lang")) / n, 6)),
     )
+
+
+@query(
+    "h1_browse_sessions",
+    """SELECT o_custkey, o_orderkey, o_orderpriority, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
+       ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders WHERE contains(lower(o_orderpriority), 'high')) WHERE rank <= 2""",
+)
+def _(t):
+    found = browse_sessions(t.orders, "o_custkey", "o_orderpriority", "o_orderdate", "o_orderkey", term="HIGH", k=2)
+    return found.select("o_custkey", "o_orderkey", "o_orderpriority", "rank")
+
+
+@query(
+    "h2_evidence_cards",
+    f"""WITH {sql_evidence('doc_id')} SELECT conv_id, turn, rank AS chunk_no, doc_id::VARCHAR AS chunk_id,
+        CAST(floor(score * 100 + 0.5) AS INTEGER) AS percent, CASE WHEN floor(score * 100 + 0.5) >= 85 THEN 'high' WHEN
+        floor(score * 100 + 0.5) >= 70 THEN 'good' WHEN floor(score * 100 + 0.5) >= 50 THEN 'fair' ELSE 'low' END AS band,
+        concat('p. ', n_chars) AS place FROM (SELECT conv_id, turn, {sql_route('text')} AS route FROM conversations
+        WHERE length({sql_trim('text')}) > 0) q JOIN listed l ON q.route = l.route""",
+)
+def _(t):
+    found = keyword_evidence(t.conversations, route_chunks(t), "text")
+    return evidence_cards(found, F.col("chunks"), "conv_id", "turn")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidora.catalog.base import query
 from evidora.functions.language import by_language, detected_language, direct_translation, in_script
-from evidora.functions.payloads import citation
+from evidora.functions.payloads import citation, decoded
 from evidora.functions.scores import percentage, round_half_up, score_band
 from evidora.functions.text import (
     evidence_block, falsy_or, fold, local_part, model_short_name, profile_name, quote_snippet, row_id, short_title,
@@ -242,6 +242,19 @@ def _(t):
     return t.events.select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
 
 
+@query(
+    "p20_citation_column",
+    """SELECT doc_id, source, lang AS section, concat(substr(text, 1, 120), '...') AS quote FROM documents""",
+)
+def _(t):
+    made = F.struct(
+        F.col("doc_id").cast("string").alias("id"), "source", F.col("lang").alias("section"),
+        quote_snippet(F.col("text")).alias("quote"),
+    )
+    stored = t.documents.select("doc_id", F.to_json(F.array(made)).alias("citations"))
+    return stored.select("doc_id", F.inline(decoded("citations"))).select("doc_id", "source", "section", "quote")
+
+
 @query(
     "p21_citation_build",
     """SELECT doc_id AS id, source, lang AS section, concat('p. ', n_chars) AS page, concat(substr(text, 1, 120), '...')

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidora import schemas
 from evidora.catalog.base import query
 from evidora.functions.payloads import response_content, response_tokens
 from evidora.operators.comparison import normal_code
@@ -160,6 +161,30 @@ def _(t):
     return back.select("id", "user_id", "title", "pinned", F.unix_millis("created_at").alias("created_ms"))
 
 
+@query(
+    "s9_message_table",
+    """SELECT concat(conv_id, '-', turn) AS id, CAST(conv_id AS VARCHAR) AS session_id, role, '[]' AS citations,
+       CAST(length(text) % 100 AS DOUBLE) / 100 AS confidence, FALSE AS insufficient FROM conversations""",
+)
+def _(t):
+    text = [c for c in schemas.CHAT_MESSAGE.fieldNames() if c in (
+        "user_id", "citations", "retrieved_chunks", "translation", "metrics", "guideline_comparison")]
+    rows = t.conversations.select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.col("conv_id").cast("string").alias("session_id"), "role", F.col("text").alias("content"),
+        *[F.lit(None).cast("string").alias(c) for c in text],
+        (F.length("text") % 100 / 100).cast("decimal(4,2)").alias("confidence_score"),
+        F.lit(None).cast("boolean").alias("is_insufficient_evidence"),
+        F.timestamp_millis(F.col("turn")).alias("created_at"),
+    )
+    path = scratch_path(t.spark, "chat-messages")
+    with_defaults(rows, "chat_messages").write.parquet(path)
+    return read_table(t.spark, "chat_messages", path).select(
+        "id", "session_id", "role", "citations", F.col("confidence_score").cast("double").alias("confidence"),
+        F.col("is_insufficient_evidence").alias("insufficient"),
+    )
+
+
 @query("s10_message_append", "SELECT role, count(*) AS messages, count(DISTINCT conv_id) AS sessions FROM conversations WHERE role IN ('user', 'assistant') GROUP BY role")
 def _(t):
     path = scratch_path(t.spark, "messages")

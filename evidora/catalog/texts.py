@@ -171,7 +171,7 @@ def _(t):
        WHERE r.l_returnflag = 'R' AND r.l_suppkey = c.l_suppkey AND r.l_partkey = c.l_partkey) GROUP BY 1, 2""",
 )
 def _(t):
-    retrieved = t.lineitem.filter("l_returnflag = 'R'").select("l_suppkey", "l_partkey").distinct()
+    retrieved = t.lineitem.filter("l_returnflag = 'R'").select("l_suppkey", "l_partkey")
     lost = invented(t.lineitem.select("l_suppkey", "l_partkey"), retrieved, ["l_suppkey", "l_partkey"])
     return lost.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("citations"))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidora import constants as K
 from evidora.functions.text import falsy_or, trim_all
-from evidora.schemas import API_RESPONSE
+from evidora.schemas import API_RESPONSE, CITATION, METRICS, RETRIEVED_CHUNK, TRANSLATION
 
 
 def response_content(raw: Column, *, default: str = "") -> Column:
@@ -26,6 +27,20 @@ def translated_text(raw: Column, query: Column) -> Column:
     return falsy_or(trim_all(response_content(raw)), query, empty="")
 
 
+# Schema of each JSON column of the message table.
+JSON_COLUMNS = {
+    "citations": T.ArrayType(CITATION),
+    "retrieved_chunks": T.ArrayType(RETRIEVED_CHUNK),
+    "translation": TRANSLATION,
+    "metrics": METRICS,
+}
+
+
+def decoded(column: str) -> Column:
+    """A JSON column of the message table as typed data; text that does not parse gives null."""
+    return F.from_json(F.col(column), JSON_COLUMNS[column])
+
+
 def citation(
     chunk_id: Column, source: Column, section: Column, page: Column, content: Column, score: Column, strength: Column
 ) -> Column:

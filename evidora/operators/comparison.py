@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidora.operators.skew import salted_join
+
 
 def side_by_side(
     df: DataFrame, topic: str, org: str, organizations: dict[str, str], content: Column, score: str, key: str
@@ -59,4 +61,4 @@ def to_catalog(df: DataFrame, source: str, catalog: DataFrame, code: str, column
     parts = df.withColumn("source_part", F.explode(F.split(F.col(source), separator.replace("/", "[/]"))))
     keyed = parts.withColumn("__code", normal_code(F.col("source_part")))
     known = catalog.select(normal_code(F.col(code)).alias("__code"), *columns)
-    return keyed.join(known, "__code", "left").drop("__code")
+    return salted_join(keyed, known, ["__code"], "left").drop("__code")

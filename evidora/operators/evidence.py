@@ -13,6 +13,10 @@ from evidora.operators.markdown import once
 from evidora.operators.ranking import top_k_per_group
 
 
+# Largest number of chunk ids, and of chunks in evidence records, that is broadcast.
+BROADCAST_CHUNKS = 4_000
+
+
 def collect_ranked(df: DataFrame, keys: list[str], rank: str, columns: list[str], *, into: str = "chunks") -> DataFrame:
     """One list per group in rank order. Meant for groups already cut to k rows."""
     entry = F.struct(F.col(rank), *[F.col(c) for c in columns])
@@ -55,6 +59,7 @@ def evidence_per_route(
     *,
     k: int = K.TOP_K,
     order_by: str = "list",
+    routes: list[str] | None = None,
     threshold: float = K.EVIDENCE_THRESHOLD,
     default_route: str = K.DEFAULT_ROUTE,
     default_parts: list[str] = K.DEFAULT_ROUTE_PARTS,
@@ -63,7 +68,7 @@ def evidence_per_route(
 
     ``order_by='list'`` keeps the stored order, ``'score'`` puts the best chunk first. Each route
     is cut to k rows before anything is collected; the default route is the concatenation of the
-    lists of ``default_parts``.
+    lists of ``default_parts``. Naming the wanted ``routes`` bounds the number of chunks to fetch.
     """
     columns = ["id", "title", "content", "source", "section", "page", "similarity_score", "recommendation_strength"]
     sort = (
@@ -83,8 +88,12 @@ def evidence_per_route(
     spread = first_k.withColumn("part", part).withColumn("list", F.explode(lists))
     by_list = [F.col("part"), F.col("part_rank")] if order_by == "list" else sort
     chosen = top_k_per_group(spread, ["list"], by_list, k).select("id", F.col("list").alias("route"), "rank")
-    # At most k rows per route: the texts are fetched by a broadcast of their ids.
-    listed = chunks.select(*columns).join(F.broadcast(chosen), "id")
+    if routes is not None:
+        # The filter is on the exploded name, so the route of a chunk is not worked out twice for it.
+        chosen = chosen.filter(F.col("route").isin([*routes, default_route]))
+        if (len(routes) + 1) * k <= BROADCAST_CHUNKS:
+            chosen = F.broadcast(chosen)
+    listed = chunks.select(*columns).join(chosen, "id")
     record = score_evidence(collect_ranked(listed, ["route"], "rank", columns), threshold=threshold)
     return record.withColumn("citations", citations_of(F.col("chunks"))).withColumn(
         "context", context_of(F.col("chunks"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from evidora import constants as K
 from evidora.functions.text import has_text
-from evidora.operators.evidence import evidence_per_route
+from evidora.operators.evidence import BROADCAST_CHUNKS, evidence_per_route
 from evidora.operators.routing import DEFAULT_RULES, Rule, with_route
+from evidora.operators.skew import salted_join
 
 
 def keyword_evidence(
@@ -26,19 +27,22 @@ def keyword_evidence(
     """Evidence record per question with text.
 
     The record depends on the route alone, so it is made once per route (at most rules + 1 rows of
-    at most k chunks) and broadcast: questions are neither shuffled nor multiplied, and a route
-    that takes a third of all questions costs nothing extra. A route without chunks gets the empty
+    at most k chunks). Up to a limit on those chunks the records are broadcast: questions are
+    neither shuffled nor multiplied, and a route that takes a third of all questions costs nothing
+    extra. Above it they are joined with hot routes spread. A route without chunks gets the empty
     record. ``comparison`` (route, comparison) adds the side-by-side record of a route.
     """
     routed = with_route(questions.filter(has_text(F.col(text))), text, rules)
-    # Routes without a rule meet no question; filtering them here would only repeat the work of
-    # finding the route of each chunk.
+    routes = sorted({r.route for r in rules})
     records = evidence_per_route(
-        chunks, k=k, order_by=order_by, threshold=threshold, default_parts=default_parts
+        chunks, k=k, order_by=order_by, routes=routes, threshold=threshold, default_parts=default_parts
     )
     if comparison is not None:
         records = records.join(comparison, "route", "full_outer")
-    out = routed.join(F.broadcast(records), "route", "left")
+    if (len(routes) + 1) * k <= BROADCAST_CHUNKS:
+        out = routed.join(F.broadcast(records), "route", "left")
+    else:
+        out = salted_join(routed, records, ["route"], "left")
     return out.withColumns(
         {
             "context": F.coalesce("context", F.lit("")),

@@ -31,6 +31,14 @@ def session_state(stream: DataFrame, session: str, order: str, *, path: str, che
     return read_session_state(stream.sparkSession, path, session)
 
 
+def compact_session_state(spark: SparkSession, path: str, session: str, *, target: str, batch_id: int) -> None:
+    """Merge the rows of all batches up to ``batch_id`` into one set under a new path.
+
+    Run it between two runs of the stream, which then goes on at the new path.
+    """
+    read_session_state(spark, path, session).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+
 def read_session_state(spark: SparkSession, path: str, session: str) -> DataFrame:
     return merge_deltas(spark.read.parquet(path), session)
 

@@ -119,6 +119,14 @@ def test_records_are_broadcast_and_questions_not_shuffled(spark, chunks):
     assert "BroadcastHashJoin" in plan
 
 
+def test_many_rules_join_instead_of_broadcast(spark, chunks):
+    rules = (*DEFAULT_RULES, *[Rule(f"route{i}", (f"zz{i}zz",)) for i in range(1200)])
+    asked = spark.createDataFrame([("statin",), ("zz7zz",), ("else",)], "q string")
+    few = {r.q: r.grounded_score for r in keyword_evidence(asked, chunks, "q").collect()}
+    many = {r.q: r.grounded_score for r in keyword_evidence(asked, chunks, "q", rules=rules).collect()}
+    assert many == {"statin": few["statin"], "else": few["else"], "zz7zz": 0.0}
+
+
 def test_context_and_budget(spark, chunks):
     record = evidence_per_route(chunks).filter("route = 'default'")
     text = record.select(context_of(F.col("chunks")).alias("c")).first().c

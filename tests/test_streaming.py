@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from evidora.operators.sessions import merge_deltas, message_deltas
 from evidora.streaming.jobs import (
-    activity_sessions, drop_copies, live_metrics, profiles_for_new_users, route_and_tag, session_state,
+    activity_sessions, compact_session_state, drop_copies, live_metrics, profiles_for_new_users, read_session_state,
+    route_and_tag, session_state,
 )
 from evidora.streaming.sources import run_to_end, stream_table, to_files
 
@@ -48,6 +49,9 @@ def test_session_state_over_batches(spark, feed, tmp_path):
     want = merge_deltas(message_deltas(everything, "id", "turn"), "id")
     assert sorted(map(str, state.collect())) == sorted(map(str, want.collect()))
     assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("batch=")]) == 3
+    compact_session_state(spark, path, "id", target=str(tmp_path / "small"), batch_id=2)
+    again = read_session_state(spark, str(tmp_path / "small"), "id")
+    assert sorted(map(str, again.collect())) == sorted(map(str, want.collect()))
 
 
 def test_windows_match_batch_on_closed_windows(spark, feed):
