@@ -42,7 +42,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, *, fmt:
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Nested sessions as JSON lines; corrupt rows are dropped and a missing path gives no rows."""
     corrupt = "_corrupt_record"
-    schema = T.StructType(schemas.SESSION.fields).add(corrupt, "string")
+    schema = T.StructType([*schemas.SESSION.fields]).add(corrupt, "string")
     rows = read_or_empty(spark, path, schema, fmt="json")
     return rows.filter(F.col("id").isNotNull()).drop(corrupt)
 
