@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def to_epoch_ms(ts: Column) -> Column:
-    """Milliseconds since the epoch of a timestamp; zone-less ones are read as UTC."""
+    """Milliseconds since the epoch of a timestamp; zone-less ones are read in the session zone (UTC)."""
     return F.unix_millis(ts.cast("timestamp"))
 
 

@@ -27,10 +27,12 @@ def local_session(cpus: int | str = "*", *, app: str = "evidora", memory: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the session names, else a local one."""
+    """Folder every executor can reach: the one the session names, else a local one in local mode."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
