@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from evidora.llm.simhash import op4_simhash_near_dedup
 from evidora.llm.substring import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
 }
 
 ORACLES = {
