@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from evidora.llm import text as tx
 
 WINDOW = 20
-SEED = 4
+SEED = 3
 #: Bytes of text whose equal windows are collapsed before anything is sent.
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
 #: Share of documents looked at to find common runs, the share of those that makes a run common, and how many are kept.
 SAMPLE, COMMON, COMMON_MOST = 1 / 32, 1 / 500, 1 << 18
 #: Buckets for each shuffle partition, so that one bucket is a small part of a task's memory.
-BUCKETS = 8
+BUCKETS = 2
 
 _TOP = np.uint64(1 << 63)
 
@@ -148,13 +148,12 @@ def _send(
     batches: Iterator[pa.RecordBatch], window: int, seed: int, buckets: int, common: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
     """One row for each bucket and piece: packed super-k-mers, and as bucket of the document what is settled already."""
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in tx.text_pieces(batches, "text", PIECE_BYTES):
         table = pa.Table.from_batches([batch])
-        keys = table.select(["doc_id", "copy"]).to_pandas()
         known = table.column("doc_id").is_valid().to_numpy().astype(np.int64)
         doc_id = table.column("doc_id").combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
-        copy = keys["copy"].to_numpy()
+        copy = table.column("copy").combine_chunks().to_numpy(zero_copy_only=False)
         order = np.lexsort((copy, doc_id, known))
         same = np.zeros(len(order), bool)
         if len(order) > 1:
