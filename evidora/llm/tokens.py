@@ -29,8 +29,8 @@ from evidora.llm import text as tx
 
 LIMIT = 4096
 BLANK = "▁"
-#: States kept; beyond, the table is emptied and compiled anew as needed.
-MOST_STATES = 150_000
+#: States kept; beyond, new ones are made for the one text and forgotten.
+MOST_STATES = 120_000
 PIECE_BYTES = 16 << 20
 
 State = tuple[tuple[str, str, int], ...]  # (beginning of a piece, last piece before it, count before it less the count)
@@ -59,9 +59,6 @@ class Transducer:
             raise ValueError("pieces of this vocabulary reach over words")
         self.start: State = (("", "", 0),)
         self.fits = functools.lru_cache(1 << 17)(self._fits)
-        self.clear()
-
-    def clear(self) -> None:
         self.root = Node(self.start)
         self.shared: dict[tuple[str, str, int], tuple[str, str, int]] = {}
         self.nodes: dict[State, Node] = {self.start: self.root}
@@ -95,11 +92,11 @@ class Transducer:
         raise AssertionError("some piece always ends a text")
 
     def _compile(self, node: Node, char: str) -> tuple[Node, int]:
-        if len(self.nodes) >= MOST_STATES:
-            self.clear()
         state, added = self._step(node.state, char)
         after = self.nodes.get(state)
         if after is None:
+            if len(self.nodes) >= MOST_STATES:
+                return Node(state), added
             after = self.nodes[state] = Node(state)
         node.moves[char] = after, added
         return after, added
