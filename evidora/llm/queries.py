@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from evidora.llm.hosts import OP8_SQL, op8_url_reputation
 from evidora.llm.mixing import OP5_SQL, op5_curriculum_mix
+from evidora.llm.secret_scan import op10_secret_scan
 from evidora.llm.simhash import op4_simhash_near_dedup
 from evidora.llm.substring import OP1_SQL, op1_substring_dedup
 from evidora.llm.tokens import op9_token_counts
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_curriculum_mix": op5_curriculum_mix,
     "op8_url_reputation": op8_url_reputation,
     "op9_token_counts": op9_token_counts,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES = {
