@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from evidora.llm.hosts import OP8_SQL, op8_url_reputation
+from evidora.llm.langid import op6_language_id
 from evidora.llm.mixing import OP5_SQL, op5_curriculum_mix
 from evidora.llm.secret_scan import op10_secret_scan
 from evidora.llm.simhash import op4_simhash_near_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_curriculum_mix": op5_curriculum_mix,
+    "op6_language_id": op6_language_id,
     "op8_url_reputation": op8_url_reputation,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
