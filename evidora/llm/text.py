@@ -16,6 +16,8 @@ CHUNK_BYTES = 8 << 20
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_IS_PLAIN = np.ones(256, dtype=bool)
+_IS_PLAIN[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
 
 
 def word_count(text: Column) -> Column:
@@ -89,14 +91,21 @@ def blank_ended(joined: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, buffers)
 
 
-def words_of(array: pa.Array) -> Words:
-    """Words of texts made by `closed_text`."""
+def words_of(array: pa.Array, plain: bool = False) -> Words:
+    """Words of texts made by `closed_text`; if `plain`, runs of anything but ASCII signs and common punctuation."""
     raw, offsets = text_bytes(array)
     word = _IS_WORD[raw]
+    if plain:
+        word = _IS_PLAIN[raw]
+        lead = np.flatnonzero((raw[:-1] == 0xC2) & ((raw[1:] == 0xAB) | (raw[1:] == 0xBB)))  # quotation marks
+        word[lead] = word[lead + 1] = False
+        # U+2000 to U+206F
+        lead = np.flatnonzero((raw[:-2] == 0xE2) & ((raw[1:-1] == 0x80) | (raw[1:-1] == 0x81) & (raw[2:] < 0xB0)))
+        word[lead] = word[lead + 1] = word[lead + 2] = False
     end = np.zeros(len(raw), dtype=bool)
     end[1:] = word[:-1] & ~word[1:]
     joined = raw[word | end]
-    joined[~_IS_WORD[joined]] = 0x20
+    joined[(end & ~word)[word | end]] = 0x20
     starts = np.concatenate([[0], np.flatnonzero(joined == 0x20) + 1]).astype(np.int64)
     first = np.searchsorted(np.flatnonzero(end), offsets).astype(np.int64)
     return Words(joined, starts, first)
