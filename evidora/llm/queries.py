@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from evidora.llm.decontamination import OP3_SQL, op3_benchmark_overlaps
+from evidora.llm.embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from evidora.llm.hosts import OP8_SQL, op8_url_reputation
 from evidora.llm.langid import op6_language_id
 from evidora.llm.mixing import OP5_SQL, op5_curriculum_mix
@@ -13,6 +14,7 @@ from evidora.llm.tokens import op9_token_counts
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_benchmark_overlaps": op3_benchmark_overlaps,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_curriculum_mix": op5_curriculum_mix,
@@ -24,6 +26,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
+    "op2_embedding_near_dedup": OP2_SQL,
     "op3_benchmark_overlaps": OP3_SQL,
     "op5_curriculum_mix": OP5_SQL,
     "op8_url_reputation": OP8_SQL,
