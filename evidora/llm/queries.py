@@ -7,6 +7,7 @@ from evidora.llm.embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from evidora.llm.hosts import OP8_SQL, op8_url_reputation
 from evidora.llm.langid import op6_language_id
 from evidora.llm.mixing import OP5_SQL, op5_curriculum_mix
+from evidora.llm.mixing_lm import op7_mixing_lm
 from evidora.llm.secret_scan import op10_secret_scan
 from evidora.llm.simhash import op4_simhash_near_dedup
 from evidora.llm.substring import OP1_SQL, op1_substring_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_curriculum_mix": op5_curriculum_mix,
     "op6_language_id": op6_language_id,
+    "op7_mixing_lm": op7_mixing_lm,
     "op8_url_reputation": op8_url_reputation,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
