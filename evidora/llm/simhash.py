@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidora.llm import text as tx
@@ -53,19 +53,25 @@ def _fingerprints(array: pa.Array, shingle: int) -> np.ndarray:
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in tx.text_pieces(batches, "text", PIECE_BYTES):
         prints = _fingerprints(batch.column("text"), shingle)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+        columns = [batch.column("doc_id"), batch.column("copy"), pa.array(prints)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "fp"])
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """`doc_id` (long) and `fp` (long, the 64 bits) of every row; texts without words get 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tx.closed_text(F.col(text_col)).alias("text"))
-    return rows.mapInArrow(lambda batches: _fingerprint_rows(batches, shingle), "doc_id long, fp long")
+    """`doc_id` (long), `copy` (hash of the text) and `fp` (long, the 64 bits) of every row; texts without words get 0."""
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("copy"),
+        tx.closed_text(F.col(text_col)).alias("text"),
+    )
+    return rows.mapInArrow(lambda batches: _fingerprint_rows(batches, shingle), "doc_id long, copy long, fp long")
 
 
 def near_copies(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
 ) -> DataFrame:
-    """`doc_id`, `fp` and `component_id` (smallest id reachable by links), one row per input row.
+    """`doc_id`, `copy`, `fp`, `root` (a fingerprint that names the component) and `component_id` (smallest id reachable by
+    links), one row per input row.
 
     Texts are compared with A-Z in lower case by shingles of `shingle` words, repeats included; shorter texts are one
     shingle. Null and empty texts have fingerprint zero and link like any other. Equal fingerprints are one node, however
@@ -80,8 +86,31 @@ def near_copies(
         "fp", "smallest", F.coalesce("root", "fp").alias("root")
     )
     ids = classes.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    members = classes.join(ids, "root").select("fp", "component_id")
-    return prints.join(members, "fp").select("doc_id", "fp", "component_id")
+    members = classes.join(ids, "root").select("fp", "root", "component_id")
+    return prints.join(members, "fp").select("doc_id", "copy", "fp", "root", "component_id")
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The row of `docs` (doc_id, text, any others) with the smallest id of each component, null ids last.
+
+    Of rows with the same id and text one stays; of rows with one id and different texts in a component, one by a hash."""
+    classes = near_copies(docs)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("first"))
+    first = first.select(
+        F.xxhash64("first.doc_id", "first.copy").alias("first_key"),
+        F.col("first.copy").alias("first_copy"),
+        F.col("first.doc_id").alias("first_id"),
+    )
+    own = docs.withColumn("own_copy", F.xxhash64(F.col("text").cast("string")))
+    own = own.withColumn("own_key", F.xxhash64(F.col("doc_id").cast("long"), "own_copy"))
+    same = (
+        (own.own_key == first.first_key)
+        & (own.own_copy == first.first_copy)
+        & own.doc_id.cast("long").eqNullSafe(first.first_id)
+    )
+    numbered = Window.partitionBy("own_key", "own_copy").orderBy("doc_id")
+    kept = own.join(first, same, "left_semi").withColumn("own_number", F.row_number().over(numbered))
+    return kept.where("own_number = 1").select(*docs.columns)
 
 
 def _links(distinct: DataFrame) -> DataFrame:
