@@ -111,7 +111,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     mean = (F.col("bad") + k1 * F.col("above")) / (F.col("n") + k1)
     bound = mean - Z * F.sqrt(mean * (1 - mean) / (F.col("n") + k1 + 1))
     return hosts.join(domains, ["domain", "suffix"]).select(
-        "host", "domain", "suffix", "n", "bad", bound.alias("bad_bound")
+        "host", "domain", "suffix", "n", "bad", F.greatest(bound, F.lit(0.0)).alias("bad_bound")
     )
 
 
@@ -191,7 +191,7 @@ WITH parts AS (
 ), h AS (
   SELECT host, n, k1, (x.bad + k1 * d.above) / (x.n + k1) AS mean FROM hosts x JOIN d USING (domain, suffix), weights
 ), bounds AS (
-  SELECT host, mean - {Z} * sqrt(mean * (1 - mean) / (n + k1 + 1)) AS bad_bound FROM h
+  SELECT host, greatest(mean - {Z} * sqrt(mean * (1 - mean) / (n + k1 + 1)), 0) AS bad_bound FROM h
 ), ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
