@@ -155,6 +155,7 @@ def _seen(block, text: Column) -> Column:
         for batch in batches:
             sizes = np.diff(tx.text_bytes(batch)[1])
             parts = [_overlaps(part, block.value) for part in tx.pieces(batch, sizes)] if len(batch) else []
+            del batch
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(_ARROW))
 
     return hits(tx.closed_text(F.lower(text.cast("string"))))

@@ -103,6 +103,8 @@ def fit(texts: list[str], labels: list[str]) -> Field:
     """Weights and transitions from documents with a language each, by stochastic gradients of the likelihood."""
     languages = sorted(set(labels))
     y = len(languages)
+    if not y:
+        return Field([], np.zeros((1 << FEATURE_BITS, 0)), np.zeros((0, 0)), np.zeros(0))
     rng = np.random.default_rng(SEED)
     number = {name: i for i, name in enumerate(languages)}
     words = tx.words_of(pa.array([t.lower() + " " for t in texts], pa.large_string()))
@@ -114,7 +116,7 @@ def fit(texts: list[str], labels: list[str]) -> Field:
     squares = np.full(weights.shape, 1e-8)
     trans, trans_squares = np.zeros((y, y)), np.full((y, y), 1e-8)
     if not len(tags):
-        return Field(languages, weights.astype(np.float32), np.full((y, y), 1 / max(y, 1)), np.full(y, 1 / max(y, 1)))
+        return Field(languages, weights.astype(np.float32), np.full((y, y), 1 / y), np.full(y, 1 / y))
     coded = pa.array(sequence, pa.large_binary()).dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64).reshape(-1, length)
     feature, owner = _features(coded.dictionary)
@@ -244,19 +246,20 @@ def word_posteriors(codes: np.ndarray, first: np.ndarray, emission: np.ndarray,
     return post / post.sum(axis=1, keepdims=True)
 
 
-def _predict(array: pa.Array, field: Field) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def _predict(array: pa.Array, field: Field, spans: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     words = tx.words_of(array)
     n, y = len(array), len(field.languages)
     codes, vocabulary = words.codes()
+    none = pa.nulls(n, pa.list_(_SPAN_ARROW))
     if not len(codes):
-        return np.zeros(n, np.int64), np.zeros(n), _spans(words, np.zeros(0, np.int64), field.languages)
+        return np.zeros(n, np.int64), np.zeros(n), none
     post = word_posteriors(codes, words.first, _emissions(vocabulary, field.weights), field)
     doc = np.repeat(np.arange(n), np.diff(words.first))
     counted = _lettered(vocabulary)[codes].astype(float)
     sums = np.stack([np.bincount(doc, post[:, k] * counted, n) for k in range(y)], axis=1)
     best = sums.argmax(axis=1)
     score = sums[np.arange(n), best] / np.maximum(sums.sum(axis=1), 1e-9)
-    return best, score.clip(0, 1), _spans(words, post.argmax(axis=1), field.languages)
+    return best, score.clip(0, 1), _spans(words, post.argmax(axis=1), field.languages) if spans else none
 
 
 def _spans(words: tx.Words, label: np.ndarray, languages: list[str]) -> pa.Array:
@@ -274,12 +277,15 @@ def _spans(words: tx.Words, label: np.ndarray, languages: list[str]) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), spans)
 
 
+_SPAN_ARROW = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
 _SPAN = T.StructType().add("start", T.LongType()).add("end", T.LongType()).add("lang", T.StringType())
 _RESULT = T.StructType().add("lang", T.StringType()).add("score", T.DoubleType()).add("spans", T.ArrayType(_SPAN))
 
 
-def labelled(docs: DataFrame, field: Field, *, text_col: str = "text", into: str = "language") -> DataFrame:
-    """The same rows with a struct column `into`: `lang`, `score` and `spans` (word ranges by language).
+def labelled(
+    docs: DataFrame, field: Field, *, text_col: str = "text", into: str = "language", spans: bool = True
+) -> DataFrame:
+    """The same rows with a struct column `into`: `lang`, `score` and, if asked for, `spans` (word ranges by language).
 
     Null, empty and letterless texts are `und` with score 0; so is everything if the field knows no language. Rows are
     judged alone, so repeated rows agree.
@@ -300,10 +306,12 @@ def labelled(docs: DataFrame, field: Field, *, text_col: str = "text", into: str
             parts = []
             sizes = np.diff(tx.text_bytes(batch)[1])
             for part in tx.pieces(batch, sizes, tx.CHUNK_BYTES // 2) if len(batch) else ():
-                best, score, spans = _predict(part, own)
+                best, score, found = _predict(part, own, spans)
                 parts.append(
-                    pa.StructArray.from_arrays([names.take(pa.array(best)), pa.array(score), spans], ["lang", "score", "spans"])
+                    pa.StructArray.from_arrays([names.take(pa.array(best)), pa.array(score), found], ["lang", "score", "spans"])
                 )
+                del part
+            del batch
             yield pa.concat_arrays(parts)
 
     has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
@@ -326,6 +334,6 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held_out = remainder("doc_id", 4) == 2
     field = trained(docs.where(~held_out))
-    return labelled(docs.select("doc_id", "text"), field).select(
+    return labelled(docs.select("doc_id", "text"), field, spans=False).select(
         "doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score")
     )

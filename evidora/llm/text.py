@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -64,6 +64,8 @@ def text_pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
         if batch.num_rows:
             _, offsets = text_bytes(batch.column(batch.schema.names.index(column)))
             yield from pieces(batch, np.diff(offsets), limit)
+            del offsets
+        del batch  # before the next one comes in
 
 
 @dataclass

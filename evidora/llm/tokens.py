@@ -140,6 +140,7 @@ def token_count(text: Column, path: str) -> Column:
         for batch in batches:
             sizes = np.diff(tx.text_bytes(batch)[1])
             parts = [chunk_counts(part, machine) for part in tx.pieces(batch, sizes, PIECE_BYTES)] if len(batch) else []
+            del batch
             yield pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))
 
     plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), BLANK, " ")

@@ -1,0 +1,88 @@
+import hashlib
+import random
+import re
+import string
+
+from evidora.llm import secret_scan as s
+from pyspark.sql import functions as F
+
+
+def base(text):
+    text = text or ""
+    out = []
+    assign = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out += [("assign", *m.span()) for m in re.finditer(assign, text) if len(m[2]) >= 8]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out, key=lambda x: (x[1], s.KINDS.index(x[0])))
+
+
+def key(n, rng, chars=string.ascii_letters + string.digits):
+    return "".join(rng.choice(chars) for _ in range(n))
+
+
+def texts():
+    rng = random.Random(7)
+    out = [None, "", "no secrets in here", "password: short", 'API_KEY = "abcdefgh"', "token: secret: abcdefghi", "token=api_key=zzzzzzzz"]
+    out += ["é" * 5 + "ToKeN='" + key(12, rng), "AKIA" + key(12, rng, "ABC123"), "AKIAAKIA" + key(9, rng, "ABC123"), "xAKIA1 AKIA2"]
+    out += ["🎉 " + key(32, rng, "0123456789abcdef") + "Z", "f" * 31, "secret=" + key(40, rng, "0123456789abcdef"), "paſſword=abcdefgh"]
+    out += ["a" * 50_000 + " passwd=" + key(9, rng), "apiKey  :  'x.y-z/w+=_'", "key " + key(40, rng), "aws/" + key(36, rng) + "+/=="]
+    out += ["the quick brown fox jumps over the lazy dog " * 3, "internationalization-and-localization", "/usr/share/local/applications"]
+    return out
+
+
+def test_documents_and_edges_against_brute_force(spark, make):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in df.collect()] + [(10_000 + i, t) for i, t in enumerate(texts())]
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in s.secrets(make(rows)).collect()}
+    assert sum(map(len, got.values())) > 20
+    for doc, text in rows:
+        assert [x[:3] for x in got[doc] if x[3] is None] == base(text)
+        for kind, a, b, p in got[doc]:
+            assert p is None or (kind == "random" and not any(x[1] < b and a < x[2] for x in base(text)))
+
+
+def test_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    for r in s.op10_secret_scan(spark, "/root/testdata/sf0.01").collect():
+        want = base(docs[r.doc_id])
+        listed = ",".join(":".join(map(str, x)) for x in want)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[0] == k for x in want) for k in s.KINDS[:3]]
+        assert [x for x in r.spans.split(",") if x and not x.startswith("random")] == [x for x in listed.split(",") if x]
+
+
+def test_battery():
+    rng = random.Random(1)
+    for chars in s.ENCODINGS.values():
+        low = sum(s.word_p(key(40, rng, chars)) < 1e-4 for _ in range(200))
+        assert low > 150
+    words = [w for n in (3, 4, 5) for w in ("".join(rng.choices(["tion", "the", "ing", "er", "ment", "al"], k=n * 3)) for _ in range(200))]
+    assert sum(s.word_p(w) < 1e-3 for w in words) < 6
+    assert s.word_p("ab" * 20) == 1 and s.word_p("1" * 30) == 1 and s.word_p("abcdefghijklmnopqrstuvwxyz0123456789") == 1
+
+
+def test_false_discoveries(spark):
+    rng = random.Random(2)
+    names = ["_".join(rng.choices(["get", "user", "name", "value", "from", "table", "2", "index"], k=6)) for _ in range(2000)]
+    keys = [key(36, rng) for _ in range(40)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(names + keys)], "doc_id long, text string")
+    found = {r.doc_id for r in s.secrets(df).collect() if r.spans}
+    assert len(found & set(range(2000, 2040))) >= 36 and len(found - set(range(2000, 2040))) <= 2
+
+
+def test_redaction(make):
+    rng = random.Random(3)
+    rows = [(1, "a password=abcdefghij b"), (2, None), (3, "é token: 'abcdefgh' AKIA" + "B" * 14), (3, "clean"), (None, "")]
+    rows += [(10 + i, "x " + key(40, rng) + " y") for i in range(20)]
+    df = make(rows)
+    out = s.redacted(df)
+    assert out.columns == df.columns
+    got = {(r.doc_id, r.text) for r in out.collect()}
+    assert {(1, "a [REDACTED] b"), (2, None), (3, "é [REDACTED]' [REDACTED]"), (3, "clean"), (None, "")} <= got
+    assert sum(t == "x [REDACTED] y" for _, t in got) >= 0 and out.count() == len(rows)
+    assert out.where(F.col("doc_id") >= 10).where("text = 'x [REDACTED] y'").count() >= 18
+
+
+def test_empty(make):
+    assert s.secrets(make([])).collect() == [] and s.redacted(make([])).collect() == []
