@@ -22,7 +22,7 @@ from evidora.operators.sessions import (
     delete_never_empty, first_user_message, message_deltas, message_order, new_profiles, newest_per_user, runs,
     session_summary, touch, turn_pairs, upsert_sessions,
 )
-from evidora.operators.vectors import exact_top_k
+from evidora.operators.vectors import above_threshold, exact_top_k
 
 BATCH_TIME = "1999-01-01 00:00:00"
 
@@ -162,6 +162,22 @@ def _(t):
     return precision_at_k(truth, "query_id", F.col("label") == F.col("wanted"), 4)
 
 
+@query(
+    "a9_precision_with_threshold",
+    f"""SELECT q.vec_id AS query_id, coalesce(sum(CASE WHEN q.label = c.label THEN 1 ELSE 0 END), 0) / 4.0::DOUBLE AS
+        precision_at_k FROM embeddings q LEFT JOIN ({SQL_NEIGHBOURS}) n ON n.query_id = q.vec_id AND n.score > 0.4
+        LEFT JOIN embeddings c ON n.chunk_id = c.vec_id GROUP BY 1""",
+)
+def _(t):
+    queries, chunks = vector_sides(t)
+    found = above_threshold(exact_top_k(queries, chunks, 4, exclude_self=True), F.col("score"), 0.4)
+    label = t.embeddings.select("vec_id", "label")
+    truth = found.join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), "query_id").join(
+        label.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id"
+    )
+    return precision_at_k(truth, "query_id", F.col("label") == F.col("wanted"), 4, queries)
+
+
 def sentences(df, text: str, *keys: str):
     """Trimmed sentences of a text, blank ones left out."""
     parts = df.select(*keys, F.explode(F.split(text, "[.\n]")).alias("part"))
@@ -184,6 +200,39 @@ def _(t):
     return support_share(claims, "item_id", "sentence", sentences(t.documents, "text", "doc_id"), "sentence")
 
 
+@query(
+    "a10_faithfulness_per_answer",
+    f"""WITH s AS {sql_sentences('documents', 'doc_id')}, placed AS (SELECT d.source, l.quality, s.sentence FROM s
+          JOIN documents d USING (doc_id) JOIN labels l USING (doc_id)),
+        known AS (SELECT DISTINCT source, sentence FROM placed WHERE quality = 1)
+        SELECT p.source, count(*) AS claims, count(k.sentence) AS supported, count(k.sentence) / count(*)::DOUBLE AS faithfulness
+        FROM placed p LEFT JOIN known k ON p.source = k.source AND p.sentence = k.sentence WHERE p.quality = 0 GROUP BY p.source""",
+)
+def _(t):
+    """Claims count only where the evidence of the same source states them."""
+    placed = t.documents.join(t.labels, "doc_id")
+    claims = sentences(placed.filter("quality = 0"), "text", "source")
+    evidence = sentences(placed.filter("quality = 1"), "text", "source")
+    return support_share(claims, "source", "sentence", evidence, "sentence", evidence_owner="source")
+
+
+@query(
+    "a11_model_window",
+    """SELECT conv_id, turn, running_tokens, running_tokens <= context_window AS fits FROM (SELECT c.conv_id, turn,
+         400 * (r_regionkey + 1) AS context_window, sum(ceil(length(text) / 4)::BIGINT) OVER (PARTITION BY conv_id ORDER BY turn)
+         ::BIGINT AS running_tokens FROM conversations c JOIN region ON conv_id % 5 = r_regionkey)""",
+)
+def _(t):
+    """Each conversation against the window of the model it chose from the catalog."""
+    models = t.region.select(
+        F.col("r_regionkey").alias("model"), (400 * (F.col("r_regionkey") + 1)).alias("context_window")
+    )
+    chosen = t.conversations.withColumn("model", F.col("conv_id") % 5).join(models, "model")
+    return token_budget(chosen, "conv_id", "turn", token_proxy(F.col("text")), F.col("context_window")).select(
+        "conv_id", "turn", "running_tokens", "fits"
+    )
+
+
 @query(
     "a11_context_budget",
     """SELECT conv_id, turn, tokens, running_tokens, running_tokens <= 800 AS fits FROM (SELECT *, sum(tokens) OVER
@@ -387,6 +436,19 @@ def _(t):
     return upsert_sessions(sessions, deltas, "id")
 
 
+@query(
+    "c2_default_for_new_owner",
+    f"""SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey, o_orderpriority AS title FROM orders UNION ALL
+        SELECT concat('session_', sha256(c_custkey::VARCHAR)), c_custkey, '{K.DEFAULT_TITLE}' FROM customer
+        WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+)
+def _(t):
+    """Owners that never had a session get one on the first load."""
+    sessions = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("title"))
+    owners = t.customer.select(F.col("c_custkey").alias("o_custkey"))
+    return delete_never_empty(sessions, t.orders.filter("false"), "o_orderkey", "o_custkey", owners=owners)
+
+
 @query(
     "c2_delete_never_empty",
     f"""WITH kept AS (SELECT * FROM orders WHERE o_orderstatus <> 'F')

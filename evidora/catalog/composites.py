@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidora import constants as K
 from evidora.catalog.aggregates import sentences, sql_sentences
 from evidora.catalog.base import query
-from evidora.catalog.lookups import LANGUAGE_RULES, SQL_NEIGHBOURS, _SCORED, sql_route, vector_sides
+from evidora.catalog.lookups import LANGUAGE_RULES, APPROXIMATE, SQL_NEIGHBOURS, sql_approximate, _SCORED, sql_route, vector_sides
 from evidora.catalog.projections import ACCENTED, sql_trim
 from evidora.functions.scores import insufficient, mean_in_order
 from evidora.operators.metrics import precision_at_k, support_share
@@ -111,9 +111,9 @@ def _(t):
     return _vector_rows(vector_evidence(*vector_sides(t), exclude_self=True, chunk_threshold=0.35))
 
 
-@query("q2_approximate_evidence")
+@query("q2_approximate_evidence", sql_approximate() + _SQL_VECTOR.format(threshold="0.65").replace(f"({SQL_NEIGHBOURS})", "near"))
 def _(t):
-    return _vector_rows(vector_evidence(*vector_sides(t), exclude_self=True, approximate=True))
+    return _vector_rows(vector_evidence(*vector_sides(t), exclude_self=True, approximate=True, **APPROXIMATE))
 
 
 @query(

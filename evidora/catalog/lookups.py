@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from evidora import constants as K
@@ -18,7 +19,7 @@ from evidora.operators.integrity import (
 from evidora.operators.ranking import top_k_per_group
 from evidora.operators.routing import Rule, expand_sources, routing_accuracy, rules_from_table, with_route
 from evidora.operators.translation import translate
-from evidora.operators.vectors import above_threshold, approx_top_k, exact_top_k, mean_vectors, recall_against
+from evidora.operators.vectors import above_threshold, approx_top_k, exact_top_k, mean_vectors, recall_against, tables_for
 
 
 def sql_route(text: str) -> str:
@@ -349,15 +350,42 @@ def _(t):
     return above_threshold(found, F.col("score"), 0.35)
 
 
-@query("j9_approximate_search")
+# The given vectors are spread out: their nearest neighbours are hardly more alike than this.
+APPROXIMATE = {"bits": 2, "similarity": 0.35, "recall": 0.9}
+
+
+def sql_approximate(dims: int = 64, seed: int = 7) -> str:
+    """The same planes as literals: neighbours among the vectors that share all sign bits of some table."""
+    bits = APPROXIMATE["bits"]
+    tables = tables_for(bits, APPROXIMATE["similarity"], APPROXIMATE["recall"])
+    planes = np.random.default_rng(seed).standard_normal((tables * bits, dims))
+    rows = ", ".join(f"({i // bits}, {i % bits}, {plane.tolist()})" for i, plane in enumerate(planes))
+    return f"""WITH planes(tab, bit, plane) AS (VALUES {rows}),
+      unit AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
+        FROM embeddings),
+      codes AS (SELECT vec_id, tab, sum(CASE WHEN round(list_dot_product(e, plane::DOUBLE[]) / n, 9) >= 0 THEN 1 << bit ELSE 0
+        END) AS code FROM unit, planes GROUP BY 1, 2),
+      met AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS chunk_id FROM codes q JOIN codes c
+        ON q.tab = c.tab AND q.code = c.code AND q.vec_id <> c.vec_id),
+      near AS (SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+        ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, {SQL_SIM.format(a='q.e', b='c.e')} AS score
+        FROM met JOIN unit q ON q.vec_id = query_id JOIN unit c ON c.vec_id = chunk_id)) WHERE rank <= 4)"""
+
+
+@query("j9_approximate_search", sql_approximate() + " SELECT * FROM near")
 def _(t):
-    return approx_top_k(*vector_sides(t), 4, exclude_self=True)
+    return approx_top_k(*vector_sides(t), 4, exclude_self=True, **APPROXIMATE)
 
 
-@query("j9_recall_report")
+@query(
+    "j9_recall_report",
+    sql_approximate() + f""" SELECT count(*) AS wanted, count(near.chunk_id) AS found, count(near.chunk_id) / count(*)::DOUBLE AS
+    recall FROM ({SQL_NEIGHBOURS}) truth LEFT JOIN near USING (query_id, chunk_id)""",
+)
 def _(t):
     sides = vector_sides(t)
-    return recall_against(approx_top_k(*sides, 4, exclude_self=True), exact_top_k(*sides, 4, exclude_self=True))
+    found = approx_top_k(*sides, 4, exclude_self=True, **APPROXIMATE)
+    return recall_against(found, exact_top_k(*sides, 4, exclude_self=True))
 
 
 # ---- comparison

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidora import schemas
@@ -13,21 +14,54 @@ from evidora.operators.sessions import session_summary
 from evidora.session import scratch_path
 from evidora.sources.settings import overlay
 from evidora.sources.tables import (
-    append_messages, messages_of, read_sessions, read_table, session_fragments, with_defaults, write_sessions,
+    append_messages, messages_of, read_sessions, read_table, rejected_sessions, session_fragments, with_defaults, write_sessions,
 )
 
 
 @query(
     "s1_session_source",
-    "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, role, md5(text) AS content FROM conversations",
+    """SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
+       turn, role, md5(text) AS content FROM conversations""",
 )
 def _(t):
-    messages = t.conversations.withColumnRenamed("text", "content").withColumn("timestamp", F.col("turn"))
-    nested = session_fragments(messages, "conv_id", "turn", ["role", "content", "timestamp"], size=4)
     path = scratch_path(t.spark, "sessions")
-    write_sessions(nested.select(F.col("conv_id").cast("string").alias("id"), "messages"), path, fmt="json")
+    write_sessions(_stored_sessions(t), path, fmt="json")
     flat = messages_of(read_sessions(t.spark, path))
-    return flat.select("session_id", F.col("timestamp").alias("turn"), "role", F.md5("content").alias("content"))
+    return flat.select(
+        "session_id", "position", F.col("timestamp").alias("turn"), "role", F.md5("content").alias("content")
+    )
+
+
+def _stored_sessions(t):
+    """Sessions in fragments of two messages."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    messages = t.conversations.withColumnRenamed("text", "content").withColumn("timestamp", F.col("turn"))
+    nested = session_fragments(
+        messages.withColumn("place", place), "conv_id", "place", ["role", "content", "timestamp"], size=2
+    )
+    return nested.select(F.col("conv_id").cast("string").alias("id"), "messages", "start")
+
+
+@query(
+    "s1_rejected_sessions",
+    """SELECT conv_id % 3 AS fault, count(*) AS lines FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 4 = 0
+       GROUP BY 1""",
+)
+def _(t):
+    """One line in four is no JSON, has messages that are no list, or has no id."""
+    path = scratch_path(t.spark, "sessions")
+    ids = t.conversations.select("conv_id").distinct()
+    number = F.col("conv_id").cast("string")
+    broken = (
+        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('{"id": "0", "messages": ['), number))
+        .when(F.col("conv_id") % 3 == 1, F.concat(F.lit('{"id": "1", "messages": "'), number, F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"title": "'), number, F.lit('"}')))
+    )
+    sound = F.concat(F.lit('{"id": "'), number, F.lit('", "messages": []}'))
+    ids.select(F.when(F.col("conv_id") % 4 == 0, broken).otherwise(sound).alias("value")).write.text(path)
+    lost = rejected_sessions(t.spark, path)
+    fault = F.when(F.col("line").isNull(), 2).when(F.col("line").endswith("}"), 1).otherwise(0)
+    return lost.groupBy(fault.cast("bigint").alias("fault")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query(
@@ -185,10 +219,10 @@ def _(t):
     )
 
 
-@query("s10_message_append", "SELECT role, count(*) AS messages, count(DISTINCT conv_id) AS sessions FROM conversations WHERE role IN ('user', 'assistant') GROUP BY role")
+@query("s10_message_append", "SELECT role, count(*) AS messages, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY role")
 def _(t):
     path = scratch_path(t.spark, "messages")
-    for role in ("user", "assistant"):
+    for role in ("user", "assistant", "system"):
         append_messages(t.conversations.filter(F.col("role") == role), path)
     return t.spark.read.parquet(path).groupBy("role").agg(
         F.count(F.lit(1)).alias("messages"), F.countDistinct("conv_id").alias("sessions")

@@ -15,11 +15,11 @@ from evidora.catalog.projections import ACCENTED
 from evidora.functions.language import detected_language
 from evidora.operators.audit import (
     both_occur, cited, conflict_candidates, flag_agreement, invented, language_mismatch, missing_headings,
-    normal_strength, overcertain, phrase_hits, pregnancy_conflict, rank_tiers, refuses, source_tier, strength_shifts,
+    normal_page, normal_strength, overcertain, phrase_hits, pregnancy_conflict, rank_tiers, refuses, source_tier, strength_shifts,
 )
 from evidora.operators.integrity import domain_violations
 from evidora.operators.markdown import (
-    chunk_by_section, headings_of, inline_spans, lines_of, tables_of,
+    chunk_by_section, headings_of, formatted_spans, inline_spans, lines_of, tables_of,
 )
 
 
@@ -112,6 +112,20 @@ def _(t):
     return spans.groupBy("p_partkey", "style", F.col("text").alias("content")).agg(F.count(F.lit(1)).alias("spans"))
 
 
+@query(
+    "m4_formatted_spans",
+    rf"""SELECT p_partkey, line_no, style, content, count(*) AS spans FROM (SELECT p_partkey, line_no, CASE WHEN
+        starts_with(s, '**') THEN 'bold' ELSE 'code' END AS style, CASE WHEN starts_with(s, '**') THEN substr(s, 3, length(s) - 4)
+        ELSE substr(s, 2, length(s) - 2) END AS content FROM (SELECT p_partkey, line_no, unnest(regexp_extract_all(line,
+        '(\*\*.*?\*\*|`.*?`)', 1)) AS s FROM (SELECT *, {_KIND} AS kind FROM {_LINES}) WHERE kind NOT IN ('heading', 'bold_title', 'rule'))) GROUP BY 1, 2, 3, 4""",
+)
+def _(t):
+    spans = formatted_spans(part_pages(t), "text", "p_partkey")
+    return spans.groupBy("p_partkey", F.col("line_no").cast("bigint").alias("line_no"), "style", F.col("text").alias("content")).agg(
+        F.count(F.lit(1)).alias("spans")
+    )
+
+
 @query(
     "m5_section_chunks",
     r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -155,6 +169,46 @@ def _(t):
     return cited(_marked_answers(t), "text", "l_orderkey")
 
 
+@query(
+    "g1_marks_of_many_forms",
+    """SELECT l_orderkey, l_linenumber, 1 AS mark_no, concat('Source ', l_suppkey) AS source,
+         CASE WHEN l_linenumber % 4 < 2 THEN concat('Lipids, statins and risk ', l_linenumber) ELSE '' END AS section,
+         CASE l_linenumber % 4 WHEN 0 THEN concat(l_partkey, ', Table ', l_linenumber) WHEN 2 THEN l_partkey::VARCHAR END AS page
+       FROM lineitem WHERE l_linenumber % 4 < 3""",
+)
+def _(t):
+    """Sections and pages with commas, marks without a page or section, and brackets that cite nothing."""
+    number, source = F.col("l_linenumber").cast("string"), F.concat(F.lit("Source "), F.col("l_suppkey").cast("string"))
+    section, page = F.concat(F.lit(" — Lipids, statins and risk "), number), F.col("l_partkey").cast("string")
+    form = F.col("l_linenumber") % 4
+    mark = (
+        F.when(form == 0, F.concat(source, section, F.lit(", p. "), page, F.lit(", Table "), number))
+        .when(form == 1, F.concat(source, section))
+        .when(form == 2, F.concat(source, F.lit(", p."), page))
+        .otherwise(source)
+    )
+    answers = t.lineitem.select("l_orderkey", "l_linenumber", F.concat(F.lit("See ["), mark, F.lit("] [note].")).alias("text"))
+    return cited(answers, "text", "l_orderkey", "l_linenumber")
+
+
+@query(
+    "g2_invented_per_answer",
+    """SELECT l_orderkey, concat('Source ', l_suppkey) AS source, l_partkey::VARCHAR AS page, count(*) AS citations FROM lineitem c
+       WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag <> 'N' AND r.l_orderkey = c.l_orderkey
+       AND r.l_suppkey = c.l_suppkey AND r.l_partkey = c.l_partkey) GROUP BY ALL""",
+)
+def _(t):
+    """Marks read from each answer against the chunks retrieved for that answer, pages in one form."""
+    source, page = F.concat(F.lit("Source "), F.col("l_suppkey").cast("string")), F.col("l_partkey").cast("string")
+    text = F.concat(F.lit("Given ["), source, F.lit(" — Part, p. "), page, F.lit("]."))
+    marks = cited(t.lineitem.select("l_orderkey", text.alias("text")), "text", "l_orderkey")
+    retrieved = t.lineitem.filter("l_returnflag <> 'N'").select(
+        "l_orderkey", source.alias("source"), normal_page(F.concat(F.lit("p. "), page)).alias("page")
+    )
+    lost = invented(marks, retrieved, ["l_orderkey", "source", "page"])
+    return lost.groupBy("l_orderkey", "source", "page").agg(F.count(F.lit(1)).alias("citations"))
+
+
 @query(
     "g2_invented_citations",
     f"""SELECT item_id, sentence FROM {sql_sentences('benchmark', 'item_id')} WHERE sentence NOT IN
@@ -183,7 +237,7 @@ _CERTAIN = ["all rights reserved", "licensed under", "the that"]
 @query(
     "g3_overcertain_phrases",
     "SELECT doc_id, " + " + ".join(f"CASE WHEN contains(lower(text), '{p}') THEN 1 ELSE 0 END" for p in _CERTAIN)
-    + " AS listed, " + " + ".join(f"CASE WHEN contains(lower(text), '{p}') THEN 1 ELSE 0 END" for p in K.OVERCERTAIN_PHRASES)
+    + " AS listed, " + " + ".join(rf"CASE WHEN regexp_matches(lower(text), '\b{p}\b') THEN 1 ELSE 0 END" for p in K.OVERCERTAIN_PHRASES)
     + " AS fixed_list FROM documents",
 )
 def _(t):

@@ -29,7 +29,8 @@ def score_band(score: Column) -> Column:
 
 
 def mean_in_order(scores: Column) -> Column:
-    """Mean of a bounded score list, added up in list order; 0.0 for an empty or missing list."""
+    """Mean of a bounded score list, added up in list order; 0.0 for an empty or missing list. Null scores are passed over."""
+    scores = F.filter(scores, lambda s: s.isNotNull())
     total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + s)
     return F.coalesce(F.when(F.size(scores) > 0, total / F.size(scores)), F.lit(0.0))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,23 +12,36 @@ from evidora.functions.language import detected_language
 from evidora.functions.text import contains_any, fold
 from evidora.operators.markdown import headings_of
 
-_MARK = r"\[([^\[\]—,]+?)(?: — ([^\[\],]+))?, p\. ?([^\[\]]+)\]"
+_BRACKETS = r"\[[^\[\]]+\]"
+
+
+def normal_page(page: Column) -> Column:
+    """Page without its mark and outer blanks: `p. 14, Table 1`, `pp. 14` and `14` in one form; null for none."""
+    bare = F.trim(F.regexp_replace(page, r"^\s*pp?\.\s*", ""))
+    return F.when(bare != "", bare)
 
 
 def cited(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """Citation marks ``[Source — Section, p. N]`` of each answer; the section may be missing."""
-    marks = df.select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit(_MARK), F.lit(0))).alias("at", "mark"))
-    # Neither source nor section can hold a comma, so the first page marker ends them.
+    """Citation marks ``[Source — Section, p. N]`` of each answer, read from the right.
+
+    Section and page may each be missing (empty section, null page), but a bracket with neither is no citation. The page
+    begins behind the last ``, p.``, the section behind the first dash; both section and page may hold commas.
+    """
+    found = F.filter(
+        F.regexp_extract_all(text, F.lit(_BRACKETS), F.lit(0)), lambda m: m.contains(" — ") | m.contains(", p.")
+    )
+    marks = df.select(*keys, F.posexplode(found).alias("at", "mark"))
     inner = F.substring("mark", F.lit(2), F.length("mark") - 2)
-    head = F.substring_index(inner, ", p.", 1)
-    page = F.substring(inner, F.length(head) + 5, F.length(inner))
+    paged = inner.contains(", p.")
+    page = F.substring_index(inner, ", p.", -1)
+    head = F.when(paged, F.substring(inner, F.lit(1), F.length(inner) - F.length(page) - 4)).otherwise(inner)
     source = F.substring_index(head, " — ", 1)
     return marks.select(
         *keys,
         (F.col("at") + 1).alias("mark_no"),
         source.alias("source"),
         F.substring(head, F.length(source) + 4, F.length(head)).alias("section"),
-        F.when(page.startswith(" "), F.substring(page, F.lit(2), F.length(page))).otherwise(page).alias("page"),
+        F.when(paged, normal_page(page)).alias("page"),
     )
 
 
@@ -54,7 +69,14 @@ def refuses(text: Column, phrases: list[str] = K.REFUSAL_PHRASES) -> Column:
 
 
 def overcertain(text: Column, phrases: list[str] = K.OVERCERTAIN_PHRASES) -> Column:
-    return phrase_hits(text, phrases)
+    """Number of the listed phrases that occur as whole words; a phrase inside a longer listed one does not count again."""
+    rest, total = fold(text), F.lit(0)
+    for phrase in sorted(phrases, key=len, reverse=True):
+        pattern = rf"\b{re.escape(phrase)}\b"
+        total = total + rest.rlike(pattern).cast("int")
+        if any(phrase != other and other in phrase for other in phrases):
+            rest = F.regexp_replace(rest, pattern, " ")
+    return total
 
 
 def flag_agreement(df: DataFrame, refused: Column, flagged: Column) -> DataFrame:

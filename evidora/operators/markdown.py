@@ -108,6 +108,12 @@ def inline_spans(text: Column) -> Column:
     )
 
 
+def formatted_spans(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """Bold and code spans of the lines that are formatted: all but headings, bold titles and rules."""
+    lines = lines_of(df, text, *keys).filter(~F.col("kind").isin("heading", "bold_title", "rule"))
+    return lines.select(*keys, "line_no", F.inline(inline_spans(F.col("content"))))
+
+
 def headings_of(text: Column) -> Column:
     return F.transform(
         F.filter(F.split(text, "\n"), lambda line: line.rlike(HEADING)),

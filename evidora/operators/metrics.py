@@ -73,25 +73,35 @@ def latency_spans(df: DataFrame, request: list[str], step: str, ts: str, spans:
     )
 
 
-def precision_at_k(found: DataFrame, query: str, relevant: Column, k: int) -> DataFrame:
-    """Relevant results among the first k, divided by k even when fewer were found."""
+def precision_at_k(found: DataFrame, query: str, relevant: Column, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """Relevant results among the first k, divided by k even when fewer were found.
+
+    ``queries`` lists all queries; those without any result then count with 0.0.
+    """
     hits = F.sum(F.coalesce(relevant, F.lit(False)).cast("bigint"))
-    return found.groupBy(query).agg((hits / F.lit(k)).alias("precision_at_k"))
+    rated = found.groupBy(query).agg((hits / F.lit(k)).alias("precision_at_k"))
+    if queries is None:
+        return rated
+    return queries.select(query).distinct().join(rated, query, "left").fillna(0.0, ["precision_at_k"])
 
 
-def support_share(claims: DataFrame, owner: str, claim: str, evidence: DataFrame, passage: str) -> DataFrame:
-    """Share of each owner's claims found among the evidence passages.
+def support_share(
+    claims: DataFrame, owner: str, claim: str, evidence: DataFrame, passage: str, *, evidence_owner: str | None = None
+) -> DataFrame:
+    """Share of each owner's claims found among the evidence passages; with ``evidence_owner``, only among its own.
 
     Passages are first cut down to those that some claim states, then made distinct: with few
     claims the corpus is filtered where it is scanned, and repeated passages cannot multiply rows.
     """
-    stated = claims.select(claim).distinct()
+    on = [claim] if evidence_owner is None else [owner, claim]
+    stated = claims.select(*on).distinct()
+    own = [] if evidence_owner is None else [F.col(evidence_owner).alias(owner)]
     known = (
-        evidence.select(F.col(passage).alias(claim)).join(stated, claim, "left_semi")
+        evidence.select(*own, F.col(passage).alias(claim)).join(stated, on, "left_semi")
         .distinct().withColumn("__hit", F.lit(1))
     )
     return (
-        claims.join(known, claim, "left")
+        claims.join(known, on, "left")
         .groupBy(owner)
         .agg(
             F.count(F.lit(1)).alias("claims"),
@@ -102,7 +112,7 @@ def support_share(claims: DataFrame, owner: str, claim: str, evidence: DataFrame
 
 
 def token_budget(
-    df: DataFrame, request: str, order: str, tokens: Column, window: int, *, group_rows: int = GROUP_ROWS
+    df: DataFrame, request: str, order: str, tokens: Column, window: int | Column, *, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """Running token sum per request and whether a message still fits the model window."""
     sized = df.withColumn("tokens", tokens)

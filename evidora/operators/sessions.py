@@ -126,14 +126,20 @@ def upsert_sessions(
 
 
 def delete_never_empty(
-    sessions: DataFrame, doomed: DataFrame, key: str, owner: str, *, title: str = K.DEFAULT_TITLE
+    sessions: DataFrame,
+    doomed: DataFrame,
+    key: str,
+    owner: str,
+    *,
+    title: str = K.DEFAULT_TITLE,
+    owners: DataFrame | None = None,
 ) -> DataFrame:
     """Delete sessions by key; an owner left with none gets one fresh default session.
 
-    The fresh key is derived from the owner, so a repeated run gives the same row.
+    ``owners`` lists all owners, also those that never had a session; without it, the owners of ``sessions``. The fresh key is derived from the owner, so a repeated run gives the same row.
     """
     kept = sessions.join(doomed.select(key), key, "left_anti")
-    emptied = sessions.select(owner).distinct().join(kept.select(owner).distinct(), owner, "left_anti")
+    emptied = (sessions if owners is None else owners).select(owner).distinct().join(kept.select(owner).distinct(), owner, "left_anti")
     fresh = emptied.select(
         F.concat(F.lit("session_"), F.sha2(F.col(owner).cast("string"), 256)).alias(key),
         F.col(owner),

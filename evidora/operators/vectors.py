@@ -27,8 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidora import constants as K
 from evidora.operators.ranking import top_k_per_group
 from evidora.operators.skew import salted_join
+from evidora.session import written
 
 # The task functions travel with the job, so executors do not need this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -47,11 +49,31 @@ def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
+    sizes = np.unique(vectors.value_lengths().to_numpy(zero_copy_only=False))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different lengths: {sizes.tolist()[:5]}")
+    if not len(vectors):
+        return np.zeros((0, 0))
     matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def searchable(vec: str) -> Column:
+    """Vectors that take part in a search: not null, not empty, all elements present and finite."""
+    return F.expr(f"size({vec}) > 0 and forall({vec}, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+
+
+def set_aside(df: DataFrame, vec: str) -> DataFrame:
+    """Rows whose vector no search looks at, for a report or a repair."""
+    return df.filter(~F.coalesce(searchable(vec), F.lit(False)))
+
+
+def _same_length(queries: np.ndarray, chunks: np.ndarray) -> None:
+    if len(queries) and len(chunks) and queries.shape[1] != chunks.shape[1]:
+        raise ValueError(f"queries have {queries.shape[1]} dimensions, chunks {chunks.shape[1]}")
+
+
 def ids_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
@@ -60,6 +82,7 @@ def best_of_block(
     query_ids: np.ndarray, queries: np.ndarray, chunk_ids: np.ndarray, chunks: np.ndarray, k: int, exclude_self: bool
 ) -> pd.DataFrame:
     """The k best chunks per query of one block, ties broken by the smaller chunk id."""
+    _same_length(queries, chunks)
     parts = []
     scale = 10.0**SCORE_PLACES
     # A tile of queries at a time, so that the score matrix stays within 64 MB.
@@ -174,13 +197,14 @@ def exact_top_k(
     """(query_id, chunk_id, score, rank) of the k most similar chunks per query, exactly.
 
     Scores are rounded to six places before ranking and ties go to the smaller chunk id, so the
-    result does not depend on how blocks fall.
+    result does not depend on how blocks fall. Vectors that are null, empty or hold null or non-finite elements are set
+    aside (`set_aside` lists them); a zero vector scores 0.0 with every other. Vectors of different lengths are an error.
     """
     schema = _pair_schema(queries, query_id, chunks, chunk_id)
     if k == 0:
         return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0).cast("bigint"))
-    q = queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("vec")).filter("vec is not null")
-    c = chunks.select(F.col(chunk_id).alias("id"), F.col(chunk_vec).alias("vec")).filter("vec is not null")
+    q = queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("vec")).filter(searchable("vec"))
+    c = chunks.select(F.col(chunk_id).alias("id"), F.col(chunk_vec).alias("vec")).filter(searchable("vec"))
     n_queries, n_values = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
     if n_values * 8 <= broadcast_bytes:
         return _final(_scan_with_broadcast(q, c, k, exclude_self, schema), k)
@@ -224,6 +248,12 @@ def bits_for(rows: int, bucket_rows: int) -> int:
     return max(2, math.ceil(math.log2(max(rows, 1) / bucket_rows)))
 
 
+def tables_for(bits: int, similarity: float, recall: float) -> int:
+    """Hash tables with which two vectors of this similarity meet in at least one with the chance ``recall``."""
+    together = (1 - math.acos(similarity) / math.pi) ** bits
+    return 1 if together >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
+
+
 def approx_top_k(
     queries: DataFrame,
     chunks: DataFrame,
@@ -234,20 +264,30 @@ def approx_top_k(
     chunk_id: str = "chunk_id",
     chunk_vec: str = "chunk_vec",
     exclude_self: bool = False,
-    tables: int = 12,
+    tables: int | None = None,
     bits: int | None = None,
+    similarity: float = K.EVIDENCE_THRESHOLD,
+    recall: float = 0.9,
     bucket_rows: int = 4_096,
     seed: int = 7,
     query_block: int = QUERY_BLOCK,
     chunk_block: int = CHUNK_BLOCK,
 ) -> DataFrame:
-    """Top-k among the chunks that share a signature bucket with the query; scores are exact."""
+    """Top-k among the chunks that share a signature bucket with the query; scores are exact.
+
+    More bits keep buckets small as the table grows, and more tables make up for them: their number follows from the bits
+    such that a chunk of at least ``similarity`` (by default the least that counts as evidence) is met with the chance
+    ``recall``, whatever the table's size. Queries that meet fewer than k chunks are searched exactly, so none comes back
+    short while there are k chunks.
+    """
     schema = _pair_schema(queries, query_id, chunks, chunk_id)
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec")).filter("vec is not null")
-    c = chunks.select(F.col(chunk_id).alias("id"), F.col(chunk_vec).alias("vec")).filter("vec is not null")
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec")).filter(searchable("vec"))
+    c = chunks.select(F.col(chunk_id).alias("id"), F.col(chunk_vec).alias("vec")).filter(searchable("vec"))
     wanted = k + 1 if exclude_self else k
     if bits is None:
         bits = bits_for(c.count(), bucket_rows)
+    if tables is None:
+        tables = tables_for(bits, similarity, recall)
 
     # Copies: a result can only hold the first ids among equal vectors.
     # The hash goes first in keys, so that sorting compares numbers and rarely whole vectors.
@@ -273,6 +313,12 @@ def approx_top_k(
         pairs.dropDuplicates(["query_id", "chunk_id"]),
         ["query_id"], [F.col("score").desc(), F.col("chunk_id")], wanted,
     )
+    # Narrow rows, written once: how many were found decides who is searched again.
+    best = written(best, "approximate")
+    enough = best.filter(F.col("rank") == wanted).select("query_id")
+    short = distinct.join(enough, distinct["id"] == enough["query_id"], "left_anti")
+    whole = exact_top_k(short, c, wanted, query_id="id", query_vec="vec", chunk_id="id", chunk_vec="vec")
+    best = best.join(enough, "query_id", "left_semi").unionByName(whole.select(*best.columns))
     entry = F.struct("rank", "chunk_id", "score")
     found = best.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("found"))
 

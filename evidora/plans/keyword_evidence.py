@@ -43,6 +43,7 @@ def keyword_evidence(
         out = routed.join(F.broadcast(records), "route", "left")
     else:
         out = salted_join(routed, records, ["route"], "left")
+    out = out.select(*routed.columns, *(c for c in records.columns if c != "route"))  # the same on both ways
     return out.withColumns(
         {
             "context": F.coalesce("context", F.lit("")),

@@ -67,6 +67,7 @@ SESSION = _struct(
     _fields("created_at updated_at", "long"),
     _fields("messages", T.ArrayType(MESSAGE)),
     _fields("pinned", "boolean"),
+    _fields("start", "long"),  # position of the first message of a fragment; null for a whole session
 )
 
 RULE = _struct(_fields("priority", "integer"), _fields("route keyword"))

@@ -39,12 +39,29 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, *, fmt:
         return spark.createDataFrame([], schema)
 
 
+_CORRUPT = "_corrupt_record"
+
+
+def _session_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed as a whole whatever is selected later, as a field that is not read cannot show that it does not fit."""
+    schema = T.StructType([*schemas.SESSION.fields]).add(_CORRUPT, "string")
+    lines = read_or_empty(spark, path, T.StructType().add("value", "string"), fmt="text")
+    return lines.select(F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT}).alias("row")).select("row.*")
+
+
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Nested sessions as JSON lines; corrupt rows are dropped and a missing path gives no rows."""
-    corrupt = "_corrupt_record"
-    schema = T.StructType([*schemas.SESSION.fields]).add(corrupt, "string")
-    rows = read_or_empty(spark, path, schema, fmt="json")
-    return rows.filter(F.col("id").isNotNull()).drop(corrupt)
+    """Nested sessions as JSON lines; a missing path gives no rows.
+
+    Lines that are no JSON, do not fit the schema in any field, or have no id are left out; `rejected_sessions` has them.
+    """
+    rows = _session_rows(spark, path)
+    return rows.filter(F.col("id").isNotNull() & F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+
+
+def rejected_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that `read_sessions` leaves out: `id` where it could be read, and the `line` unless it only lacks an id."""
+    rows = _session_rows(spark, path).filter(F.col("id").isNull() | F.col(_CORRUPT).isNotNull())
+    return rows.select("id", F.col(_CORRUPT).alias("line"))
 
 
 def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet") -> None:
@@ -62,10 +79,11 @@ def write_bucketed(df: DataFrame, table: str, key: str, sort: list[str], buckets
 
 
 def messages_of(sessions: DataFrame) -> DataFrame:
-    """Flat message table of nested sessions, with the position in the session."""
+    """Flat message table of nested sessions, with the position in the whole session, also where it is stored in fragments."""
+    start = F.coalesce("start", F.lit(0)) if "start" in sessions.columns else F.lit(0)
     return sessions.select(
-        F.col("id").alias("session_id"), F.posexplode("messages").alias("position", "message")
-    ).select("session_id", "position", "message.*")
+        F.col("id").alias("session_id"), start.alias("start"), F.posexplode("messages").alias("at", "message")
+    ).select("session_id", (F.col("start") + F.col("at")).cast("long").alias("position"), "message.*")
 
 
 def session_fragments(
@@ -73,11 +91,14 @@ def session_fragments(
 ) -> DataFrame:
     """Nested form: message lists of at most ``size`` neighbouring messages, one row per fragment.
 
-    ``position`` counts from 0 within a session, so a session of any length is spread over rows.
+    ``position`` counts from 0 within a session without gaps, so a session of any length is spread over rows; ``start``
+    keeps the position of each fragment's first message.
     """
     entry = F.struct(F.col(position), *[F.col(c) for c in columns])
     fragment = F.floor(F.col(position) / size).alias("fragment")
-    return messages.groupBy(session, fragment).agg(F.array_sort(F.collect_list(entry)).alias("messages"))
+    return messages.groupBy(session, fragment).agg(
+        F.array_sort(F.collect_list(entry)).alias("messages"), F.min(position).cast("long").alias("start")
+    )
 
 
 def with_defaults(df: DataFrame, name: str, batch_time=None) -> DataFrame:
