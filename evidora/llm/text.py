@@ -20,6 +20,14 @@ _IS_PLAIN = np.ones(256, dtype=bool)
 _IS_PLAIN[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
 
 
+def fresh(name: str, *taken: list[str]) -> str:
+    """The name, with as many underscores behind it as it takes to be none of those taken (in any case)."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null and empty texts."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
