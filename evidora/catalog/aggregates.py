@@ -12,7 +12,7 @@ from evidora.functions.text import token_proxy
 from evidora.operators.evidence import citations_of, collect_ranked, context_of, score_evidence, within_budget
 from evidora.operators.integrity import delete_by_ids, duplicate_keys
 from evidora.operators.metrics import (
-    latency_rollup, precision_at_k, share_of_total, support_share, token_budget, unequal_lists,
+    latency_rollup, latency_rollup_approximate, precision_at_k, share_of_total, support_share, token_budget, unequal_lists,
 )
 from evidora.operators.ordered import ordered
 from evidora.operators.ranking import (
@@ -147,6 +147,18 @@ def _(t):
     return rolled.withColumns({c: F.round(c, 6) for c in ("p50_latency", "p95_latency")})
 
 
+@query(
+    "a8_latency_rollup_approximate",
+    """SELECT event_type, count(*) AS requests, sum(CAST(value AS DECIMAL(28,6)))::DOUBLE / count(value) AS mean_latency,
+       min(value) AS min_latency, max(value) AS max_latency, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS tokens,
+       quantile_disc(value, 0.5) AS p50_latency, quantile_disc(value, 0.95) AS p95_latency FROM events GROUP BY event_type""",
+)
+def _(t):
+    """Sketches as fine as the given groups, so that they return the values at the ranks themselves."""
+    tokens = F.get_json_object("props", "$.k").cast("bigint")
+    return latency_rollup_approximate(t.events, ["event_type"], "value", tokens, accuracy=1_000_000)
+
+
 @query(
     "a9_precision_at_k",
     f"""SELECT query_id, sum(CASE WHEN q.label = c.label THEN 1 ELSE 0 END) / 4.0::DOUBLE AS precision_at_k

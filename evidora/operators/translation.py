@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidora.functions.text import falsy_or
-from evidora.operators.skew import salted_join
 
 
 def translate(
@@ -21,17 +20,22 @@ def translate(
     known = memory.groupBy(F.col("original").alias("__wanted")).agg(
         F.min("translated").alias("__translated"), F.lit(True).alias("__known")
     )
-    # Rows that need no translation get keys of their own: null keys would all meet in one task.
-    no_match = F.concat(F.lit("\0"), F.xxhash64(*df.columns).cast("string"))
-    wanted = F.when(F.col(lang) == needs, F.col(text)).otherwise(no_match)
-    joined = salted_join(df.withColumn("__wanted", wanted), known, ["__wanted"], "left")
-    direct = F.col(lang) != needs
+    # Only texts that need it are looked up, by a hash of the text and then the text itself; one text that very many rows
+    # ask for is split by adaptive execution. All other rows stay where they are.
+    asked = df.filter(F.col(lang) == needs).withColumn("__key", F.xxhash64(text))
+    known = known.withColumn("__known_key", F.xxhash64("__wanted"))
+    same = (F.col("__key") == F.col("__known_key")) & (F.col(text) == F.col("__wanted"))
     hit = F.coalesce(F.col("__known"), F.lit(False))
-    return joined.withColumns(
+    found = asked.join(known, same, "left").withColumns(
         {
-            "translated_query": F.when(direct | ~hit, F.col(text)).otherwise(
-                falsy_or(F.col("__translated"), F.col(text), empty="")
-            ),
-            "translation_model": F.when(direct, "direct").when(hit, model).otherwise("fallback"),
+            "translated_query": F.when(~hit, F.col(text)).otherwise(falsy_or(F.col("__translated"), F.col(text), empty="")),
+            "translation_model": F.when(hit, model).otherwise("fallback"),
         }
-    ).drop("__wanted", "__translated", "__known")
+    )
+    rest = df.filter(~F.coalesce(F.col(lang) == needs, F.lit(False))).withColumns(
+        {
+            "translated_query": F.col(text),
+            "translation_model": F.when(F.col(lang) != needs, "direct").otherwise("fallback"),
+        }
+    )
+    return found.drop("__wanted", "__translated", "__known", "__key", "__known_key").unionByName(rest)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,10 +63,9 @@ def live_metrics(
 def activity_sessions(stream: DataFrame, ts: str, user: str, *, gap: str, late: str) -> DataFrame:
     """Sessions per user that end after a gap of inactivity.
 
-    Rows are merged inside each task before the shuffle, which keeps a busy user from sending
-    every event to one task.
+    With ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` set to true in the session, rows are merged
+    inside each task before the shuffle, which keeps a busy user from sending every event to one task.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         stream.withWatermark(ts, late)
         .groupBy(F.session_window(ts, gap), user)
@@ -80,18 +76,8 @@ def activity_sessions(stream: DataFrame, ts: str, user: str, *, gap: str, late:
 
 
 def drop_copies(stream: DataFrame, ts: str, keys: list[str], *, late: str) -> DataFrame:
-    """One message per key within the watermark.
-
-    Copies that meet in one Arrow batch are dropped before the shuffle, so a message repeated many
-    times does not pile up in one task.
-    """
-
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.drop_duplicates(subset=keys)
-
-    thinned = stream.mapInPandas(thin, stream.schema)
-    return thinned.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    """One message per key within the watermark."""
+    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
 def profiles_for_new_users(

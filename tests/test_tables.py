@@ -9,7 +9,7 @@ from evidora.operators import integrity, metrics, sessions
 from evidora.operators.ranking import limit_k, pick_positions, top_k_per_group
 from evidora.sources.settings import overlay
 from evidora.sources.tables import (
-    append_messages, messages_of, read_or_empty, read_sessions, read_table, session_fragments, with_defaults,
+    append_messages, messages_of, read_or_empty, read_sessions, read_table, rejected_sessions, session_fragments, with_defaults,
     write_bucketed, write_sessions,
 )
 
@@ -29,6 +29,20 @@ def test_sessions_from_json(spark, tmp_path):
     assert rows["m1"].position == 0 and rows["m1"].citations is None
 
 
+def test_rejected_lines_and_long_sessions(spark, tmp_path):
+    messages = spark.range(2500).select(F.lit("s").alias("id"), F.col("id").alias("pos"), F.lit("x").alias("content"))
+    nested = session_fragments(messages, "id", "pos", ["content"])
+    write_sessions(nested, str(tmp_path / "long"), fmt="json")
+    flat = messages_of(read_sessions(spark, str(tmp_path / "long"))).collect()
+    assert sorted(r.position for r in flat) == list(range(2500))
+    (tmp_path / "b").mkdir()
+    lines = ['{"id": "a", "messages": []}', '{"id": "b", "messages": 5}', "{broken", '{"title": "t"}', '{"id": "c", "pinned": "x"}']
+    (tmp_path / "b" / "x.json").write_text("\n".join(lines))
+    assert [r.id for r in read_sessions(spark, str(tmp_path / "b")).select("id").collect()] == ["a"]
+    lost = {r.line for r in rejected_sessions(spark, str(tmp_path / "b")).collect()}
+    assert lost == {lines[1], lines[2], lines[4], None}
+
+
 def test_missing_path_is_empty(spark, tmp_path):
     assert read_sessions(spark, str(tmp_path / "none")).count() == 0
     assert read_or_empty(spark, str(tmp_path / "none"), schemas.PROFILE).count() == 0

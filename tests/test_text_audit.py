@@ -68,6 +68,21 @@ def test_citation_marks(spark):
     ]
 
 
+def test_marks_without_page_and_with_commas(spark):
+    text = "[NICE NG238 — Lipids, statins and risk, p. 9] [S — Only a section] [S, p. p. 14, Table 1] [note] [a, b]"
+    rows = audit.cited(spark.createDataFrame([(1, text)], "id int, t string"), "t", "id").collect()
+    assert [(r.source, r.section, r.page) for r in rows] == [
+        ("NICE NG238", "Lipids, statins and risk", "9"), ("S", "Only a section", None), ("S", "", "14, Table 1"),
+    ]
+    pages = spark.createDataFrame([("p. 14, Table 1",), ("pp. 3-4",), (" 7 ",), ("p. ",), (None,)], "p string")
+    assert [r.p for r in pages.select(audit.normal_page(F.col("p")).alias("p")).collect()] == ["14, Table 1", "3-4", "7", None, None]
+
+
+def test_whole_words_only(spark):
+    df = spark.createDataFrame([("indefinitely, uncertainly",), ("You definitely have it, certainly; definitely.",)], "t string")
+    assert [r.o for r in df.select(audit.overcertain(F.col("t")).alias("o")).collect()] == [0, 3]
+
+
 def test_invented_citations(spark):
     cited = spark.createDataFrame([(1, "S", "3"), (1, "S", "4"), (2, "S", "3")], "a int, source string, page string")
     retrieved = spark.createDataFrame([(1, "S", "3"), (1, "S", "3"), (2, "T", "3")], "a int, source string, page string")
@@ -79,7 +94,7 @@ def test_phrases(spark):
     rows = [(K.REFUSAL_PHRASES[0].capitalize() + ".",), ("This proves it, definitely.",), ("You definitely have it",), ("fine",)]
     df = spark.createDataFrame(rows, "t string")
     got = df.select(audit.refuses(F.col("t")).alias("r"), audit.overcertain(F.col("t")).alias("o")).collect()
-    assert [tuple(r) for r in got] == [(True, 0), (False, 2), (False, 2), (False, 0)]
+    assert [tuple(r) for r in got] == [(True, 0), (False, 2), (False, 1), (False, 0)]
 
 
 @pytest.mark.parametrize(

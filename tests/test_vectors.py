@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidora.operators.vectors import approx_top_k, bits_for, exact_top_k, mean_vectors, recall_against
+from evidora.operators.vectors import approx_top_k, bits_for, exact_top_k, mean_vectors, recall_against, set_aside, tables_for
 
 SCALE = 1e6
 
@@ -109,3 +109,39 @@ def test_bits_follow_the_table_size():
 def test_mean_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 6.0]), (2, [0.5, 0.5])], "k int, v array<double>")
     assert {r.k: list(r.mean_vec) for r in mean_vectors(df, "k", "v").collect()} == {1: [2.0, 4.0], 2: [0.5, 0.5]}
+
+
+@pytest.mark.parametrize("way", ["broadcast", "grid", "approximate"])
+def test_unusable_vectors_cost_no_result(spark, way):
+    rng = np.random.default_rng(6)
+    good = rng.standard_normal((60, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(good)]
+    bad = [(100, [float("inf")] + [1.0] * 7), (101, [float("nan")] * 8), (102, None), (103, []), (104, [None] + [1.0] * 7)]
+    c = spark.createDataFrame(rows + bad, "chunk_id long, chunk_vec array<float>")
+    q = spark.createDataFrame(rows[:20] + bad[:2], "query_id long, query_vec array<float>")
+    assert sorted(r.chunk_id for r in set_aside(c, "chunk_vec").collect()) == [100, 101, 102, 103, 104]
+    if way == "approximate":
+        got = approx_top_k(q, c, 3, bits=0)
+    else:
+        got = exact_top_k(q, c, 3, broadcast_bytes=1 << 20 if way == "broadcast" else 0, query_block=7, chunk_block=9)
+    assert found(got) == brute(good[:20], good, 3)
+
+
+def test_mixed_lengths_are_an_error(spark):
+    q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, query_vec array<float>")
+    c = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0])], "chunk_id long, chunk_vec array<float>")
+    with pytest.raises(Exception, match="dimensions|different lengths"):
+        exact_top_k(q, c, 1).collect()
+
+
+@pytest.mark.parametrize("bits", [6, 8, 10])
+def test_recall_target_holds_with_more_bits(spark, bits):
+    rng = np.random.default_rng(bits)
+    centres = rng.standard_normal((80, 32))
+    rows = np.concatenate([centres + rng.standard_normal(centres.shape) * 0.35 for _ in range(5)])
+    q, c = frame(spark, rows, "query_id", "query_vec"), frame(spark, rows, "chunk_id", "chunk_vec")
+    truth = exact_top_k(q, c, 4, exclude_self=True)
+    got = approx_top_k(q, c, 4, exclude_self=True, bits=bits, similarity=0.8).cache()
+    assert recall_against(got, truth).first().recall >= 0.9
+    assert got.groupBy("query_id").count().filter("count = 4").count() == len(rows)
+    assert tables_for(bits, 0.8, 0.9) < tables_for(bits + 2, 0.8, 0.9)
