@@ -200,8 +200,8 @@ def overlaps(
 
 def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
     """The rows of `docs` without any overlap; those with a null text stay."""
-    items = items.withColumn("decontamination_item", F.monotonically_increasing_id())
-    column, _ = hits(docs.sparkSession, F.col(text_col), items, id_col="decontamination_item", text_col=item_text_col)
+    items = items.select(F.monotonically_increasing_id().alias("item"), F.col(item_text_col).alias("text"))
+    column, _ = hits(docs.sparkSession, F.col(text_col), items, id_col="item", text_col="text")
     return docs.where(F.size(column) == 0)
 
 

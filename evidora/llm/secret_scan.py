@@ -160,6 +160,8 @@ def _scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 spans = spans_of(part[int(i)].as_py())
                 found[done + i] = [dict(zip(("kind", "start", "end", "p"), s, strict=True)) for s in spans]
             done += len(part)
+            del part
+        del batch
         yield pa.array(found, _SPANS_ARROW)
 
 
@@ -194,29 +196,29 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return rows.withColumn("spans", F.filter("spans", lambda s: s["p"].isNull() | (s["p"] <= limit)))
 
 
-@F.arrow_udf(T.StringType())
-def _redact(texts: pa.Array, limits: pa.Array) -> pa.Array:
-    out = texts.to_pylist()
-    look = _worth_a_look(texts.fill_null(""))
-    for i in np.flatnonzero(look):
-        if out[i] is None:
-            continue
-        limit, end, parts = limits[int(i)].as_py(), 0, []
-        for _, a, b, p in spans_of(out[i]):
-            if p is not None and p > limit:
-                continue
-            if a >= end:
-                parts += [out[i][end:a], "[REDACTED]"]
-            end = max(end, b)
-        out[i] = "".join([*parts, out[i][end:]])
-    return pa.array(out, pa.string())
+def _blotted(text: Column, spans: Column) -> Column:
+    """The text with each span, or group of spans that overlap or touch, replaced; spans are in order of their start."""
+    start = F.struct(F.lit(0).alias("end"), F.lit("").alias("done"))
+
+    def add(so_far: Column, s: Column) -> Column:
+        apart = (s["start"] > so_far["end"]) | (so_far["done"] == "")
+        before = F.substring(text, so_far["end"] + 1, s["start"] - so_far["end"])
+        done = F.when(apart, F.concat(so_far["done"], before, F.lit("[REDACTED]"))).otherwise(so_far["done"])
+        return F.struct(F.greatest(so_far["end"], s["end"]).alias("end"), done.alias("done"))
+
+    whole = F.aggregate(spans, start, add)
+    rest = F.substring(text, whole["end"] + 1, F.char_length(text))
+    return F.when(F.size(spans) > 0, F.concat(whole["done"], rest)).otherwise(text)
 
 
 def redacted(docs: DataFrame, *, text_col: str = "text", rate: float = FDR) -> DataFrame:
     """The same rows with each secret in the text replaced by `[REDACTED]`; null texts stay null."""
     text = F.col(text_col).cast("string")
     limit = threshold(docs.select(scanned(text).alias("spans")), rate=rate)
-    return docs.withColumn(text_col, _redact(text, F.lit(limit)))
+    name = tx.fresh("secret_spans", docs.columns)
+    seen = docs.withColumn(name, scanned(text))
+    seen = seen.withColumn(name, F.filter(name, lambda s: s["p"].isNull() | (s["p"] <= limit)))
+    return seen.withColumn(text_col, _blotted(text, F.col(name))).select(*docs.columns)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

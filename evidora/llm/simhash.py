@@ -101,16 +101,17 @@ def first_of_each(docs: DataFrame) -> DataFrame:
         F.col("first.copy").alias("first_copy"),
         F.col("first.doc_id").alias("first_id"),
     )
-    own = docs.withColumn("own_copy", F.xxhash64(F.col("text").cast("string")))
-    own = own.withColumn("own_key", F.xxhash64(F.col("doc_id").cast("long"), "own_copy"))
+    copy, key, number = (tx.fresh(name, docs.columns) for name in ("own_copy", "own_key", "own_number"))
+    own = docs.withColumn(copy, F.xxhash64(F.col("text").cast("string")))
+    own = own.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), copy))
     same = (
-        (own.own_key == first.first_key)
-        & (own.own_copy == first.first_copy)
+        (own[key] == first.first_key)
+        & (own[copy] == first.first_copy)
         & own.doc_id.cast("long").eqNullSafe(first.first_id)
     )
-    numbered = Window.partitionBy("own_key", "own_copy").orderBy("doc_id")
-    kept = own.join(first, same, "left_semi").withColumn("own_number", F.row_number().over(numbered))
-    return kept.where("own_number = 1").select(*docs.columns)
+    numbered = Window.partitionBy(key, copy).orderBy("doc_id")
+    kept = own.join(first, same, "left_semi").withColumn(number, F.row_number().over(numbered))
+    return kept.where(F.col(number) == 1).select(*docs.columns)
 
 
 def _links(distinct: DataFrame) -> DataFrame:
