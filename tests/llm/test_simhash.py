@@ -35,6 +35,35 @@ def brute(rows):
     )
 
 
+def similar(rows):
+    """Smallest id of each component of similar texts, as text."""
+    prints = []
+    for _, text in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        grams = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+        both = []
+        for seed in (42, 43):
+            h = np.array([xxhash.xxh64_intdigest(g.encode(), seed) for g in grams], np.uint64)
+            both.append(sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h)))
+        prints.append(both)
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = ((prints[i][k] ^ prints[j][k]).bit_count() for k in (0, 1))
+            if a <= 7 and a + b <= 20:
+                parent[find(i)] = find(j)
+    ids = defaultdict(list)
+    for i, (doc, _) in enumerate(rows):
+        ids[find(i)].append(doc)
+    return {str(min(v)) for v in ids.values()}
+
+
 def got(df):
     result = simhash.near_copies(df)
     return sorted((str(r.doc_id), f"{r.fp % (1 << 64):016x}", str(r.component_id)) for r in result.collect())
@@ -117,3 +146,20 @@ def test_components(spark):
     result = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert result == {**{i: 0 for i in range(21)}, 100: 100, 200: 100, 300: 100, 500: 500, **{1000 + i: 1000 for i in range(51)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_texts_with_few_changes_are_similar(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 3000)
+    rows = []
+    for group in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for copy in range(6):
+            own = list(words)
+            for at in rng.choice(300, copy, replace=False):
+                own[at] = f"changed{group}{copy}"
+            rows.append((group * 10 + copy, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {str(r.doc_id) for r in simhash.first_of_each(df).collect()}
+    assert kept == similar(rows)
+    assert {str(g * 10) for g in range(40)} <= kept and len(kept) < 90
