@@ -9,7 +9,7 @@ from evidora import constants as K
 from evidora.catalog.base import query
 from evidora.catalog.projections import ACCENTED, sql_trim
 from evidora.functions.language import detected_language
-from evidora.functions.scores import insufficient
+from evidora.functions.scores import insufficient, visible_parts
 from evidora.functions.text import contains_any, fold, has_text, short_title, trim_all
 from evidora.operators.comparison import shared_values, side_by_side, to_catalog
 from evidora.operators.integrity import (
@@ -147,6 +147,19 @@ def _(t):
     return t.events.groupBy("user_id").agg(insufficient(mean, 25.0).alias("insufficient"))
 
 
+@query(
+    "f10_visible_parts",
+    """SELECT len(regexp_extract_all(text, 'Licensed under [A-Z]+')) > 0 AS citations, lang = 'fr' AS translation,
+       quality IS NOT NULL AS value, count(*) AS messages FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL""",
+)
+def _(t):
+    """The tables hold no Arabic; French stands in for the language that is translated."""
+    marks = F.regexp_extract_all("text", F.lit("Licensed under [A-Z]+"), F.lit(0))
+    shown = visible_parts(marks, F.col("lang"), F.col("quality"), translated="fr")
+    rows = t.documents.join(t.labels, "doc_id", "left").select(shown.alias("shown")).select("shown.*")
+    return rows.groupBy("citations", "translation", "value").agg(F.count(F.lit(1)).alias("messages"))
+
+
 @query(
     "f10_visibility",
     """SELECT role, count(*) AS messages, sum(CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END)::BIGINT AS with_lines

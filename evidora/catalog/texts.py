@@ -146,6 +146,19 @@ def _(t):
     )
 
 
+@query(
+    "m5_chunk_ids",
+    r"""SELECT p_partkey, concat(p_partkey, ':', section_no, ':1') AS chunk_id, title FROM (SELECT p_partkey, 1 AS section_no,
+          p_name AS title FROM part UNION ALL SELECT p_partkey, 2, p_brand FROM part UNION ALL
+        SELECT p_partkey, 3, p_type FROM part)""",
+)
+def _(t):
+    """A section before the first heading and two with one."""
+    text = F.concat_ws("\n", "p_name", F.concat(F.lit("## "), "p_brand"), F.lit("a line"), F.concat(F.lit("###  "), "p_type"))
+    pages = t.part.select("p_partkey", text.alias("text"))
+    return chunk_by_section(pages, "text", "p_partkey").select("p_partkey", "chunk_id", "title")
+
+
 # ---- audits
 
 

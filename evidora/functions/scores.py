@@ -35,6 +35,16 @@ def mean_in_order(scores: Column) -> Column:
     return F.coalesce(F.when(F.size(scores) > 0, total / F.size(scores)), F.lit(0.0))
 
 
+def visible_parts(citations: Column, lang: Column, value: Column, *, translated: str = "ar") -> Column:
+    """Which parts of a message are shown: citations if there are any, the translation of a question in the language that is
+    translated, a measured value if it is there."""
+    return F.struct(
+        F.coalesce(F.size(citations) > 0, F.lit(False)).alias("citations"),
+        F.coalesce(lang == translated, F.lit(False)).alias("translation"),
+        value.isNotNull().alias("value"),
+    )
+
+
 def insufficient(mean: Column, threshold: float = K.EVIDENCE_THRESHOLD) -> Column:
     """Too little evidence: the unrounded mean lies under the threshold."""
     return mean < F.lit(threshold)

@@ -139,4 +139,7 @@ def chunk_by_section(
     return chunks.select(
         *keys, "section_no", "section", (F.col("at") + 1).alias("ordinal"),
         F.regexp_replace("chunk", r"\n\z", "").alias("content"),
+        # Names the chunk by its place, so a repeated run gives the same id; the title is the section without its marker.
+        F.concat_ws(":", *[F.col(k).cast("string") for k in keys], "section_no", F.col("at") + 1).alias("chunk_id"),
+        F.regexp_replace("section", r"^#+\s*", "").alias("title"),
     )
