@@ -163,3 +163,78 @@ def test_texts_with_few_changes_are_similar(spark, monkeypatch):
     kept = {str(r.doc_id) for r in simhash.first_of_each(df).collect()}
     assert kept == similar(rows)
     assert {str(g * 10) for g in range(40)} <= kept and len(kept) < 90
+
+
+def shingle_set(text):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def pairs_by_similarity(n, seed, bands):
+    """Pairs of texts, each of its own words, in which enough words are changed for a similarity inside its band."""
+    rng = np.random.default_rng(seed)
+    rows, pairs = [], []
+    for low, high in bands:
+        for _ in range(n):
+            words = [f"w{x}" for x in rng.integers(0, 1 << 40, 200)]
+            own = list(words)
+            for at in rng.permutation(200):
+                own[at] = f"changed{at}"
+                value = jaccard(shingle_set(" ".join(words)), shingle_set(" ".join(own)))
+                if value < high:
+                    break
+            if value < low:
+                continue
+            pairs.append((len(rows), len(rows) + 1, low))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(own))]
+    return rows, pairs
+
+
+def test_recall_of_similar_texts_by_band_and_no_false_link(spark):
+    bands = {0.8: 0.97, 0.84: 0.98, 0.88: 0.99, 0.92: 0.99}
+    wide = [(0.7, 0.75), (0.75, 0.8), (0.8, 0.84), (0.84, 0.88), (0.88, 0.92), (0.92, 1.0)]
+    rows, pairs = pairs_by_similarity(150, 21, wide)
+    sets = [shingle_set(t) for _, t in rows]
+    roots = {r.doc_id: r.root for r in simhash.similar_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = defaultdict(list)
+    for a, b, low in pairs:
+        alike = jaccard(sets[a], sets[b]) >= 0.8
+        assert alike == (low >= 0.8)
+        found[low].append(roots[a] == roots[b])
+    assert all(len(v) > 100 for v in found.values())
+    print({low: (sum(v), len(v)) for low, v in found.items()})
+    assert not any(found[0.7]) and not any(found[0.75])
+    for low, least in bands.items():
+        assert np.mean(found[low]) >= least - 0.03
+
+
+def test_large_group_against_jaccard(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 3000)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = [(1000, "a b c"), (1001, "A b  c"), (1002, None), (1003, ""), (1004, "x y x y x y x y x y x y"), (1005, "x y x y x y x y")]
+    for i in range(120):
+        own = list(base)
+        for at in rng.choice(300, rng.integers(0, 4), replace=False):
+            own[at] = f"changed{i}"
+        rows.append((i, " ".join(own)))
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                parent[find(i)] = find(j)
+    got = {r.doc_id: r.root for r in simhash.similar_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(len(rows)):
+        for j in range(i):
+            assert (got[rows[i][0]] == got[rows[j][0]]) == (find(i) == find(j))
