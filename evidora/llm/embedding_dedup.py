@@ -133,7 +133,9 @@ def _links(table: pa.Table, least: float, n_pivots: int) -> Iterator[pa.RecordBa
 
     def count(a: np.ndarray, b: np.ndarray) -> None:
         """Keep the pairs that count in this list: no smaller pair of pivots is shared, and this task has these blocks."""
-        own = (np.bitwise_count(bits[a] & bits[b]).sum(axis=1) == 2) & (alone[a] | (block[a] != block[b]))
+        own = alone[a] | (block[a] != block[b])
+        if near.shape[1] > 1:  # one pivot or none to share makes one list, where every pair counts
+            own &= np.bitwise_count(bits[a] & bits[b]).sum(axis=1) == 2
         found.append((a[own], b[own]))
 
     small = length <= SMALL

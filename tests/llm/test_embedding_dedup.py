@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 from evidora.llm import embedding_dedup as e
+from pyspark.sql import functions as F
 from tests_llm_oracle import check_query
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -82,6 +84,35 @@ def test_recall(spark):
     assert all(a[1] <= b[1] for a, b in zip(have, want))
 
 
+def narrow(rng, n, dims):
+    """Vectors all alike above 0.6, partly above 0.98."""
+    axis = rng.normal(size=dims) * 2
+    rows = []
+    for g in range(n):
+        centre = axis + rng.normal(size=dims) * 0.6
+        for _ in range(5):
+            v = centre + rng.normal(size=dims) * 0.15
+            rows.append((len(rows), [float(x) for x in v.astype(np.float32)], g % 2))
+    return rows
+
+
+@pytest.mark.parametrize("block", [e.BLOCK, 12])
+def test_one_pivot(spark, monkeypatch, block):
+    monkeypatch.setattr(e, "BLOCK", block)
+    rows = narrow(np.random.default_rng(4), 20, 32)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert len(e.pivots(df, e.LEAST_PIVOTS)) == 1
+    want = brute(rows)
+    assert 0 < sum(r[1] for r in want) < len(rows) * (len(rows) // 2 - 1)
+    assert got(spark.createDataFrame(rows, SCHEMA)) == want
+
+
+def test_one_nearest_pivot_asked_for(spark):
+    rows = groups(np.random.default_rng(5), 12, 16, 6, 0.1)
+    found = e.near_vectors(spark.createDataFrame(rows, SCHEMA), top=1)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows)
+
+
 def test_empty(make):
     assert e.near_vectors(make([], SCHEMA)).collect() == []
     assert got(make([(1, None, 0)], SCHEMA)) == [(1, 0, 1, True)]
