@@ -1,6 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for everything else.
 
-Runs of key-like characters outside the patterns' matches are tested. The smallest usual encoding whose alphabet holds all
+Runs of key-like characters outside the patterns' matches are tested, what is left of a run beside a match too. No encoding holds
+an equals sign but as padding, so runs are split there; the pieces of a run between slashes, hyphens and underscores are tested
+beside the whole. The smallest usual encoding whose alphabet holds all
 their characters is inferred. Under the hypothesis of random characters of that alphabet, a chi-squared test of uniformity,
 a test of the number of runs of character classes and a test of the serial correlation of neighbours give p-values; a run
 that random characters would hardly give is set aside. Under the hypothesis of words, the chi-squared statistic grows with
@@ -30,6 +32,9 @@ ASSIGN = re.compile(
     r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Candidates in a run: with padding at its end, and between the signs that paths, names and keys of some encodings are cut by.
+WHOLE = re.compile(r"[^=]+(?:=+\Z)?")
+CUTS = [re.compile(f"[^{cut}]+") for cut in ("=/", "=_-", "=/_-")]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
@@ -107,6 +112,26 @@ def word_p(run: str) -> float:
     return min(1.0, both * (1 - math.log(both)))
 
 
+def _beside(a: int, b: int, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of a run beside the spans of the patterns (in order of their start)."""
+    for x, y in base:
+        if x < b and a < y:
+            if a < x:
+                yield a, x
+            a = max(a, y)
+    if a < b:
+        yield a, b
+
+
+def _tested(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Candidates of a run, long enough to be tested: parts between equals signs, and the pieces of some encoding in them."""
+    run = text[a:b]
+    whole = {m.span() for m in WHOLE.finditer(run) if m.end() - m.start() >= LEAST_RUN}
+    pieces = {m.span() for cut in CUTS for m in cut.finditer(run) if m.end() - m.start() >= LEAST_RUN and encoding_of(m[0])}
+    inner = {(x, y) for x, y in pieces if not any(x == p and run[y:q].strip("=") == "" for p, q in whole)}
+    return sorted((a + x, a + y) for x, y in whole | inner)
+
+
 def spans_of(text: str) -> list[tuple[str, int, int, float | None]]:
     """All spans (kind, start, end, p) by start, then kind; p is null for those of the patterns."""
     out: list[tuple[str, int, int, float | None]] = []
@@ -115,10 +140,10 @@ def spans_of(text: str) -> list[tuple[str, int, int, float | None]]:
     found = [m.span() for m in RUN.finditer(text)]
     for kind, pattern in (("access", ACCESS), ("hex", HEX)):
         out += [(kind, *m.span(), None) for a, b in found for m in pattern.finditer(text, a, b)]
-    base = [(a, b) for _, a, b, _ in out]
+    base = sorted((a, b) for _, a, b, _ in out)
     for a, b in found:
-        if b - a >= LEAST_RUN and not any(x < b and a < y for x, y in base):
-            out.append(("random", a, b, word_p(text[a:b])))
+        for x, y in _beside(a, b, base):
+            out += [("random", *span, word_p(text[slice(*span)])) for span in _tested(text, x, y)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -184,6 +209,21 @@ def threshold(spans: DataFrame, column: str = "spans", rate: float = FDR) -> flo
     return best
 
 
+def _counting(column: str, limit: float) -> Column:
+    """Spans of the patterns, and tested ones that count as a secret and lie in no other one that does."""
+    kept = F.filter(column, lambda s: s["p"].isNull() | (s["p"] <= limit))
+
+    def inside(s: Column, t: Column) -> Column:
+        return (
+            t["p"].isNotNull()
+            & (t["start"] <= s["start"])
+            & (s["end"] <= t["end"])
+            & (t["end"] - t["start"] > s["end"] - s["start"])
+        )
+
+    return F.filter(kept, lambda s: s["p"].isNull() | ~F.exists(kept, lambda t: inside(s, t)))
+
+
 def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = FDR) -> DataFrame:
     """`doc_id` and `spans` (kind, start, end in code points, p), one row per input row.
 
@@ -193,7 +233,7 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     rows, _ = stored(docs.select(F.col(id_col).alias("doc_id"), scanned(F.col(text_col)).alias("spans")), "spans")
     limit = threshold(rows, rate=rate)
-    return rows.withColumn("spans", F.filter("spans", lambda s: s["p"].isNull() | (s["p"] <= limit)))
+    return rows.withColumn("spans", _counting("spans", limit))
 
 
 def _blotted(text: Column, spans: Column) -> Column:
@@ -217,7 +257,7 @@ def redacted(docs: DataFrame, *, text_col: str = "text", rate: float = FDR) -> D
     limit = threshold(docs.select(scanned(text).alias("spans")), rate=rate)
     name = tx.fresh("secret_spans", docs.columns)
     seen = docs.withColumn(name, scanned(text))
-    seen = seen.withColumn(name, F.filter(name, lambda s: s["p"].isNull() | (s["p"] <= limit)))
+    seen = seen.withColumn(name, _counting(name, limit))
     return seen.withColumn(text_col, _blotted(text, F.col(name))).select(*docs.columns)
 
 
