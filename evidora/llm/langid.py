@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,8 @@ from evidora.llm import text as tx
 UNDETERMINED = "und"
 #: Bound of the labelled sample: documents for each language, and characters taken from each.
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 3000
+#: Passages, evenly spread, that the characters of a longer text come from.
+SAMPLE_PASSAGES = 6
 #: Languages of the labels; a set of labels with more is refused.
 MOST_LANGUAGES = 500
 FEATURE_BITS = 18
@@ -171,28 +173,38 @@ def fit(texts: list[str], labels: list[str]) -> Field:
     return Field(languages, weights.astype(np.float32), np.exp(trans), share / share.sum())
 
 
+def _spread(text: Column) -> Column:
+    """The text, or passages spread over it of SAMPLE_CHARS characters together, less the words cut at their ends."""
+    size = SAMPLE_CHARS // SAMPLE_PASSAGES
+    room, parts = F.char_length(text) - size, []
+    for k in range(SAMPLE_PASSAGES):
+        start = F.floor(room * k / (SAMPLE_PASSAGES - 1)).cast("int")
+        part = F.substring(text, start + 1, F.lit(size))
+        part = F.regexp_replace(part, r"^\S{1,40}\s", "") if k else part
+        parts.append(F.regexp_replace(part, r"\s\S{1,40}$", "") if k < SAMPLE_PASSAGES - 1 else part)
+    return F.when(F.char_length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def sample(docs: DataFrame, text_col: str, lang_col: str, key: str) -> list[tuple[str, str]]:
-    """Beginnings of at most SAMPLE_DOCS documents of each language, the first by a hash of `key` (text, language)."""
+    """Passages of at most SAMPLE_DOCS documents of each language, the first by a hash of `key` and text (text, language).
+
+    Rows of one language with the same key and text are one document. The smallest hashes are picked by a rank whose limit
+    holds in each task already, and texts are cut before they leave their tasks: the driver gets the sample, nothing more."""
+    text = F.col(text_col).cast("string")
     rows = docs.select(
-        F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"),
+        text.alias("text"),
         F.col(lang_col).cast("string").alias("lang"),
-        F.xxhash64(key).alias("order"),
+        F.xxhash64(F.col(key).cast("string"), text).alias("order"),
     ).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
+    languages = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if languages > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    # Half as many again as needed by a share of the hash's range, so that few texts leave their tasks.
-    share = F.lit(False)
-    for row in counts:
-        edge = min(1.0, 1.5 * SAMPLE_DOCS / row["count"] + 20 / row["count"])
-        share = share | ((F.col("lang") == row.lang) & (F.pmod("order", F.lit(1 << 32)) < int(edge * (1 << 32))))
-    picked = sorted((r.lang, r.order, r.text) for r in rows.where(share).collect())
-    out, number = [], {}
-    for lang, _, text in picked:
-        number[lang] = number.get(lang, 0) + 1
-        if number[lang] <= SAMPLE_DOCS:
-            out.append((text, lang))
-    return out
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    first = rows.select("lang", "order").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
+    picked = rows.join(F.broadcast(first.select("lang", "order")), ["lang", "order"])
+    texts = picked.select("lang", "order", _spread(F.col("text")).alias("text")).groupBy("lang", "order")
+    found = sorted((r.lang, r.order, r.text) for r in texts.agg(F.min("text").alias("text")).collect())
+    return [(text, lang) for lang, _, text in found]
 
 
 def word_posteriors(codes: np.ndarray, first: np.ndarray, emission: np.ndarray, field: Field) -> np.ndarray:

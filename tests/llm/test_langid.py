@@ -73,6 +73,25 @@ def test_edges(make, field):
     assert found[6].spans[-1].end == 45_000 and found[6].score > 0.9
 
 
+def test_sample_is_bounded_and_spread(make, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
+    rows = [(None, f"text {i} of no id", "en") for i in range(400)] + [(7, f"text {i} of one id", "de") for i in range(400)]
+    rows += [(None, "the same", "fr")] * 300 + [(9, "other", "fr")]
+    df = make(rows, "doc_id long, text string, lang string")
+    sizes = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: [sizes.append(len(x := collect(self))), x][1])
+    got = langid.sample(df, "text", "lang", "doc_id")
+    assert max(sizes) <= 3 * 20
+    assert [sum(lang == x for _, lang in got) for x in ("en", "de", "fr")] == [20, 20, 2]
+    assert len(set(got)) == 42 and got == langid.sample(df.repartition(5), "text", "lang", "doc_id")
+    long = " ".join(f"w{i}" for i in range(20_000))
+    words = langid.sample(make([(1, long, "en")], "doc_id long, text string, lang string"), "text", "lang", "doc_id")[0][0].split()
+    assert len(" ".join(words)) <= langid.SAMPLE_CHARS + langid.SAMPLE_PASSAGES
+    at = [int(w[1:]) for w in words]
+    assert set(words) <= set(long.split()) and at[0] == 0 and at[-1] == 19_999 and sum(9_000 < i < 15_000 for i in at) > 50
+
+
 def test_nothing_to_learn_from(make):
     df = make([(1, "some text", None), (2, None, "en")], "doc_id long, text string, lang string")
     field = langid.trained(df)
