@@ -6,6 +6,7 @@ from evidora.llm.decontamination import OP3_SQL, op3_benchmark_overlaps
 from evidora.llm.embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from evidora.llm.hosts import OP8_SQL, op8_url_reputation
 from evidora.llm.langid import op6_language_id
+from evidora.llm.merkle import OP11_SQL, op11_merkle_manifest
 from evidora.llm.mixing import OP5_SQL, op5_curriculum_mix
 from evidora.llm.mixing_lm import op7_mixing_lm
 from evidora.llm.secret_scan import op10_secret_scan
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_url_reputation": op8_url_reputation,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES = {
@@ -32,4 +34,5 @@ ORACLES = {
     "op3_benchmark_overlaps": OP3_SQL,
     "op5_curriculum_mix": OP5_SQL,
     "op8_url_reputation": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
