@@ -6,6 +6,7 @@ from evidora.llm.decontamination import OP3_SQL, op3_benchmark_overlaps
 from evidora.llm.embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from evidora.llm.hosts import OP8_SQL, op8_url_reputation
 from evidora.llm.langid import op6_language_id
+from evidora.llm.lexical import OP12_SQL, op12_ranked_search
 from evidora.llm.merkle import OP11_SQL, op11_merkle_manifest
 from evidora.llm.mixing import OP5_SQL, op5_curriculum_mix
 from evidora.llm.mixing_lm import op7_mixing_lm
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLES = {
@@ -35,4 +37,5 @@ ORACLES = {
     "op5_curriculum_mix": OP5_SQL,
     "op8_url_reputation": OP8_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_ranked_search": OP12_SQL,
 }
