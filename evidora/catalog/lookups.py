@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from evidora import constants as K
@@ -19,7 +18,7 @@ from evidora.operators.integrity import (
 from evidora.operators.ranking import top_k_per_group
 from evidora.operators.routing import Rule, expand_sources, routing_accuracy, rules_from_table, with_route
 from evidora.operators.translation import translate
-from evidora.operators.vectors import above_threshold, approx_top_k, exact_top_k, mean_vectors, recall_against, tables_for
+from evidora.operators.vectors import above_threshold, approx_top_k, exact_top_k, mean_vectors, recall_against
 
 
 def sql_route(text: str) -> str:
@@ -363,25 +362,36 @@ def _(t):
     return above_threshold(found, F.col("score"), 0.35)
 
 
-# The given vectors are spread out: their nearest neighbours are hardly more alike than this.
-APPROXIMATE = {"bits": 2, "similarity": 0.35, "recall": 0.9}
+# The given vectors point in all directions, so neighbours lie in many cells; queries visit this share of them.
+APPROXIMATE = {"share": 0.8, "rounds": 2}
 
 
-def sql_approximate(dims: int = 64, seed: int = 7) -> str:
-    """The same planes as literals: neighbours among the vectors that share all sign bits of some table."""
-    bits = APPROXIMATE["bits"]
-    tables = tables_for(bits, APPROXIMATE["similarity"], APPROXIMATE["recall"])
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dims))
-    rows = ", ".join(f"({i // bits}, {i % bits}, {plane.tolist()})" for i, plane in enumerate(planes))
-    return f"""WITH planes(tab, bit, plane) AS (VALUES {rows}),
-      unit AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
-        FROM embeddings),
-      codes AS (SELECT vec_id, tab, sum(CASE WHEN round(list_dot_product(e, plane::DOUBLE[]) / n, 9) >= 0 THEN 1 << bit ELSE 0
-        END) AS code FROM unit, planes GROUP BY 1, 2),
-      met AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS chunk_id FROM codes q JOIN codes c
-        ON q.tab = c.tab AND q.code = c.code AND q.vec_id <> c.vec_id),
+def sql_approximate() -> str:
+    """The same cells by two rounds of k-means in SQL: neighbours among the vectors of the cells that a query visits."""
+    dot = "list_dot_product({a}, {b})"
+
+    def nearest(points: str) -> str:
+        return f"""SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY {dot.format(a='u.e', b='p.e')} DESC, cell)
+            AS place FROM unit u, {points} p"""
+
+    def moved(points: str) -> str:
+        return f"""SELECT p.cell, coalesce(m.e, p.e) AS e FROM {points} p LEFT JOIN (SELECT cell, list_transform(s,
+            lambda x: x / sqrt(list_dot_product(s, s))) AS e FROM (SELECT cell, list(x ORDER BY pos) AS s FROM (SELECT cell, pos,
+            sum(x) AS x FROM (SELECT cell, generate_subscripts(e, 1) AS pos, unnest(e) AS x FROM ({nearest(points)}) n JOIN unit
+            USING (vec_id) WHERE place = 1) GROUP BY cell, pos) GROUP BY cell)) m ON m.cell = p.cell"""
+
+    return f"""WITH raw AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+      unit AS (SELECT vec_id, v, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS e FROM raw),
+      size AS (SELECT greatest(1, CAST(floor(sqrt(count(*)) / 2) AS INTEGER)) AS cells FROM unit),
+      start AS (SELECT cell, e FROM (SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cell, e FROM unit)
+        JOIN size ON cell < cells),
+      one AS MATERIALIZED ({moved('start')}),
+      two AS MATERIALIZED ({moved('one')}),
+      visits AS MATERIALIZED ({nearest('two')}),
+      met AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id FROM visits q JOIN visits c ON q.cell = c.cell AND c.place = 1
+        AND q.vec_id <> c.vec_id JOIN size ON q.place <= ceil({APPROXIMATE['share']} * cells)),
       near AS (SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-        ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, {SQL_SIM.format(a='q.e', b='c.e')} AS score
+        ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, {SQL_SIM.format(a='q.v', b='c.v')} AS score
         FROM met JOIN unit q ON q.vec_id = query_id JOIN unit c ON c.vec_id = chunk_id)) WHERE rank <= 4)"""
 
 

@@ -1,21 +1,19 @@
 """Vector retrieval: exact and approximate top-k by cosine similarity.
 
-Pairs are never written out. Both sides are cut into bounded blocks, every task multiplies one
-block of queries with one block of chunks, and only the k best chunks per query leave it.
-
-* few queries: their matrix (size checked) is broadcast, chunks are scanned where they lie;
-* many queries: a grid. Queries are split into I parts and chunks into J parts by a hash of the
-  id, each query part is sent to all J chunk parts and the other way round, and each (i, j) cell is
-  one bounded group. A hash of unique ids leaves no hot group.
-* approximate: random-hyperplane signatures give each vector one bucket per hash table, and the
-  grid is laid inside each bucket. Copies of a vector always share a bucket, so they are collapsed
-  first: among equal vectors only the k + 1 smallest ids can be in a result, and each distinct
-  query vector is searched once. Buckets that are still large are split by the grid.
+Pairs are never written out: tasks multiply bounded blocks of queries and chunks, and only the k best chunks per query
+leave them. Blocks are grouped around reference points. By the triangle inequality on angles, no chunk within the angle `r`
+of a reference point can be closer to a query than the query's own angle to that point less `r`; a block that cannot reach a
+query's k-th best score is skipped.
+
+* few queries: their matrix (size checked) is broadcast and chunks are scanned where they lie, each batch cut into blocks
+  around reference points taken from the queries;
+* many queries: an inverted file (`operators/cells.py`). Every query looks into its nearest cell first; the k-th score found
+  there decides which other cells it has to visit;
+* approximate: the same inverted file with a fixed number of cells for each query.
 """
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Iterator
 
@@ -27,9 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidora import constants as K
+from evidora.operators.cells import (
+    Cells, fit_cells, in_bounded_parts, least_angles, nearest_cells, number_of_cells, place, probes_for, reaching_cells, sample_of, unit_rows,
+)
 from evidora.operators.ranking import top_k_per_group
-from evidora.operators.skew import salted_join
 from evidora.session import written
 
 # The task functions travel with the job, so executors do not need this package installed.
@@ -42,23 +41,6 @@ _TILE_SCORES = 8 << 20
 SCORE_PLACES = 6
 
 
-def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Arrow list column as a matrix with rows of length one, in double precision.
-
-    A zero vector stays zero; all vectors must have the same number of dimensions.
-    """
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    sizes = np.unique(vectors.value_lengths().to_numpy(zero_copy_only=False))
-    if len(sizes) > 1:
-        raise ValueError(f"vectors of different lengths: {sizes.tolist()[:5]}")
-    if not len(vectors):
-        return np.zeros((0, 0))
-    matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
 def searchable(vec: str) -> Column:
     """Vectors that take part in a search: not null, not empty, all elements present and finite."""
     return F.expr(f"size({vec}) > 0 and forall({vec}, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
@@ -122,22 +104,74 @@ def _pair_schema(queries: DataFrame, query_id: str, chunks: DataFrame, chunk_id:
     )
 
 
+#: Reference points of a scan: one for so many queries, at most so many.
+QUERIES_PER_REFERENCE, MOST_REFERENCES, REFERENCE_SAMPLE = 32, 32, 4_096
+#: Scores are rounded; a block is skipped only below this distance from a query's k-th score.
+_SLACK = 10.0**-SCORE_PLACES
+
+
+class BlockScan:
+    """The k best chunks of some queries, block by block; counts the pairs it compared and the blocks' pairs it skipped."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, exclude_self: bool):
+        self.ids, self.queries, self.k, self.exclude_self = ids, queries, k, exclude_self
+        some = queries[:: max(1, len(queries) // REFERENCE_SAMPLE)]
+        self.points = fit_cells(some, min(MOST_REFERENCES, 1 + len(queries) // QUERIES_PER_REFERENCE), rounds=4)
+        self.angles = least_angles(queries, self.points)
+        self.home = self.angles.argmin(axis=1) if len(queries) else np.zeros(0, np.int64)
+        self.least = np.full(len(ids), -np.inf)  # each query's k-th score so far
+        self.at = pd.Series(np.arange(len(ids)), index=ids)
+        self.best: pd.DataFrame | None = None
+        self.compared = self.skipped = 0
+
+    def add(self, chunk_ids: np.ndarray, chunks: np.ndarray) -> None:
+        _same_length(self.queries, chunks)
+        angles = least_angles(chunks, self.points)
+        cell = angles.argmin(axis=1)
+        blocks = [(p, np.flatnonzero(cell == p)) for p in np.unique(cell)]
+        for at_home in (True, False):
+            for point, rows in blocks:
+                own = self.home == point
+                wanted = np.flatnonzero(own if at_home else ~own)
+                nearest = np.maximum(self.angles[wanted, point] - angles[rows, point].max(), 0.0)
+                reach = np.cos(nearest) + _SLACK >= self.least[wanted]
+                self.skipped += int((~reach).sum()) * len(rows)
+                self.compared += int(reach.sum()) * len(rows)
+                if reach.any():
+                    self._merge(wanted[reach], chunk_ids[rows], chunks[rows])
+
+    def _merge(self, wanted: np.ndarray, chunk_ids: np.ndarray, chunks: np.ndarray) -> None:
+        found = best_of_block(self.ids[wanted], self.queries[wanted], chunk_ids, chunks, self.k, self.exclude_self)
+        # Most of what a later block gives does not enter the best.
+        found = found[found["score"].to_numpy() >= self.least[self.at[found["query_id"]].to_numpy()]]
+        if not len(found):
+            return
+        touched = found["query_id"].unique()
+        if self.best is None:
+            self.best = _head_per_query(found, self.k)
+        else:
+            again = self.best["query_id"].isin(touched)
+            merged = _head_per_query(pd.concat([self.best[again], found], ignore_index=True), self.k)
+            self.best = pd.concat([self.best[~again], merged], ignore_index=True)
+        own = self.best[self.best["query_id"].isin(touched)].groupby("query_id")["score"]
+        full = own.min()[own.size() >= self.k]
+        self.least[self.at[full.index].to_numpy()] = full.to_numpy()
+
+
 def _scan_with_broadcast(queries: DataFrame, chunks: DataFrame, k: int, exclude_self: bool, schema) -> DataFrame:
     local = queries.toArrow()
     shared = chunks.sparkSession.sparkContext.broadcast((ids_of(local["id"]), unit_rows(local["vec"])))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        best = None
+        found = None
         for batch in batches:
             if batch.num_rows == 0 or len(ids) == 0:
                 continue
-            found = best_of_block(
-                ids, matrix, ids_of(batch.column("id")), unit_rows(batch.column("vec")), k, exclude_self
-            )
-            best = found if best is None else _head_per_query(pd.concat([best, found], ignore_index=True), k)
-        if best is not None:
-            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+            found = found or BlockScan(ids, matrix, k, exclude_self)
+            found.add(ids_of(batch.column("id")), unit_rows(batch.column("vec")))
+        if found is not None and found.best is not None:
+            yield pa.RecordBatch.from_pandas(found.best, preserve_index=False)
 
     return chunks.select("id", "vec").mapInArrow(scan, schema)
 
@@ -205,53 +239,40 @@ def exact_top_k(
         return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0).cast("bigint"))
     q = queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("vec")).filter(searchable("vec"))
     c = chunks.select(F.col(chunk_id).alias("id"), F.col(chunk_vec).alias("vec")).filter(searchable("vec"))
-    n_queries, n_values = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
+    n_values = q.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()[0]
     if n_values * 8 <= broadcast_bytes:
         return _final(_scan_with_broadcast(q, c, k, exclude_self, schema), k)
-    q_parts = max(1, math.ceil(n_queries / query_block))
-    c_parts = max(1, math.ceil(c.count() / chunk_block))
-    sized = [F.lit(q_parts).alias("q_parts"), F.lit(c_parts).alias("c_parts")]
-    return _final(_grid(q.select("*", *sized), c.select("*", *sized), [], k, exclude_self, schema), k)
-
+    cells, placed = _placed(c, None, rounds=8)
+    first = _in_cells(q, nearest_cells(q, cells, 1), placed, cells, k, exclude_self, schema, query_block, chunk_block)
+    first = written(_final(first, k), "nearest")
+    least = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    bounded = q.join(least, "id", "left")
+    rest = _in_cells(q, reaching_cells(bounded, cells, 1), placed, cells, k, exclude_self, schema, query_block, chunk_block)
+    return _final(first.select(*schema.names).unionByName(rest), k)
 
-def signatures(df: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
-    """One row per vector and hash table: (id, vec, bucket), the bucket being table and sign bits.
-
-    Python hands each vector back once with its list of buckets; the list is exploded by Spark.
-    """
-    schema = T.StructType([df.schema["id"], df.schema["vec"]]).add("buckets", T.ArrayType(T.LongType()))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        offsets = np.arange(tables, dtype=np.int64) << bits
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            matrix = unit_rows(batch.column("vec"))
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((tables * bits, matrix.shape[1]))
-            # Rounding keeps equal vectors on the same side whatever batch they are in.
-            side = (np.round(matrix @ planes.T, 9) >= 0).reshape(len(matrix), tables, bits)
-            codes = pa.array((side @ weights + offsets).ravel())
-            starts = pa.array(np.arange(0, len(codes) + 1, tables, dtype=np.int32))
-            lists = pa.ListArray.from_arrays(starts, codes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("vec"), lists], names=["id", "vec", "buckets"]
-            )
+def _placed(chunks: DataFrame, cells: int | None, *, rounds: int) -> tuple[Cells, DataFrame]:
+    """An inverted file of the chunks (id, vec): its cells, and the rows with their cell, written once."""
+    rows, sample = sample_of(chunks)
+    points = fit_cells(sample, cells or number_of_cells(rows), rounds=rounds)
+    placed = written(place(chunks, points), "cells")
+    return Cells.of(points, placed), placed
 
-    return df.mapInArrow(sign, schema).select("id", "vec", F.explode("buckets").alias("bucket"))
 
-
-def bits_for(rows: int, bucket_rows: int) -> int:
-    """Sign bits that give buckets of about ``bucket_rows`` rows, whatever the table size."""
-    return max(2, math.ceil(math.log2(max(rows, 1) / bucket_rows)))
-
-
-def tables_for(bits: int, similarity: float, recall: float) -> int:
-    """Hash tables with which two vectors of this similarity meet in at least one with the chance ``recall``."""
-    together = (1 - math.acos(similarity) / math.pi) ** bits
-    return 1 if together >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
+def _in_cells(
+    queries: DataFrame,
+    visits: DataFrame,
+    placed: DataFrame,
+    cells: Cells,
+    k: int,
+    exclude_self: bool,
+    schema,
+    query_block: int,
+    chunk_block: int,
+) -> DataFrame:
+    """The k best chunks of each query in each of the cells that it visits (id, vec, cell)."""
+    parts = in_bounded_parts(visits, cells, query_block, chunk_block)
+    return _grid(visits.join(parts, "cell"), placed.join(parts, "cell"), ["cell"], k, exclude_self, schema)
 
 
 def approx_top_k(
@@ -264,57 +285,40 @@ def approx_top_k(
     chunk_id: str = "chunk_id",
     chunk_vec: str = "chunk_vec",
     exclude_self: bool = False,
-    tables: int | None = None,
-    bits: int | None = None,
-    similarity: float = K.EVIDENCE_THRESHOLD,
+    cells: int | None = None,
+    probes: int | None = None,
+    share: float | None = None,
     recall: float = 0.9,
-    bucket_rows: int = 4_096,
-    seed: int = 7,
+    rounds: int = 8,
     query_block: int = QUERY_BLOCK,
     chunk_block: int = CHUNK_BLOCK,
 ) -> DataFrame:
-    """Top-k among the chunks that share a signature bucket with the query; scores are exact.
+    """Top-k among the chunks of the cells nearest to the query; scores are exact.
 
-    More bits keep buckets small as the table grows, and more tables make up for them: their number follows from the bits
-    such that a chunk of at least ``similarity`` (by default the least that counts as evidence) is met with the chance
-    ``recall``, whatever the table's size. Queries that meet fewer than k chunks are searched exactly, so none comes back
-    short while there are k chunks.
+    Cells are k-means cells fitted on a bounded sample (`cells.SAMPLE_BYTES`); every chunk is in one of them. A query visits
+    ``probes`` cells, or ``share`` of them, or as many as give the wanted ``recall`` among the vectors of the sample. Queries
+    that meet fewer than k chunks are searched exactly, so none comes back short while there are k chunks.
     """
     schema = _pair_schema(queries, query_id, chunks, chunk_id)
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec")).filter(searchable("vec"))
     c = chunks.select(F.col(chunk_id).alias("id"), F.col(chunk_vec).alias("vec")).filter(searchable("vec"))
     wanted = k + 1 if exclude_self else k
-    if bits is None:
-        bits = bits_for(c.count(), bucket_rows)
-    if tables is None:
-        tables = tables_for(bits, similarity, recall)
 
     # Copies: a result can only hold the first ids among equal vectors.
     # The hash goes first in keys, so that sorting compares numbers and rarely whole vectors.
     c = top_k_per_group(c.withColumn("hash", F.xxhash64("vec")), ["hash", "vec"], [F.col("id")], wanted)
     c = c.select("id", "vec")
-    distinct = q.groupBy("vec").agg(F.min("query_id").alias("id"))
-
-    signed_q = signatures(distinct, tables, bits, seed)
-    signed_c = signatures(c, tables, bits, seed)
-    large_q = _large_buckets(signed_q, "q_parts", query_block)
-    large_c = _large_buckets(signed_c, "c_parts", chunk_block)
-
-    def sized(df: DataFrame) -> DataFrame:
-        # A bucket is listed only above the block size, so the lists have at most rows / block entries.
-        return (
-            df.join(F.broadcast(large_q), "bucket", "left")
-            .join(F.broadcast(large_c), "bucket", "left")
-            .fillna(1, ["q_parts", "c_parts"])
-        )
-
-    pairs = _grid(sized(signed_q), sized(signed_c), ["bucket"], wanted, False, schema)
-    best = top_k_per_group(
-        pairs.dropDuplicates(["query_id", "chunk_id"]),
-        ["query_id"], [F.col("score").desc(), F.col("chunk_id")], wanted,
-    )
+    distinct = q.groupBy("vec").agg(F.min("query_id").alias("id")).select("id", "vec")
+
+    index, placed = _placed(c, cells, rounds=rounds)
+    if probes is None and share is not None:
+        probes = max(1, int(np.ceil(share * len(index.points))))
+    if probes is None:
+        probes = probes_for(sample_of(c)[1], index.points, k, recall)
+    visits = nearest_cells(distinct, index, probes)
+    pairs = _in_cells(distinct, visits, placed, index, wanted, False, schema, query_block, chunk_block)
     # Narrow rows, written once: how many were found decides who is searched again.
-    best = written(best, "approximate")
+    best = written(_final(pairs, wanted), "approximate")
     enough = best.filter(F.col("rank") == wanted).select("query_id")
     short = distinct.join(enough, distinct["id"] == enough["query_id"], "left_anti")
     whole = exact_top_k(short, c, wanted, query_id="id", query_vec="vec", chunk_id="id", chunk_vec="vec")
@@ -326,7 +330,7 @@ def approx_top_k(
     per_vector = distinct.select("vec", F.col("id").alias("vector_id")).join(
         found.withColumnRenamed("query_id", "vector_id"), "vector_id"
     )
-    listed = salted_join(q, per_vector, ["vec"]).select("query_id", "found")
+    listed = q.join(per_vector, "vec").select("query_id", "found")
     if exclude_self:
         listed = listed.withColumn("found", F.filter("found", lambda f: f["chunk_id"] != F.col("query_id")))
     return listed.select("query_id", F.posexplode(F.slice("found", 1, k)).alias("at", "hit")).select(
@@ -334,13 +338,6 @@ def approx_top_k(
     )
 
 
-def _large_buckets(signed: DataFrame, name: str, block: int) -> DataFrame:
-    return (
-        signed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-        .select("bucket", F.ceil(F.col("n") / block).cast("int").alias(name))
-    )
-
-
 def mean_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
     """Mean vector per key, position by position; the sum is taken over exact decimals."""
     per_position = (

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidora.operators.vectors import approx_top_k, bits_for, exact_top_k, mean_vectors, recall_against, set_aside, tables_for
+from evidora.operators.cells import fit_cells, least_angles, number_of_cells, probes_for
+from evidora.operators.vectors import BlockScan, approx_top_k, exact_top_k, mean_vectors, recall_against, set_aside
 
 SCALE = 1e6
 
@@ -59,22 +60,21 @@ def test_exact_without_self_among_copies(spark, matrix):
     assert found(exact_top_k(q, c, 3, exclude_self=True, broadcast_bytes=0, query_block=50, chunk_block=50)) == want
 
 
-def test_one_bucket_is_exact_for_copies_too(spark, matrix):
+def test_all_cells_are_exact_for_copies_too(spark, matrix):
     q, c = frame(spark, matrix, "query_id", "query_vec"), frame(spark, matrix, "chunk_id", "chunk_vec")
-    got = approx_top_k(q, c, 3, exclude_self=True, tables=1, bits=0, query_block=20, chunk_block=30)
+    got = approx_top_k(q, c, 3, exclude_self=True, share=1.0, query_block=20, chunk_block=30)
     assert found(got) == brute(matrix, matrix, 3, exclude_self=True)
 
 
-def test_recall_grows_with_tables(spark):
+def test_recall_grows_with_probes(spark):
     rows = np.random.default_rng(2).standard_normal((400, 24))
     q, c = frame(spark, rows, "query_id", "query_vec"), frame(spark, rows, "chunk_id", "chunk_vec")
     truth = exact_top_k(q, c, 4, exclude_self=True).cache()
     recall = [
-        recall_against(approx_top_k(q, c, 4, exclude_self=True, tables=n, bits=3), truth).first().recall
-        for n in (1, 4, 16)
+        recall_against(approx_top_k(q, c, 4, exclude_self=True, cells=12, probes=n), truth).first().recall
+        for n in (1, 4, 12)
     ]
-    assert recall[0] < recall[1] < recall[2] <= 1.0
-    assert recall[2] > 0.9
+    assert recall[0] < recall[1] < recall[2] == 1.0
 
 
 def test_results_are_properties_of_the_input(spark, matrix):
@@ -101,9 +101,44 @@ def test_text_ids(spark, matrix):
         }
 
 
-def test_bits_follow_the_table_size():
-    assert bits_for(0, 4096) == 2
-    assert bits_for(4096 * 1024, 4096) == 10
+def test_cells_follow_the_table_size():
+    assert [number_of_cells(n) for n in (0, 1, 500, 10**6, 10**12)] == [1, 1, 11, 500, 4096]
+
+
+def clustered(n_centres=40, each=50, dims=32, noise=0.1, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n_centres, dims))
+    return np.concatenate([centres + rng.standard_normal(centres.shape) * noise for _ in range(each)])
+
+
+def test_blocks_out_of_reach_are_skipped_and_nothing_is_lost(spark):
+    rows = clustered()
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    ids = np.arange(len(rows))
+    scan = BlockScan(ids, unit, 4, True)
+    for start in range(0, len(rows), 500):
+        scan.add(ids[start : start + 500], unit[start : start + 500])
+    assert scan.compared + scan.skipped == len(rows) ** 2
+    assert scan.compared < 0.2 * len(rows) ** 2
+    got = {q: list(zip(g["chunk_id"], g["score"])) for q, g in scan.best.groupby("query_id")}
+    scores = np.floor(unit @ unit.T * SCALE + 0.5) / SCALE
+    np.fill_diagonal(scores, -2)
+    assert got == {i: sorted(((j, s) for j, s in enumerate(row)), key=lambda x: (-x[1], x[0]))[:4] for i, row in enumerate(scores)}
+
+
+def test_few_cells_are_visited_on_clustered_vectors(spark):
+    rows = clustered()
+    q, c = frame(spark, rows, "query_id", "query_vec"), frame(spark, rows, "chunk_id", "chunk_vec")
+    truth = exact_top_k(q, c, 4, exclude_self=True)
+    assert found(exact_top_k(q, c, 4, exclude_self=True, broadcast_bytes=0, query_block=300, chunk_block=400)) == found(truth)
+    got = approx_top_k(q, c, 4, exclude_self=True, cells=40)
+    assert recall_against(got, truth).first().recall >= 0.9
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    points = fit_cells(unit, 40, rounds=8)
+    probes = probes_for(unit, points, 5, 0.9)
+    sizes = np.bincount(least_angles(unit, points).argmin(axis=1), minlength=40)
+    visited = np.sort(np.argsort(least_angles(unit, points), axis=1)[:, :probes], axis=1)
+    assert sizes[visited].sum() < 0.2 * len(rows) ** 2
 
 
 def test_mean_vectors(spark):
@@ -121,7 +156,7 @@ def test_unusable_vectors_cost_no_result(spark, way):
     q = spark.createDataFrame(rows[:20] + bad[:2], "query_id long, query_vec array<float>")
     assert sorted(r.chunk_id for r in set_aside(c, "chunk_vec").collect()) == [100, 101, 102, 103, 104]
     if way == "approximate":
-        got = approx_top_k(q, c, 3, bits=0)
+        got = approx_top_k(q, c, 3, share=1.0)
     else:
         got = exact_top_k(q, c, 3, broadcast_bytes=1 << 20 if way == "broadcast" else 0, query_block=7, chunk_block=9)
     assert found(got) == brute(good[:20], good, 3)
@@ -134,14 +169,25 @@ def test_mixed_lengths_are_an_error(spark):
         exact_top_k(q, c, 1).collect()
 
 
-@pytest.mark.parametrize("bits", [6, 8, 10])
-def test_recall_target_holds_with_more_bits(spark, bits):
-    rng = np.random.default_rng(bits)
-    centres = rng.standard_normal((80, 32))
-    rows = np.concatenate([centres + rng.standard_normal(centres.shape) * 0.35 for _ in range(5)])
+def test_recall_target_is_met_on_vectors_in_all_directions(spark):
+    rows = np.random.default_rng(8).standard_normal((600, 32))
     q, c = frame(spark, rows, "query_id", "query_vec"), frame(spark, rows, "chunk_id", "chunk_vec")
     truth = exact_top_k(q, c, 4, exclude_self=True)
-    got = approx_top_k(q, c, 4, exclude_self=True, bits=bits, similarity=0.8).cache()
+    got = approx_top_k(q, c, 4, exclude_self=True, recall=0.9).cache()
     assert recall_against(got, truth).first().recall >= 0.9
     assert got.groupBy("query_id").count().filter("count = 4").count() == len(rows)
-    assert tables_for(bits, 0.8, 0.9) < tables_for(bits + 2, 0.8, 0.9)
+
+
+def test_queries_without_enough_chunks_are_searched_in_whole(spark):
+    rows = clustered(n_centres=10, each=3)
+    q, c = frame(spark, rows, "query_id", "query_vec"), frame(spark, rows, "chunk_id", "chunk_vec")
+    assert found(approx_top_k(q, c, 20, cells=10, probes=1)) == brute(rows, rows, 20)
+
+
+def test_empty_sides(spark):
+    q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, query_vec array<float>")
+    c = spark.createDataFrame([], "chunk_id long, chunk_vec array<float>")
+    for limit in (1 << 20, 0):
+        assert exact_top_k(q, c, 2, broadcast_bytes=limit).count() == 0
+        assert exact_top_k(q.limit(0), q.toDF("chunk_id", "chunk_vec"), 2, broadcast_bytes=limit).count() == 0
+    assert approx_top_k(q, c, 2).count() == 0
