@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidora.operators.skew import salted_join
 
 
 def side_by_side(
@@ -57,8 +56,19 @@ def normal_code(name: Column) -> Column:
 
 
 def to_catalog(df: DataFrame, source: str, catalog: DataFrame, code: str, columns: list[str], separator: str = " / ") -> DataFrame:
-    """Split a multi-valued source and look every part up in the catalog; unknown parts stay with nulls."""
+    """Split a multi-valued source and look every part up in the catalog; unknown parts stay with nulls.
+
+    Catalog entries whose codes read the same are one entry, the first by code; `colliding_codes` lists them."""
     parts = df.withColumn("source_part", F.explode(F.split(F.col(source), separator.replace("/", "[/]"))))
     keyed = parts.withColumn("__code", normal_code(F.col("source_part")))
-    known = catalog.select(normal_code(F.col(code)).alias("__code"), *columns)
-    return salted_join(keyed, known, ["__code"], "left").drop("__code")
+    known = catalog.groupBy(normal_code(F.col(code)).alias("__code")).agg(
+        F.min_by(F.struct(*columns), F.col(code)).alias("__entry")
+    )
+    joined = keyed.join(known, "__code", "left")
+    return joined.select(*parts.columns, *(F.col("__entry")[c].alias(c) for c in columns))
+
+
+def colliding_codes(catalog: DataFrame, code: str) -> DataFrame:
+    """Codes of the catalog that read the same, for a report."""
+    same = catalog.groupBy(normal_code(F.col(code)).alias("normal_code")).agg(F.array_sort(F.collect_set(code)).alias("codes"))
+    return same.filter(F.size("codes") > 1)

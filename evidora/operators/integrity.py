@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidora.operators.skew import salted_join
 
 
 def owned_by(df: DataFrame, owner: str, user: Column) -> DataFrame:
@@ -62,7 +61,8 @@ def find_or_first(
     """Look each key up among the options; a miss takes the first option in the stated order."""
     first = options.orderBy(*sort).limit(1)
     found = options.select(F.col(option_key), *columns, F.lit(True).alias("__found"))
-    joined = salted_join(df, found.withColumnRenamed(option_key, key), [key], "left")
+    found = found.withColumnRenamed(option_key, "__key")
+    joined = df.join(found, df[key].eqNullSafe(found["__key"]), "left")
     return joined.select(
         *df.columns,
         *[

@@ -23,6 +23,11 @@ def top_k_per_group(
     return ranked if row_key is None else df.join(ranked.select(row_key, rank), row_key)
 
 
+def list_index(df: DataFrame, keys: list[str], order: list[str], *, index: str = "index") -> DataFrame:
+    """1-based position of every row in its list."""
+    return df.withColumn(index, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+
+
 def limit_k(df: DataFrame, sort: list[Column], k: int) -> DataFrame:
     if k < 0:
         raise ValueError("k must not be negative")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidora import constants as K
 from evidora.functions.text import profile_name, short_title
-from evidora.operators.ordered import GROUP_ROWS, ordered
 from evidora.operators.ranking import top_k_per_group
 
 
@@ -44,13 +43,10 @@ def session_summary(df: DataFrame, session: str, order: str, role: str = "role",
     )
 
 
-def turn_pairs(
-    df: DataFrame, session: str, order: str, role: str = "role", text: str = "text", *, group_rows: int = GROUP_ROWS
-) -> DataFrame:
+def turn_pairs(df: DataFrame, session: str, order: str, role: str = "role", text: str = "text") -> DataFrame:
     """Each user message with the message after it; ``answered`` when that is an assistant's."""
-    follow = ordered(
-        df, [session], [order], leads={"next_role": role, "next_text": text}, group_rows=group_rows
-    )
+    by_order = Window.partitionBy(session).orderBy(order)
+    follow = df.withColumns({"next_role": F.lead(role).over(by_order), "next_text": F.lead(text).over(by_order)})
     return follow.filter(F.col(role) == "user").withColumn(
         "answered", F.coalesce(F.col("next_role") == "assistant", F.lit(False))
     )
@@ -60,26 +56,25 @@ def newest_per_user(df: DataFrame, user: str, updated: str, tie: str, k: int) ->
     return top_k_per_group(df, [user], [F.col(updated).desc(), F.col(tie).desc()], k)
 
 
-def message_order(
-    df: DataFrame, session: str, created: list[str], *, previous: str, group_rows: int = GROUP_ROWS
-) -> DataFrame:
+def message_order(df: DataFrame, session: str, created: list[str], *, previous: str) -> DataFrame:
     """Position of every message in its session and the value of the message before."""
-    return ordered(
-        df, [session], created, index="position", lags={f"previous_{previous}": previous}, group_rows=group_rows
+    by_order = Window.partitionBy(session).orderBy(*created)
+    return df.withColumns(
+        {
+            "position": F.row_number().over(by_order).cast("bigint"),
+            f"previous_{previous}": F.lag(previous).over(by_order),
+        }
     )
 
 
-def runs(
-    df: DataFrame, keys: list[str], order: list[str], value: str, *, group_rows: int = GROUP_ROWS
-) -> DataFrame:
+def runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Number the runs of equal neighbouring values; a change of value starts a new run."""
-    changed = F.when(
-        F.col("__position") == 1, F.lit(1)
-    ).otherwise((~F.col("__before").eqNullSafe(F.col(value))).cast("int"))
-    return ordered(
-        df, keys, order, index="__position", lags={"__before": value}, derive={"__changed": changed},
-        sums={"run_no": "__changed"}, group_rows=group_rows,
-    ).drop("__position", "__before", "__changed")
+    by_order = Window.partitionBy(*keys).orderBy(*order)
+    first = F.row_number().over(by_order) == 1
+    same = F.lag(value).over(by_order).eqNullSafe(F.col(value))
+    marked = df.withColumn("__changed", (first | ~same).cast("int"))
+    upto = by_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return marked.withColumn("run_no", F.sum("__changed").over(upto)).drop("__changed")
 
 
 def message_deltas(df: DataFrame, session: str, order: str, role: str = "role", text: str = "text") -> DataFrame:

@@ -61,9 +61,15 @@ def ids_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def best_of_block(
-    query_ids: np.ndarray, queries: np.ndarray, chunk_ids: np.ndarray, chunks: np.ndarray, k: int, exclude_self: bool
+    query_ids: np.ndarray,
+    queries: np.ndarray,
+    chunk_ids: np.ndarray,
+    chunks: np.ndarray,
+    k: int,
+    exclude_self: bool,
+    cut: bool = True,
 ) -> pd.DataFrame:
-    """The k best chunks per query of one block, ties broken by the smaller chunk id."""
+    """The k best chunks per query of one block, ties broken by the smaller chunk id; all ties of the k-th without `cut`."""
     _same_length(queries, chunks)
     parts = []
     scale = 10.0**SCORE_PLACES
@@ -81,7 +87,7 @@ def best_of_block(
             rows, cols = np.nonzero(scores > -np.inf)
         part = pd.DataFrame({"query_id": ids[rows], "chunk_id": chunk_ids[cols], "score": scores[rows, cols]})
         part = part[part["score"] > -np.inf]
-        parts.append(_head_per_query(part, k))
+        parts.append(_head_per_query(part, k) if cut else part)
     if not parts:
         return pd.DataFrame({"query_id": query_ids[:0], "chunk_id": chunk_ids[:0], "score": np.zeros(0)})
     return pd.concat(parts, ignore_index=True)
@@ -105,7 +111,7 @@ def _pair_schema(queries: DataFrame, query_id: str, chunks: DataFrame, chunk_id:
 
 
 #: Reference points of a scan: one for so many queries, at most so many.
-QUERIES_PER_REFERENCE, MOST_REFERENCES, REFERENCE_SAMPLE = 32, 32, 4_096
+QUERIES_PER_REFERENCE, MOST_REFERENCES, REFERENCE_SAMPLE = 64, 24, 4_096
 #: Scores are rounded; a block is skipped only below this distance from a query's k-th score.
 _SLACK = 10.0**-SCORE_PLACES
 
@@ -128,32 +134,36 @@ class BlockScan:
         _same_length(self.queries, chunks)
         angles = least_angles(chunks, self.points)
         cell = angles.argmin(axis=1)
-        blocks = [(p, np.flatnonzero(cell == p)) for p in np.unique(cell)]
-        for at_home in (True, False):
-            for point, rows in blocks:
-                own = self.home == point
-                wanted = np.flatnonzero(own if at_home else ~own)
-                nearest = np.maximum(self.angles[wanted, point] - angles[rows, point].max(), 0.0)
-                reach = np.cos(nearest) + _SLACK >= self.least[wanted]
-                self.skipped += int((~reach).sum()) * len(rows)
-                self.compared += int(reach.sum()) * len(rows)
-                if reach.any():
-                    self._merge(wanted[reach], chunk_ids[rows], chunks[rows])
-
-    def _merge(self, wanted: np.ndarray, chunk_ids: np.ndarray, chunks: np.ndarray) -> None:
-        found = best_of_block(self.ids[wanted], self.queries[wanted], chunk_ids, chunks, self.k, self.exclude_self)
+        blocks = [(p, rows, angles[rows, p].max()) for p in np.unique(cell) if len(rows := np.flatnonzero(cell == p))]
+        # Each query's own block first: it gives the score that the other blocks have to reach.
+        pairs = [(np.flatnonzero(self.home == p), rows) for p, rows, _ in blocks]
+        self._merge([self._best(wanted, chunk_ids, chunks, rows) for wanted, rows in pairs])
+        others = []
+        for point, rows, widest in blocks:
+            away = np.flatnonzero(self.home != point)
+            nearest = np.maximum(self.angles[away, point] - widest, 0.0)
+            others.append((away[np.cos(nearest) + _SLACK >= self.least[away]], rows))
+        self.compared += sum(len(wanted) * len(rows) for wanted, rows in pairs + others)
+        self.skipped += len(self.ids) * len(chunk_ids) - sum(len(w) * len(rows) for w, rows in pairs + others)
+        if 2 * sum(len(wanted) * len(rows) for wanted, rows in others) > len(self.ids) * len(chunk_ids):
+            others = [(np.arange(len(self.ids)), np.arange(len(chunk_ids)))]  # one large product is faster than many
+        self._merge([self._best(wanted, chunk_ids, chunks, rows) for wanted, rows in others])
+
+    def _best(self, wanted: np.ndarray, chunk_ids: np.ndarray, chunks: np.ndarray, rows: np.ndarray) -> pd.DataFrame:
+        large = len(wanted) * len(rows) > _TILE_SCORES // 8  # copies may tie all over a large block
+        found = best_of_block(
+            self.ids[wanted], self.queries[wanted], chunk_ids[rows], chunks[rows], self.k, self.exclude_self, large
+        )
         # Most of what a later block gives does not enter the best.
-        found = found[found["score"].to_numpy() >= self.least[self.at[found["query_id"]].to_numpy()]]
-        if not len(found):
+        return found[found["score"].to_numpy() >= self.least[self.at[found["query_id"]].to_numpy()]]
+
+    def _merge(self, found: list[pd.DataFrame]) -> None:
+        parts = [part for part in [self.best, *found] if part is not None and len(part)]
+        if not parts:
             return
-        touched = found["query_id"].unique()
-        if self.best is None:
-            self.best = _head_per_query(found, self.k)
-        else:
-            again = self.best["query_id"].isin(touched)
-            merged = _head_per_query(pd.concat([self.best[again], found], ignore_index=True), self.k)
-            self.best = pd.concat([self.best[~again], merged], ignore_index=True)
-        own = self.best[self.best["query_id"].isin(touched)].groupby("query_id")["score"]
+        every = pd.concat(parts, ignore_index=True).drop_duplicates(["query_id", "chunk_id"])
+        self.best = _head_per_query(every, self.k)
+        own = self.best.groupby("query_id")["score"]
         full = own.min()[own.size() >= self.k]
         self.least[self.at[full.index].to_numpy()] = full.to_numpy()
 
@@ -242,7 +252,8 @@ def exact_top_k(
     n_values = q.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()[0]
     if n_values * 8 <= broadcast_bytes:
         return _final(_scan_with_broadcast(q, c, k, exclude_self, schema), k)
-    cells, placed = _placed(c, None, rounds=8)
+    rows, sample = sample_of(c)
+    cells, placed = _placed(c, sample, number_of_cells(rows), 8)
     first = _in_cells(q, nearest_cells(q, cells, 1), placed, cells, k, exclude_self, schema, query_block, chunk_block)
     first = written(_final(first, k), "nearest")
     least = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
@@ -251,10 +262,9 @@ def exact_top_k(
     return _final(first.select(*schema.names).unionByName(rest), k)
 
 
-def _placed(chunks: DataFrame, cells: int | None, *, rounds: int) -> tuple[Cells, DataFrame]:
+def _placed(chunks: DataFrame, sample: np.ndarray, cells: int, rounds: int) -> tuple[Cells, DataFrame]:
     """An inverted file of the chunks (id, vec): its cells, and the rows with their cell, written once."""
-    rows, sample = sample_of(chunks)
-    points = fit_cells(sample, cells or number_of_cells(rows), rounds=rounds)
+    points = fit_cells(sample, cells, rounds=rounds)
     placed = written(place(chunks, points), "cells")
     return Cells.of(points, placed), placed
 
@@ -304,25 +314,26 @@ def approx_top_k(
     c = chunks.select(F.col(chunk_id).alias("id"), F.col(chunk_vec).alias("vec")).filter(searchable("vec"))
     wanted = k + 1 if exclude_self else k
 
+    rows, sample = sample_of(c)
     # Copies: a result can only hold the first ids among equal vectors.
     # The hash goes first in keys, so that sorting compares numbers and rarely whole vectors.
     c = top_k_per_group(c.withColumn("hash", F.xxhash64("vec")), ["hash", "vec"], [F.col("id")], wanted)
-    c = c.select("id", "vec")
     distinct = q.groupBy("vec").agg(F.min("query_id").alias("id")).select("id", "vec")
 
-    index, placed = _placed(c, cells, rounds=rounds)
+    index, placed = _placed(c.select("id", "vec"), sample, cells or number_of_cells(rows), rounds)
     if probes is None and share is not None:
         probes = max(1, int(np.ceil(share * len(index.points))))
     if probes is None:
-        probes = probes_for(sample_of(c)[1], index.points, k, recall)
+        probes = probes_for(sample, index.points, k, recall)
     visits = nearest_cells(distinct, index, probes)
     pairs = _in_cells(distinct, visits, placed, index, wanted, False, schema, query_block, chunk_block)
     # Narrow rows, written once: how many were found decides who is searched again.
     best = written(_final(pairs, wanted), "approximate")
     enough = best.filter(F.col("rank") == wanted).select("query_id")
     short = distinct.join(enough, distinct["id"] == enough["query_id"], "left_anti")
-    whole = exact_top_k(short, c, wanted, query_id="id", query_vec="vec", chunk_id="id", chunk_vec="vec")
-    best = best.join(enough, "query_id", "left_semi").unionByName(whole.select(*best.columns))
+    if not short.isEmpty():
+        whole = exact_top_k(short, placed, wanted, query_id="id", query_vec="vec", chunk_id="id", chunk_vec="vec")
+        best = best.join(enough, "query_id", "left_semi").unionByName(whole.select(*best.columns))
     entry = F.struct("rank", "chunk_id", "score")
     found = best.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("found"))
 

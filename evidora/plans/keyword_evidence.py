@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from evidora import constants as K
 from evidora.functions.text import has_text
-from evidora.operators.evidence import BROADCAST_CHUNKS, evidence_per_route
+from evidora.operators.evidence import evidence_per_route
 from evidora.operators.routing import DEFAULT_RULES, Rule, with_route
-from evidora.operators.skew import salted_join
+from evidora.session import written
 
 
 def keyword_evidence(
@@ -26,10 +26,8 @@ def keyword_evidence(
 ) -> DataFrame:
     """Evidence record per question with text.
 
-    The record depends on the route alone, so it is made once per route (at most rules + 1 rows of
-    at most k chunks). Up to a limit on those chunks the records are broadcast: questions are
-    neither shuffled nor multiplied, and a route that takes a third of all questions costs nothing
-    extra. Above it they are joined with hot routes spread. A route without chunks gets the empty
+    The record depends on the route alone, so it is made once per route (at most rules + 1 rows of at most k chunks) and
+    written; questions join it by route. A route without chunks gets the empty
     record. ``comparison`` (route, comparison) adds the side-by-side record of a route.
     """
     routed = with_route(questions.filter(has_text(F.col(text))), text, rules)
@@ -39,11 +37,9 @@ def keyword_evidence(
     )
     if comparison is not None:
         records = records.join(comparison, "route", "full_outer")
-    if (len(routes) + 1) * k <= BROADCAST_CHUNKS:
-        out = routed.join(F.broadcast(records), "route", "left")
-    else:
-        out = salted_join(routed, records, ["route"], "left")
-    out = out.select(*routed.columns, *(c for c in records.columns if c != "route"))  # the same on both ways
+    # Written down, so that the join knows the size of the records: small ones are broadcast, others dealt by route.
+    out = routed.join(written(records, "records"), "route", "left")
+    out = out.select(*routed.columns, *(c for c in records.columns if c != "route"))
     return out.withColumns(
         {
             "context": F.coalesce("context", F.lit("")),
