@@ -13,6 +13,7 @@ from evidora.llm.mixing_lm import op7_mixing_lm
 from evidora.llm.secret_scan import op10_secret_scan
 from evidora.llm.simhash import op4_simhash_near_dedup
 from evidora.llm.substring import OP1_SQL, op1_substring_dedup
+from evidora.llm.suffixes import OP13_SQL, op13_suffix_dedup
 from evidora.llm.tokens import op9_token_counts
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_ranked_search": op12_ranked_search,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLES = {
@@ -38,4 +40,5 @@ ORACLES = {
     "op8_url_reputation": OP8_SQL,
     "op11_merkle_manifest": OP11_SQL,
     "op12_ranked_search": OP12_SQL,
+    "op13_suffix_dedup": OP13_SQL,
 }
