@@ -31,6 +31,8 @@ GRAM = 64
 BUCKET_BYTES = 1 << 20
 #: Share of texts looked at to find common strings, the share of those that makes a string common, and how many are kept.
 SAMPLE, COMMON, COMMON_MOST = 1 / 32, 1 / 500, 1 << 18
+#: Texts of the sample that a task looks at.
+SAMPLE_TASK = 256
 
 _COMMON = np.uint64(1 << 63)
 _POSITION = np.uint64(0xFFFFFFFF)
@@ -73,13 +75,14 @@ def _common_strings(rows: DataFrame, length: int) -> np.ndarray:
             first[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
             value, count = np.unique(hashes[first], return_counts=True)
             # A string held once in the piece and common nonetheless would need as many pieces as texts.
-            keep = count > 1 if batch.num_rows > 64 else slice(None)
+            keep = count > 1 if batch.num_rows > 8 else slice(None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(value[keep].view(np.int64)), pa.array(count[keep].astype(np.int64))], ["gram", "n"]
             )
 
     total = sample.count()
-    counted = sample.mapInArrow(held, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    # Few tasks with many texts each: only what several of their texts hold is sent on.
+    counted = sample.coalesce(1 + total // SAMPLE_TASK).mapInArrow(held, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     common = counted.where(F.col("n") >= max(4, int(total * COMMON))).orderBy(F.desc("n"), "gram").limit(COMMON_MOST)
     found = np.array([r.gram for r in common.select("gram").toLocalIterator()], dtype=np.int64)
     return np.sort(found.view(np.uint64))
