@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidora.llm import text as tx
-from evidora.llm.components import components, stored, united
+from evidora.llm.components import components, remove, stored, united
 
 SHINGLE = 3
 SEED = 42
@@ -97,52 +97,88 @@ def near_copies(
 
 #: Similar texts: words of a shingle, least Jaccard similarity of the sets of shingles (a fraction), and independent fingerprints.
 SIMILAR_SHINGLE, SIMILAR, SIMILAR_PRINTS = 5, (4, 5), 3
-#: Candidates differ in at most so many bits of all fingerprints together. Texts at a Jaccard similarity of 0.8 differ in 29 of
-#: 192 on average, with a deviation of 5.
-SIMILAR_ALL_BITS = 48
+#: Candidates differ in at most so many bits of two fingerprints. Texts at a Jaccard similarity of 0.8 differ in 19 of 128 on
+#: average, with a deviation of 4.
+SIMILAR_BITS = 34
 #: Candidates of a text in one variant that the first search takes.
 FIRST_CANDIDATES = 4
 _PRINTS = [f"fp{k}" for k in range(SIMILAR_PRINTS)]
 
 
+def _shingle_sets(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the shingles of all texts, in order, one text after the other, and how many each text has."""
+    hashes, number = _shingles(array, SIMILAR_SHINGLE)
+    row = np.repeat(np.arange(len(number)), number)
+    by = np.lexsort((hashes, row))
+    hashes, row = hashes[by], row[by]
+    new = np.ones(len(row), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[new], np.bincount(row[new], minlength=len(number))
+
+
+def _set_array(hashes: np.ndarray, number: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(number)]), pa.int32()), pa.array(hashes.view(np.int64))
+    )
+
+
 def _similar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    salts = tx.mixed(np.arange(1, SIMILAR_PRINTS + 1))
     for batch in tx.text_pieces(batches, "text", PIECE_BYTES):
-        hashes, number = _shingles(batch.column("text"), SIMILAR_SHINGLE)
-        row = np.repeat(np.arange(len(number)), number)
-        by = np.lexsort((hashes, row))
-        hashes, row = hashes[by], row[by]
-        new = np.ones(len(row), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-        hashes, number = hashes[new], np.bincount(row[new], minlength=len(number))
-        salts = tx.mixed(np.arange(1, SIMILAR_PRINTS + 1))
+        hashes, number = _shingle_sets(batch.column("text"))
         prints = [pa.array(_majority(tx.mixed(hashes ^ salt), number)) for salt in salts]
-        ends = pa.array(np.concatenate([[0], np.cumsum(number)]), pa.int32())
-        sets = pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64)))
-        columns = [batch.column("doc_id"), batch.column("copy"), sets, *prints]
+        columns = [batch.column("doc_id"), batch.column("copy"), _set_array(hashes, number), *prints]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "shingles", *_PRINTS])
 
 
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in tx.text_pieces(batches, "text", PIECE_BYTES):
+        sets = _set_array(*_shingle_sets(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "shingles"])
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _stored_alone(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table written to the shared folder; the files of the shuffles that made it go as soon as it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def similar_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id`, `copy` and `root` (names the component) of texts whose sets of five-word shingles are alike at Jaccard 0.8.
 
     Several independent fingerprints of the set are indexed, each cut into four segments: texts of which some segment differs by
     at most one bit meet in a one-wildcard variant, and are candidates if few bits differ in all. Candidates are verified by
-    the sets themselves, so no link is false. Equal sets are one node. A first search by whole segments takes few
-    candidates of each text; what it links is not compared again, so a large group never becomes a table of all its pairs."""
+    the sets themselves, made again from the texts that have candidates, so no link is false. Equal sets are one node. A
+    first search by whole segments takes few candidates of each text; what it links is not compared again, so a large group
+    never becomes a table of all its pairs.
+
+    Null and empty texts have the same, empty set. Rows with a null id are compared like others; repeated rows get the same
+    result. An empty table gives an empty result. Columns besides id and text are not looked at."""
+    spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(F.col(text_col).cast("string")).alias("copy"),
         tx.closed_text(F.col(text_col)).alias("text"),
     )
     schema = "doc_id long, copy long, shingles array<long>, " + ", ".join(f"{p} long" for p in _PRINTS)
-    made = rows.mapInArrow(_similar_rows, schema).withColumn("node", F.xxhash64("shingles"))
-    prints, _ = stored(made, "fingerprints")
+    made = rows.mapInArrow(_similar_rows, schema).withColumn("node", F.xxhash64("shingles")).drop("shingles")
+    prints, _ = _stored_alone(made, "fingerprints")
     nodes = prints.select("node", *_PRINTS).distinct().withColumn("root", F.col("node"))
-    links, _ = stored(_verified(_candidates(nodes, False, FIRST_CANDIDATES), prints), "links")
+    links, path = _verified(_candidates(nodes, False, FIRST_CANDIDATES), prints, rows)
     roots = components(links).withColumnRenamed("root", "known")
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
-    more, _ = stored(_verified(_candidates(nodes, True, None), prints), "links")
+    more, other = _verified(_candidates(nodes, True, None), prints, rows)
     roots = components(links.union(more))
+    remove(spark, path)
+    remove(spark, other)
     return prints.select("doc_id", "copy", "node").join(roots, "node", "left").select(
         "doc_id", "copy", F.coalesce("root", "node").alias("root")
     )
@@ -151,28 +187,45 @@ def similar_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def _candidates(nodes: DataFrame, wildcards: bool, most: int | None) -> DataFrame:
     """Pairs `a`, `b` of nodes under different roots that meet in a variant, at most `most` of a node in each."""
     each = 16 if wildcards else 1
-    variants = nodes.withColumn("wild", F.explode(F.sequence(F.lit(0), F.lit(SIMILAR_PRINTS * 4 * each - 1))))
-    own = F.expr(f"array({', '.join(_PRINTS)})[cast(wild / {4 * each} as int)]")
-    segment = F.expr(f"shiftrightunsigned(own, 16 * (cast(wild / {each} as int) % 4)) & 65535L")
-    variants = variants.withColumn("own", own).withColumn("variant", segment)
+    wild = F.explode(F.sequence(F.lit(0), F.lit(SIMILAR_PRINTS * 4 * each - 1)))
+    prints = f"array({', '.join(_PRINTS)})"
+    number = f"cast(wild / {4 * each} as int)"
+    variants = nodes.withColumn("wild", wild).select(
+        "node",
+        "root",
+        "wild",
+        F.expr(f"{prints}[{number}]").alias("own"),
+        F.expr(f"{prints}[({number} + 1) % {SIMILAR_PRINTS}]").alias("other"),
+    )
+    segment = F.expr(f"cast(shiftrightunsigned(own, 16 * (cast(wild / {each} as int) % 4)) & 65535L as int)")
     if wildcards:
-        variants = variants.withColumn("variant", F.expr("variant & ~shiftleft(1L, wild % 16)"))
-    variants = variants.withColumn("variant", F.shiftleft(F.col("wild").cast("long"), 32) + F.col("variant"))
-    dealt = variants.select("node", "root", *_PRINTS, "variant").repartition("variant").sortWithinPartitions("variant")
+        segment = segment.bitwiseAND(F.expr("~shiftleft(1, wild % 16)"))
+    variants = variants.withColumn("variant", F.shiftleft("wild", 16) + segment)
+    dealt = variants.select("node", "root", "own", "other", "variant").repartition("variant")
+    dealt = dealt.sortWithinPartitions("variant", "root")
     return dealt.mapInArrow(lambda batches: _meet_similar(batches, most), "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets of shingles are alike."""
-    pairs, _ = stored(pairs, "candidates")
+def _verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame) -> tuple[DataFrame, str]:
+    """The pairs whose sets of shingles are alike, and where they are stored."""
+    spark = pairs.sparkSession
+    pairs, pairs_path = _stored_alone(pairs, "candidates")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets, _ = stored(sets.select("node", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingles")
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
+    one = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("one"))
+    one = one.select("node", "one.doc_id", "one.copy").alias("o")
+    same = F.col("r.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("r.copy") == F.col("o.copy"))
+    texts = rows.alias("r").join(one, same).select("o.node", "r.text")
+    sets = texts.mapInArrow(_set_rows, "node long, shingles array<long>").dropDuplicates(["node"])
+    sets, sets_path = _stored_alone(sets, "shingles")
+    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("other"))
     share, whole = SIMILAR
     both = F.size(F.array_intersect("one", "other"))
     alike = both * whole >= (F.size("one") + F.size("other") - both) * share
-    return pairs.join(one, "a").join(other, "b").where(alike).select("a", "b")
+    links = _stored_alone(pairs.join(first, "a").join(other, "b").where(alike).select("a", "b"), "links")
+    remove(spark, pairs_path)
+    remove(spark, sets_path)
+    return links
 
 
 def _meet_similar(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
@@ -194,35 +247,41 @@ def _meet_similar(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterat
 
 
 def _similar_pairs(columns: list[np.ndarray], most: int | None) -> Iterator[pa.RecordBatch]:
-    node, root, *prints, variant = columns
-    prints = [p.view(np.uint64) for p in prints]
+    """Pairs of one variant; rows come by variant and root, and a row is compared with those behind the rows of its root."""
+    node, root, own, other, variant = columns
+    own, other = own.view(np.uint64), other.view(np.uint64)
     first, last = tx.runs(np.diff(variant, prepend=-1) != 0)
-    at, end = tx.ranges(first, last - first), np.repeat(last, last - first)
+    end = np.repeat(last, last - first)
+    begins = np.ones(len(node), bool)
+    begins[1:] = (variant[1:] != variant[:-1]) | (root[1:] != root[:-1])
+    first, last = tx.runs(begins)
+    at, next_ = np.arange(len(node)), np.repeat(last, last - first)
     met = np.zeros(len(node), np.int64)
     pairs: list[np.ndarray] = []
-    held, step = 0, 1
+    held = 0
 
     def batch() -> pa.RecordBatch:
         distinct = np.unique(np.concatenate(pairs), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(distinct[:, 0]), pa.array(distinct[:, 1])], ["a", "b"])
 
-    while len(at):
-        keep = at + step < end
+    while True:
+        keep = next_ < end[at]
         if most is not None:
             keep &= met[at] < most
-        at, end = at[keep], end[keep]
-        i = at[root[at] != root[at + step]]
-        bits = sum(np.bitwise_count(p[i] ^ p[i + step]) for p in prints)  # at most 64 each, so that bytes hold three
-        close = i[bits <= SIMILAR_ALL_BITS]
-        if len(close):
-            met[close] += 1
-            a, b = node[close], node[close + step]
+        at, next_ = at[keep], next_[keep]
+        if not len(at):
+            break
+        bits = np.bitwise_count(own[at] ^ own[next_]) + np.bitwise_count(other[at] ^ other[next_])
+        close = bits <= SIMILAR_BITS
+        if close.any():
+            met[at[close]] += 1
+            a, b = node[at[close]], node[next_[close]]
             pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            held += len(close)
+            held += len(a)
         if held >= BLOCK_ROWS:
             yield batch()
             pairs, held = [], 0
-        step += 1
+        next_ += 1
     if pairs:
         yield batch()
 

@@ -36,16 +36,8 @@ def brute(rows):
 
 
 def similar(rows):
-    """Smallest id of each component of similar texts, as text."""
-    prints = []
-    for _, text in rows:
-        words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        grams = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
-        both = []
-        for seed in (42, 43):
-            h = np.array([xxhash.xxh64_intdigest(g.encode(), seed) for g in grams], np.uint64)
-            both.append(sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h)))
-        prints.append(both)
+    """Smallest id of each component of texts alike at Jaccard 0.8, as text."""
+    sets = [shingle_set(text) for _, text in rows]
     parent = list(range(len(rows)))
 
     def find(i):
@@ -55,8 +47,7 @@ def similar(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            a, b = ((prints[i][k] ^ prints[j][k]).bit_count() for k in (0, 1))
-            if a <= 7 and a + b <= 20:
+            if jaccard(sets[i], sets[j]) >= 0.8:
                 parent[find(i)] = find(j)
     ids = defaultdict(list)
     for i, (doc, _) in enumerate(rows):
@@ -165,6 +156,17 @@ def test_texts_with_few_changes_are_similar(spark, monkeypatch):
     assert {str(g * 10) for g in range(40)} <= kept and len(kept) < 90
 
 
+def test_very_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    rows = []
+    for i in range(5000):
+        own = list(base)
+        own[int(rng.integers(0, 120))] = f"changed{i}"
+        rows.append((i, " ".join(own)))
+    assert [r.doc_id for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
 def shingle_set(text):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
