@@ -295,7 +295,13 @@ _RESULT = T.StructType().add("lang", T.StringType()).add("score", T.DoubleType()
 
 
 def labelled(
-    docs: DataFrame, field: Field, *, text_col: str = "text", into: str = "language", spans: bool = True
+    docs: DataFrame,
+    field: Field,
+    *,
+    text_col: str = "text",
+    into: str = "language",
+    spans: bool = True,
+    piece_bytes: int = tx.CHUNK_BYTES // 2,
 ) -> DataFrame:
     """The same rows with a struct column `into`: `lang`, `score` and, if asked for, `spans` (word ranges by language).
 
@@ -317,7 +323,7 @@ def labelled(
         for batch in batches:
             parts = []
             sizes = np.diff(tx.text_bytes(batch)[1])
-            for part in tx.pieces(batch, sizes, tx.CHUNK_BYTES // 2) if len(batch) else ():
+            for part in tx.pieces(batch, sizes, piece_bytes) if len(batch) else ():
                 best, score, found = _predict(part, own, spans)
                 parts.append(
                     pa.StructArray.from_arrays([names.take(pa.array(best)), pa.array(score), found], ["lang", "score", "spans"])

@@ -97,6 +97,7 @@ def near_copies(
 
 #: Similar texts: words of a shingle, least Jaccard similarity of the sets of shingles (a fraction), and independent fingerprints.
 SIMILAR_SHINGLE, SIMILAR, SIMILAR_PRINTS = 5, (4, 5), 3
+SIMILAR_PIECE_BYTES = 512 << 10
 #: Candidates differ in at most so many bits of two fingerprints. Texts at a Jaccard similarity of 0.8 differ in 19 of 128 on
 #: average, with a deviation of 4.
 SIMILAR_BITS = 34
@@ -124,7 +125,7 @@ def _set_array(hashes: np.ndarray, number: np.ndarray) -> pa.ListArray:
 
 def _similar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salts = tx.mixed(np.arange(1, SIMILAR_PRINTS + 1))
-    for batch in tx.text_pieces(batches, "text", PIECE_BYTES):
+    for batch in tx.text_pieces(batches, "text", SIMILAR_PIECE_BYTES):
         hashes, number = _shingle_sets(batch.column("text"))
         prints = [pa.array(_majority(tx.mixed(hashes ^ salt), number)) for salt in salts]
         columns = [batch.column("doc_id"), batch.column("copy"), _set_array(hashes, number), *prints]
@@ -132,7 +133,7 @@ def _similar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in tx.text_pieces(batches, "text", PIECE_BYTES):
+    for batch in tx.text_pieces(batches, "text", SIMILAR_PIECE_BYTES):
         sets = _set_array(*_shingle_sets(batch.column("text")))
         yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "shingles"])
 
