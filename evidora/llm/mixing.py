@@ -91,7 +91,9 @@ def assigned(
             F.xxhash64(text).alias("copy"),
             F.col(source_col).cast("string").alias("source"),
             tx.word_count(text).alias("size"),
-        ).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+            # Rows without an id are spread by their text.
+            F.md5(F.coalesce(F.col(id_col).cast("long").cast("string"), text, F.lit(""))).alias("key"),
+        ),
         "sizes",
     )
     totals = narrow.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
@@ -122,24 +124,36 @@ def assigned(
 
 
 def position(taken: Column, target: Column, segments: Column) -> Column:
-    """Training time at which `taken` of `target` words of a source have been asked for."""
-    share = taken / target
-    at = F.element_at(F.filter(segments, lambda s: s["share"] <= share), -1)
+    """Training time at which `taken` of `target` words of a source have been asked for; null where the target is 0."""
+    share = F.try_divide(taken, target)
+    at = F.try_element_at(F.filter(segments, lambda s: s["share"] <= share), F.lit(-1))
     rest = share - at["share"]
     root = F.sqrt(F.greatest(at["weight"] * at["weight"] + 2 * at["slope"] * rest, F.lit(0.0)))
     return at["time"] + F.when(rest > 0, F.try_divide(2 * rest, at["weight"] + root)).otherwise(0.0)
 
 
+def taken_at(most: float = MOST) -> Column:
+    """The takes of an `assigned` row in order: `epoch`, `words` (the last take may be a part) and `position`."""
+    goal = F.round("target").cast("long")
+
+    def take(epoch: Column) -> Column:
+        start = epoch * F.col("source_size") + F.col("before")
+        return F.struct(
+            epoch.alias("epoch"),
+            F.least(F.col("size"), goal - start).alias("words"),
+            position(start, F.col("target"), F.col("segments")).alias("position"),
+        )
+
+    epochs = F.sequence(F.lit(0), F.lit(max(0, -int(-most // 1) - 1)))
+    return F.filter(F.transform(epochs, take), lambda t: t["words"] > 0)
+
+
 def takes(rows: DataFrame, most: float = MOST) -> DataFrame:
     """`assigned` rows, once for each time a document is taken: `epoch`, `words` (the last take may be a part) and `position`.
 
     Documents without words and those that the target doesn't reach have no row.
     """
-    epochs = F.sequence(F.lit(0), F.lit(max(0, -int(-most // 1) - 1)))
-    start = F.col("epoch") * F.col("source_size") + F.col("before")
-    words = F.least(F.col("size"), F.round("target").cast("long") - start)
-    taken = rows.withColumn("epoch", F.explode(epochs)).withColumn("words", words).where("words > 0")
-    return taken.withColumn("position", position(start, F.col("target"), F.col("segments")))
+    return rows.select("*", F.inline(taken_at(most)))
 
 
 def curriculum(docs: DataFrame, schedules=ranked_schedules, *, most: float = MOST, **columns: str) -> DataFrame:
@@ -182,30 +196,27 @@ def mixed_documents(docs: DataFrame, schedules=ranked_schedules, *, most: float
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix of all documents takes from each."""
-    rows, _ = stored(assigned(spark.read.parquet(f"{sf_dir}/documents.parquet")), "assigned")
-    order = takes(rows).orderBy("position")
-    per_doc = order.groupBy("doc_id", "source", "before", "size").agg(F.sum("words").alias("words"))
-    same = (
-        F.col("r.doc_id").eqNullSafe(F.col("p.doc_id"))
-        & F.col("r.source").eqNullSafe(F.col("p.source"))
-        & (F.col("r.before") == F.col("p.before"))
-        & (F.col("r.size") == F.col("p.size"))
-    )
-    joined = rows.alias("r").join(per_doc.alias("p"), same, "left")
-    return joined.select(
-        "r.doc_id",
-        "r.size",
+    """What the mix of all documents takes from each, sorted by the position of the first take.
+
+    `epochs` is the number of takes; documents that are never taken have no position and come last.
+    """
+    rows = assigned(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("takes", taken_at())
+    taken = F.aggregate("takes", F.lit(0).cast("long"), lambda total, t: total + t["words"])
+    return rows.select(
+        "doc_id",
+        "size",
         "source_size",
         F.round("target", 4).alias("target"),
-        F.coalesce("words", F.lit(0)).cast("long").alias("taken"),
-    )
+        taken.alias("taken"),
+        F.size("takes").cast("long").alias("epochs"),
+        F.round(F.get("takes", F.lit(0))["position"], 9).alias("position"),
+    ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 OP5_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5(CAST(doc_id AS VARCHAR)) AS key FROM documents
+    md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS key FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS w FROM sized GROUP BY source
@@ -223,15 +234,22 @@ WITH RECURSIVE sized AS (
     FROM shared WHERE round < 30
   )
 ), final AS (
-  SELECT source, source_size, coalesce(target, left_over * w / total) AS target FROM shared WHERE round = 30
+  SELECT source, source_size, w, coalesce(target, left_over * w / total) AS target FROM shared WHERE round = 30
 ), rows AS (
-  SELECT d.doc_id, d.size, f.source_size, f.target, CAST(round(f.target) AS BIGINT) AS goal,
+  SELECT d.doc_id, d.size, f.source_size, f.w, f.target, CAST(round(f.target) AS BIGINT) AS goal,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized d JOIN final f ON d.source IS NOT DISTINCT FROM f.source
 )
 SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(
   greatest(0, least(size, goal - before)) + greatest(0, least(size, goal - before - source_size))
-  + greatest(0, least(size, goal - before - 2 * source_size)) AS BIGINT) AS taken
+  + greatest(0, least(size, goal - before - 2 * source_size)) AS BIGINT) AS taken,
+  CASE WHEN size = 0 THEN 0 ELSE CAST(goal > before AS BIGINT) + CAST(goal > before + source_size AS BIGINT)
+    + CAST(goal > before + 2 * source_size AS BIGINT) END AS epochs,
+  -- The inverse of each schedule's integral: falling from 1.5 to 0.5, even, and rising from 0.5 to 1.5 of the mean.
+  CASE WHEN size > 0 AND goal > before THEN round(CASE w
+    WHEN 1 THEN 2 * (before / target) / (1.5 + sqrt(2.25 - 2 * (before / target)))
+    WHEN 2 THEN before / target
+    WHEN 3 THEN 2 * (before / target) / (0.5 + sqrt(0.25 + 2 * (before / target))) END, 9) END AS position
 FROM rows
 """

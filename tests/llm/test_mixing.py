@@ -9,6 +9,8 @@ from tests_llm_oracle import check_query
 
 def test_query_against_sql(spark):
     check_query(spark, "op5_curriculum_mix", "/root/testdata/sf0.001")
+    plan = mixing.op5_curriculum_mix(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(position" in plan and "SQRT" in plan
 
 
 def test_targets():
