@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
-Texts are compared as lower-case words without punctuation. A test item overlaps a document where WINDOW words in a row of
-the one (the whole item, if it is shorter) stand aligned with those of the other and at most a fifth of them differ. Fixed
+Texts are compared as lower-case words without punctuation; in scripts written without blanks each character is a word. A test
+item overlaps a document where WINDOW words in a row of
+the one (the whole item, if it is shorter) stand aligned with those of the other and at most a fifth of them differ. Items under
+EXACT_BELOW words have to stand in the document word for word. Fixed
 masks hash some positions of a stretch of words and ignore the others; the three masks are chosen such that every way in which
 2 of 13 words can differ leaves at least one mask untouched somewhere in the window, so a seed never misses an overlap.
 Hashes of the test items and of the documents are joined on equality; around each hit the aligned words are compared.
@@ -27,13 +29,19 @@ from evidora.llm import text as tx
 WINDOW = 13
 #: One in so many words may differ.
 DIFFERS = 5
-#: Items of fewer words say too little to be looked for.
-LEAST_WORDS = 8
+#: Whole items of fewer words allow no difference.
+EXACT_BELOW = 8
+#: `clean` drops a document for items of at least so many words: shorter ones stand in texts that never saw the test.
+CLEAN_WORDS = 5
 MASKS = ((0, 1, 2, 4, 9, 10, 11), (0, 1, 2, 3, 4, 6, 7), (0, 1, 4, 5, 6, 7, 8))
-#: For items under WINDOW words: three words in a row, which a fifth of differing words always leaves.
-SHORT_MASK = (0, 1, 2)
+#: For items under WINDOW words: three words in a row, which a fifth of differing words always leaves, or all that there are.
+SHORT_MASKS = ((0, 1, 2), (0, 1), (0,))
+#: Characters of scripts without blanks: Thai, Lao, Burmese, Khmer, kana and Han.
+UNSPACED = r"[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
 #: Words of test items that tasks hold at once, about 100 bytes each.
 BLOCK_WORDS = 200_000
+#: Hits, and aligned words, that a task works on at once.
+CELLS = 500_000
 FILTER_BITS = 22
 _SHIFT = np.uint64(64 - FILTER_BITS)
 
@@ -67,16 +75,24 @@ def _masked(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return tx.mixed(total)
 
 
-def _block(texts: list[str], number: int) -> Block:
+def plain_text(text: Column) -> Column:
+    """Lower case, with blanks around each character of a script without them."""
+    return tx.closed_text(F.regexp_replace(F.lower(text.cast("string")), f"({UNSPACED})", " $1 "))
+
+
+def _block(texts: list[str], number: int, least: int) -> Block:
     words, first = _hashed(pa.array(texts, pa.large_string()))
     count = np.diff(first)
     item = np.repeat(np.arange(len(count)), count)
     seeds = []
-    for mask in (*MASKS, SHORT_MASK):
-        long = count >= WINDOW if mask != SHORT_MASK else (count < WINDOW) & (count >= LEAST_WORDS)
+    for mask in (*MASKS, *SHORT_MASKS):
+        if mask in MASKS:
+            sought = count >= max(WINDOW, least)
+        else:
+            sought = (count < WINDOW) & (count >= least) & (np.minimum(count, len(SHORT_MASKS[0])) == len(mask))
         hashes = _masked(words, mask)
         at = np.arange(len(hashes))
-        at = at[long[item[at]] & (item[at] == item[at + mask[-1]])]
+        at = at[sought[item[at]] & (item[at] == item[at + mask[-1]])]
         by = at[np.argsort(hashes[at], kind="stable")]
         if len(by):
             held = np.zeros(1 << FILTER_BITS, bool)
@@ -85,40 +101,56 @@ def _block(texts: list[str], number: int) -> Block:
     return Block(item + number, words, first, seeds)
 
 
-def blocks(items: DataFrame, text_col: str) -> Iterator[tuple[list, Block]]:
+def blocks(items: DataFrame, text_col: str, least: int = 1) -> Iterator[tuple[list, Block]]:
     """Ids and blocks of test items, read in the order of their ids; the driver holds one block's texts at a time."""
     held: list[tuple] = []
     size = number = 0
     for row in items.toLocalIterator():
         n = len((row[text_col] or "").split()) + 1
         if held and size + n > BLOCK_WORDS:
-            yield [h[0] for h in held], _block([h[1] for h in held], number)
+            yield [h[0] for h in held], _block([h[1] for h in held], number, least)
             number += len(held)
             held, size = [], 0
         held.append((row["item_id"], row[text_col] or ""))
         size += n
     if held:
-        yield [h[0] for h in held], _block([h[1] for h in held], number)
+        yield [h[0] for h in held], _block([h[1] for h in held], number, least)
 
 
-def _overlaps(array: pa.Array, block: Block) -> pa.Array:
-    words, first = _hashed(array)
-    doc = np.repeat(np.arange(len(array)), np.diff(first))
-    found = []
+def _spans(sizes: np.ndarray) -> Iterator[slice]:
+    """Neighbours whose sizes add up to about CELLS; a larger one goes alone."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + CELLS, side="right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def _places(words: np.ndarray, doc: np.ndarray, block: Block) -> np.ndarray:
+    """Where items could stand by one seed or more: the word where the item would begin, the item, the document."""
+    found = [np.zeros((0, 3), np.int64)]
     for mask, seeds, where, held in block.seeds:
         hashes = _masked(words, mask)
         at = np.flatnonzero(held[hashes >> _SHIFT])
         at = at[doc[at] == doc[at + mask[-1]]]
         lo, hi = np.searchsorted(seeds, hashes[at], "left"), np.searchsorted(seeds, hashes[at], "right")
-        hit = tx.ranges(lo, hi - lo)
-        at = np.repeat(at, hi - lo)
-        word = where[hit]
-        item = block.item[word] - block.item[0]
-        found.append(np.column_stack([at - word + block.first[item], item, doc[at]]))  # where the item would begin
-    places = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+        # A word that is repeated in both meets itself everywhere, mostly at a place that is known already.
+        for some in _spans(hi - lo):
+            times = hi[some] - lo[some]
+            begin, word = np.repeat(at[some], times), where[tx.ranges(lo[some], times)]
+            item = block.item[word] - block.item[0]
+            found.append(np.unique(np.column_stack([begin - word + block.first[item], item, doc[begin]]), axis=0))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _aligned(words: np.ndarray, first: np.ndarray, places: np.ndarray, block: Block) -> np.ndarray:
+    """Overlaps at some places: document, item, its first word in the document and past its last, in the item, equal words."""
     origin, item, owner = places.T
     size = np.diff(block.first)[item]
-    # All aligned words of all places, one place after the other.
+    # All aligned words of these places, one place after the other.
     step = tx.ranges(np.zeros(len(size), np.int64), size)
     place = np.repeat(np.arange(len(size)), size)
     there = origin[place] + step
@@ -131,19 +163,30 @@ def _overlaps(array: pa.Array, block: Block) -> pa.Array:
     width = window[place[start]]
     # A window lies inside the document as a whole.
     some = np.concatenate([[0], np.cumsum(inside)])
-    good = (total[start + width] - total[start] >= width - width // DIFFERS) & (some[start + width] - some[start] == width)
+    least = np.where(width < EXACT_BELOW, width, width - width // DIFFERS)
+    good = (total[start + width] - total[start] >= least) & (some[start + width] - some[start] == width)
     start, width = start[good], width[good]
-    if not len(start):
-        return pa.array([[]] * len(array), pa.list_(_ARROW))
     mine = place[start]
     a, b = tx.runs(np.diff(mine, prepend=-1) != 0)
+    if not len(start):
+        return np.zeros((0, 6), np.int64)
     mine, lo, hi = mine[a], start[a], start[b - 1] + width[b - 1]
-    by = np.lexsort((step[lo], item[mine], owner[mine]))
-    mine, lo, hi = mine[by], lo[by], hi[by]
     begin = there[lo] - first[owner[mine]]
-    columns = [item[mine] + block.item[0], begin, begin + hi - lo, step[lo], total[hi] - total[lo]]
+    return np.column_stack([owner[mine], item[mine], begin, begin + hi - lo, step[lo], total[hi] - total[lo]])
+
+
+def _overlaps(array: pa.Array, block: Block) -> pa.Array:
+    words, first = _hashed(array)
+    doc = np.repeat(np.arange(len(array)), np.diff(first))
+    places = _places(words, doc, block)
+    sizes = np.diff(block.first)[places[:, 1]]
+    rows = np.concatenate(
+        [np.zeros((0, 6), np.int64), *(_aligned(words, first, places[some], block) for some in _spans(sizes))]
+    )
+    owner, item, begin, end, step, equal = rows[np.lexsort((rows[:, 4], rows[:, 1], rows[:, 0]))].T
+    columns = [item + block.item[0], begin, end, step, equal] if len(rows) else [item, begin, end, step, equal]
     hits = pa.StructArray.from_arrays([pa.array(c) for c in columns], [f.name for f in _HIT])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[mine], np.arange(len(array) + 1)), pa.int32()), hits)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(array) + 1)), pa.int32()), hits)
 
 
 _ARROW = pa.struct([(f.name, pa.int64()) for f in _HIT])
@@ -158,14 +201,16 @@ def _seen(block, text: Column) -> Column:
             del batch
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(_ARROW))
 
-    return hits(tx.closed_text(F.lower(text.cast("string"))))
+    return hits(plain_text(text))
 
 
-def hits(spark: SparkSession, text: Column, items: DataFrame, *, id_col: str, text_col: str) -> tuple[Column, list]:
-    """A column of all overlaps of a text, and the ids of the items by the number that overlaps give."""
-    lowered = items.select(F.col(id_col).alias("item_id"), tx.closed_text(F.lower(F.col(text_col).cast("string"))).alias("t"))
+def hits(
+    spark: SparkSession, text: Column, items: DataFrame, *, id_col: str, text_col: str, least: int = 1
+) -> tuple[Column, list]:
+    """A column of all overlaps of a text with items of at least so many words, and the items' ids by the number they give."""
+    lowered = items.select(F.col(id_col).alias("item_id"), plain_text(F.col(text_col)).alias("t"))
     ids, columns = [], []
-    for some, block in blocks(lowered.orderBy("item_id", "t"), "t"):
+    for some, block in blocks(lowered.orderBy("item_id", "t"), "t", least):
         ids += some
         if block.seeds:
             columns.append(_seen(spark.sparkContext.broadcast(block), text))
@@ -185,7 +230,7 @@ def overlaps(
     """One row per overlap: `doc_id`, `item_id`, `doc_start`, `doc_end` (words of the document, end exclusive), `item_start`,
     `n_equal`.
 
-    Null and empty texts overlap nothing; items of fewer than LEAST_WORDS words are not looked for. Null ids and repeated
+    Null and empty texts overlap nothing. Null ids and repeated
     rows of either table give rows of their own. An empty table gives an empty result. Other columns are not looked at.
     """
     spark = docs.sparkSession
@@ -199,9 +244,9 @@ def overlaps(
 
 
 def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without any overlap; those with a null text stay."""
+    """The rows of `docs` without any overlap with items of CLEAN_WORDS or more words; those with a null text stay."""
     items = items.select(F.monotonically_increasing_id().alias("item"), F.col(item_text_col).alias("text"))
-    column, _ = hits(docs.sparkSession, F.col(text_col), items, id_col="item", text_col="text")
+    column, _ = hits(docs.sparkSession, F.col(text_col), items, id_col="item", text_col="text", least=CLEAN_WORDS)
     return docs.where(F.size(column) == 0)
 
 
@@ -214,21 +259,26 @@ def op3_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F\x{AB}\x{BB}\x{2000}-\x{206F}]+"
 OP3_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN}') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '({UNSPACED})', ' \1 ', 'g'), '{_TOKEN}') AS w
+  FROM documents
 ), b AS (
-  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN}') AS w FROM benchmark
+  SELECT item_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '({UNSPACED})', ' \1 ', 'g'), '{_TOKEN}') AS w
+  FROM benchmark
 ), dw AS (
   SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d
 ), bw AS (
-  SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM b WHERE len(w) >= {LEAST_WORDS}
+  SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM b
 ), dg AS (
-  SELECT doc_id, i, word || ' ' || lead(word) OVER s || ' ' || lead(word, 2) OVER s AS g FROM dw
+  SELECT doc_id, i, 3 AS k, word || ' ' || lead(word) OVER s || ' ' || lead(word, 2) OVER s AS g FROM dw
   WINDOW s AS (PARTITION BY doc_id ORDER BY i)
+  UNION ALL SELECT doc_id, i, 2, word || ' ' || lead(word) OVER s FROM dw WINDOW s AS (PARTITION BY doc_id ORDER BY i)
+  UNION ALL SELECT doc_id, i, 1, word FROM dw
 ), bg AS (
-  SELECT item_id, n, i, word || ' ' || lead(word) OVER s || ' ' || lead(word, 2) OVER s AS g FROM bw
+  SELECT item_id, n, i, least(n, 3) AS k, CASE n WHEN 1 THEN word WHEN 2 THEN word || ' ' || lead(word) OVER s
+    ELSE word || ' ' || lead(word) OVER s || ' ' || lead(word, 2) OVER s END AS g FROM bw
   WINDOW s AS (PARTITION BY item_id ORDER BY i)
 ), places AS (
-  SELECT DISTINCT doc_id, item_id, n, dg.i - bg.i AS origin FROM dg JOIN bg USING (g)
+  SELECT DISTINCT doc_id, item_id, n, dg.i - bg.i AS origin FROM dg JOIN bg USING (g, k)
 ), aligned AS (
   SELECT p.*, bw.i, dw.word IS NOT NULL AS inside, CAST(coalesce(dw.word = bw.word, false) AS BIGINT) AS equal
   FROM places p JOIN bw USING (item_id) LEFT JOIN dw ON dw.doc_id = p.doc_id AND dw.i = p.origin + bw.i
@@ -239,7 +289,7 @@ WITH d AS (
   SELECT s.doc_id, s.item_id, s.origin, s.i, s.width FROM summed s JOIN summed e
     ON e.doc_id = s.doc_id AND e.item_id = s.item_id AND e.origin = s.origin AND e.i = s.i + s.width - 1
   WHERE e.present - s.present + CAST(s.inside AS BIGINT) = s.width
-    AND e.before - s.before + s.equal >= s.width - s.width // {DIFFERS}
+    AND e.before - s.before + s.equal >= s.width - CASE WHEN s.width < {EXACT_BELOW} THEN 0 ELSE s.width // {DIFFERS} END
 ), spans AS (
   SELECT doc_id, item_id, origin, min(i) AS lo, max(i + width) AS hi FROM windows GROUP BY ALL
 )

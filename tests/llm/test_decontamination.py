@@ -1,7 +1,9 @@
 import itertools
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 from evidora.llm import decontamination as d
 from pyspark.sql import functions as F
 from tests_llm_oracle import check_query
@@ -16,14 +18,15 @@ def test_masks_miss_no_pattern():
         assert any(
             all(start + k not in pattern for k in mask) for mask in d.MASKS for start in range(d.WINDOW - mask[-1])
         )
-    for n in range(d.LEAST_WORDS, d.WINDOW):
+    for n in range(d.EXACT_BELOW, d.WINDOW):
         for pattern in itertools.combinations(range(n), n // d.DIFFERS):
-            assert any(all(start + k not in pattern for k in d.SHORT_MASK) for start in range(n - 2))
+            assert any(all(start + k not in pattern for k in d.SHORT_MASKS[0]) for start in range(n - 2))
 
 
 def brute(docs, items):
     def words(t):
-        return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f«» -⁯]+", (t or "").lower())
+        spaced = re.sub("([\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff])", r" \1 ", (t or "").lower())
+        return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f«»\u2000-\u206f]+", spaced)
 
     out = []
     for doc, text in docs:
@@ -31,15 +34,16 @@ def brute(docs, items):
         for item, item_text in items:
             b = words(item_text)
             n = min(len(b), d.WINDOW)
-            if len(b) < d.LEAST_WORDS:
+            if not b:
                 continue
+            least = n if n < d.EXACT_BELOW else n - n // d.DIFFERS
             for origin in range(-len(b) + 1, len(w)):
                 good = [
                     i
                     for i in range(len(b) - n + 1)
                     if origin + i >= 0
                     and origin + i + n <= len(w)
-                    and sum(w[origin + i + k] == b[i + k] for k in range(n)) >= n - n // d.DIFFERS
+                    and sum(w[origin + i + k] == b[i + k] for k in range(n)) >= least
                 ]
                 if good:
                     lo, hi = good[0], good[-1] + n
@@ -84,3 +88,30 @@ def test_empty(make):
     assert d.overlaps(make([]), item).collect() == [] and d.overlaps(doc, none).collect() == []
     assert d.clean(doc, none).count() == 1 and d.clean(make([]), item).count() == 0
     assert d.clean(doc, item).count() == 0 and d.clean(doc.withColumn("text", F.lit(None).cast("string")), item).count() == 1
+
+
+def test_short_items_and_scripts_without_blanks(make, monkeypatch):
+    items = [(1, "which river runs through rome"), (2, "Tiber"), (3, "the river"), (4, "哪条河流经过罗马城"), (5, "ローマ"), (6, "")]
+    docs = [
+        (1, "He asked: Which river runs through Rome? It is the Tiber, the river of Rome."), (2, "which river runs across rome"),
+        (3, "考试问：哪条河流经过罗马城？答案"), (4, "哪条河流流过罗马城"), (5, "ここはローマです"), (6, None), (7, "the\nriver"),
+    ]
+    want = sorted(brute(docs, items), key=str)
+    assert {(w[0], w[1]) for w in want} == {(1, 1), (1, 2), (1, 3), (3, 4), (4, 4), (5, 5), (7, 3)}
+    got = d.overlaps(make(docs), make(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == want
+    kept = d.clean(make(docs), make(items, "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 5, 6, 7]
+
+
+def test_a_repeated_word_in_both(make, monkeypatch):
+    monkeypatch.setattr(d, "CELLS", 5_000)
+    docs, items = [(1, "na " * 300), (2, "other " + "na " * 40)], [(1, "na " * 60), (2, "na na")]
+    got = d.overlaps(make(docs), make(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(docs, items))
+    long = pa.array(["na " * 20_000])
+    tracemalloc.start()
+    found = d._overlaps(long, d._block(["na " * 300], 0, 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found[0]) == 20_000 + 300 - 2 * d.WINDOW + 1 and peak < 200 << 20
