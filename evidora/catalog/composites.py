@@ -8,15 +8,18 @@ from evidora import constants as K
 from evidora.catalog.aggregates import sentences, sql_sentences
 from evidora.catalog.base import query
 from evidora.catalog.lookups import LANGUAGE_RULES, APPROXIMATE, SQL_NEIGHBOURS, sql_approximate, _SCORED, sql_route, vector_sides
+from evidora.catalog.texts import _SQL_PLANTED, _SQL_REFUSED, planted_answers
 from evidora.catalog.projections import ACCENTED, sql_trim
 from evidora.functions.scores import insufficient, mean_in_order
+from evidora.operators.audit import invented
+from evidora.operators.comparison import side_by_side
 from evidora.operators.metrics import precision_at_k, support_share
 from evidora.operators.routing import with_route
 from evidora.operators.sessions import turn_pairs
 from evidora.operators.vectors import exact_top_k
 from evidora.plans.answer_batch import answer_batch, answer_messages
 from evidora.plans.history import browse_sessions, evidence_cards
-from evidora.plans.evaluation import evaluation_report, measure
+from evidora.plans.evaluation import accuracy_by_groups, evaluation_report, grounding_measures, measure
 from evidora.plans.keyword_evidence import keyword_evidence
 from evidora.plans.vector_evidence import vector_evidence
 
@@ -148,38 +151,88 @@ def _(t):
     )
 
 
-@query(
-    "q3_answer_messages",
-    rf"""WITH {sql_evidence('doc_id')},
+_TRANSLATED = rf"""memory AS (SELECT text AS original, min(concat('who ', turn)) AS translated,
+          arg_min(turn * 10 + 5, concat('who ', turn)) AS latency FROM conversations
+          WHERE role = 'user' AND length(text) > 150 GROUP BY text),
         turns AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations
           WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-        asked AS (SELECT conv_id, turn, {sql_trim('text')} AS query, next_role = 'assistant' AS ok, next_text FROM turns
+        asked AS (SELECT conv_id, turn, {sql_trim('text')} AS query, next_role = 'assistant' AS ok, next_text,
+          CASE WHEN regexp_matches({sql_trim('text')}, '[\x{{00C0}}-\x{{00FF}}]') THEN 'ar' ELSE 'en' END AS lang FROM turns
           WHERE role = 'user'),
-        routed AS (SELECT a.*, {sql_route('query')} AS route FROM asked a)
-        SELECT conv_id, turn, concat('msg_', sha256(concat(conv_id, '|', turn, '|assistant'))) AS id,
+        found AS (SELECT a.*, CASE WHEN lang = 'ar' AND original IS NOT NULL THEN translated ELSE query END AS translated_query,
+          CASE WHEN lang = 'en' THEN 'direct' WHEN original IS NOT NULL THEN 'memory' ELSE 'fallback' END AS model,
+          CASE WHEN lang = 'en' THEN 0 ELSE latency END AS latency FROM asked a LEFT JOIN memory m ON a.query = m.original)"""
+
+
+@query(
+    "q3_answer_messages",
+    rf"""WITH {sql_evidence('doc_id')}, {_TRANSLATED},
+        best AS (SELECT route, lang, text, row_number() OVER (PARTITION BY route, lang ORDER BY score DESC, doc_id::VARCHAR DESC) AS r
+          FROM chunks),
+        sides AS (SELECT route, max(CASE WHEN lang = 'en' AND r = 1 THEN md5(text) END) AS who_stance,
+          max(CASE WHEN lang = 'fr' AND r = 1 THEN md5(text) END) AS nice_stance FROM best GROUP BY route)
+        SELECT conv_id, turn, concat(CASE WHEN ok THEN 'msg_' ELSE 'msg_err_' END, sha256(concat(conv_id, '|', turn, '|assistant'))) AS id,
+        'assistant' AS role,
         md5(CASE WHEN ok THEN next_text ELSE concat('{K.ERROR_OPENING['en']}', '{K.ERROR_CAUSE['en']}') END) AS content,
+        CASE WHEN ok THEN turn * 1000 ELSE 77 END AS timestamp,
+        CASE WHEN ok THEN coalesce(chunk_ids, '') ELSE 'none' END AS citation_ids,
         CASE WHEN ok THEN coalesce(chunk_ids, '') ELSE 'none' END AS chunk_ids,
-        CASE WHEN ok THEN coalesce(mean, 0.0::DOUBLE) < 0.65 ELSE TRUE END AS insufficient,
-        CASE WHEN ok THEN greatest(length(next_text) // 4, 0) ELSE -1 END AS tokens FROM (SELECT conv_id, turn, query,
-          coalesce(ok, FALSE) AS ok, next_text, route FROM routed) q LEFT JOIN records r ON q.route = r.route""",
+        CASE WHEN ok THEN floor(coalesce(mean, 0.0::DOUBLE) * 100 + 0.5) / 100 END AS faithfulness_score,
+        CASE WHEN ok THEN floor(coalesce(mean, 0.0::DOUBLE) * 100 + 0.5) / 100 END AS confidence_score,
+        CASE WHEN ok THEN turn + 25 END AS retrieval_latency_ms, CASE WHEN ok THEN turn + 320 END AS generation_latency_ms,
+        CASE WHEN ok THEN 2 * turn + 345 END AS total_latency_ms,
+        CASE WHEN ok THEN CASE length(next_text) // 4 WHEN 0 THEN 350 ELSE length(next_text) // 4 END END AS tokens_used,
+        CASE WHEN ok THEN 'e' END AS embedding_model, CASE WHEN ok THEN 'm' END AS llm_model,
+        CASE WHEN ok THEN md5(query) END AS original_query, CASE WHEN ok THEN lang END AS detected_lang,
+        CASE WHEN ok THEN md5(translated_query) END AS translated_query, CASE WHEN ok THEN model END AS translation_model,
+        CASE WHEN ok THEN latency END AS translation_latency_ms,
+        CASE WHEN ok THEN coalesce(mean, 0.0::DOUBLE) < 0.65 ELSE TRUE END AS is_insufficient_evidence,
+        CASE WHEN ok THEN who_stance END AS who_stance, CASE WHEN ok THEN nice_stance END AS nice_stance,
+        CASE WHEN ok AND who_stance IS NOT NULL AND nice_stance IS NOT NULL THEN 'both sides' END AS consensus
+        FROM (SELECT * REPLACE (coalesce(ok, FALSE) AS ok), {sql_route('translated_query')} AS route FROM found) q
+        LEFT JOIN records r ON q.route = r.route LEFT JOIN sides s ON q.route = s.route""",
 )
 def _(t):
+    """Every field of an assistant message, also those of questions that failed; texts as digests."""
     questions = t.conversations.filter("role = 'user'")
-    memory = questions.select(F.col("text").alias("original"), F.col("text").alias("translated"))
-    batch = answer_batch(questions, memory, route_chunks(t), "text", translation_model="memory", context_window=8192)
-    none = F.lit(None).cast("bigint")
+    memory = questions.filter("length(text) > 150").select(
+        F.col("text").alias("original"), F.concat(F.lit("who "), F.col("turn").cast("string")).alias("translated"),
+        (F.col("turn") * 10 + 5).alias("latency_ms"),
+    )
+    chunks = route_chunks(t)
+    sides = side_by_side(
+        chunks, "route", "section", {"en": "who_stance", "fr": "nice_stance"}, F.md5("content"), "similarity_score", "id"
+    )
+    consensus = F.when(F.col("both_present"), "both sides").alias("consensus")
+    comparison = sides.select("route", F.struct("who_stance", "nice_stance", consensus).alias("comparison"))
+    batch = answer_batch(
+        questions, memory, chunks, "text", translation_model="memory", context_window=8192, ranges=ACCENTED,
+        comparison=comparison,
+    )
+    turn = F.col("turn").cast("bigint")
     answers = turn_pairs(t.conversations, "conv_id", "turn").filter("answered").select(
         "conv_id", "turn", F.col("next_text").alias("content"),
         F.floor(F.length("next_text") / 4).alias("tokens_used"), F.lit(None).cast("string").alias("error"),
-        none.alias("retrieval_ms"), none.alias("generation_ms"), none.alias("total_ms"),
+        (turn + K.FALLBACK_RETRIEVAL_MS).alias("retrieval_ms"), (turn + K.FALLBACK_GENERATION_MS).alias("generation_ms"),
+        (2 * turn + K.FALLBACK_TOTAL_MS).alias("total_ms"), (turn * 1000).alias("timestamp"),
+    )
+    made = answer_messages(
+        batch, answers, ["conv_id", "turn"], llm_model="m", embedding_model="e", batch_time=F.lit(77)
     )
-    made = answer_messages(batch, answers, ["conv_id", "turn"], llm_model="m", embedding_model="e")
-    ids = F.array_join(F.transform("citations", lambda c: c["id"]), ",")
+
+    def ids(listed):
+        joined = F.coalesce(F.array_join(F.transform(listed, lambda c: c["id"]), ","), F.lit(""))
+        return F.when(F.col("metrics").isNull(), "none").otherwise(joined)
+
     return made.select(
-        "conv_id", "turn", "id", F.md5("content").alias("content"),
-        F.when(F.col("metrics").isNull(), "none").otherwise(F.coalesce(ids, F.lit(""))).alias("chunk_ids"),
-        F.col("is_insufficient_evidence").alias("insufficient"),
-        F.coalesce(F.col("metrics.tokens_used"), F.lit(-1)).alias("tokens"),
+        "conv_id", "turn", "id", "role", F.md5("content").alias("content"), "timestamp",
+        ids("citations").alias("citation_ids"), ids("retrieved_chunks").alias("chunk_ids"), "confidence_score",
+        *(f"metrics.{name}" for name in (
+            "faithfulness_score", "retrieval_latency_ms", "generation_latency_ms", "total_latency_ms", "tokens_used",
+            "embedding_model", "llm_model")),
+        F.md5("translation.original_query").alias("original_query"), "translation.detected_lang",
+        F.md5("translation.translated_query").alias("translated_query"), "translation.translation_model",
+        F.col("translation.latency_ms").alias("translation_latency_ms"), "is_insufficient_evidence", "comparison.*",
     )
 
 
@@ -226,6 +279,45 @@ def _(t):
     )
 
 
+@query(
+    "q4_grounding_rows",
+    f"""WITH a AS (SELECT flagged, {_SQL_REFUSED} AS refused, {' OR '.join(rf"regexp_matches(lower(answer), '\b{p}\b')" for p in K.OVERCERTAIN_PHRASES)} AS certain
+          FROM {_SQL_PLANTED}),
+        lost AS (SELECT s.sentence, d.sentence IS NULL AS invented FROM {sql_sentences('benchmark', 'item_id')} s
+          LEFT JOIN (SELECT DISTINCT sentence FROM {sql_sentences('documents', 'doc_id')}) d ON s.sentence = d.sentence)
+        SELECT 'overcertain_share' AS measure, count(*) AS measured, round(count(*) FILTER (WHERE certain) / count(*)::DOUBLE, 6) AS value FROM a
+        UNION ALL SELECT 'refusal_share', count(*), round(count(*) FILTER (WHERE refused) / count(*)::DOUBLE, 6) FROM a
+        UNION ALL SELECT 'refusal_agreement', count(*), round(count(*) FILTER (WHERE refused = flagged) / count(*)::DOUBLE, 6) FROM a
+        UNION ALL SELECT 'invented_share', count(*), round(count(*) FILTER (WHERE invented) / count(*)::DOUBLE, 6) FROM lost""",
+)
+def _(t):
+    claims = sentences(t.benchmark, "text", "item_id")
+    lost = invented(claims, sentences(t.documents, "text", "doc_id"), ["sentence"])
+    both = claims.select(F.lit(0).alias("lost")).unionByName(lost.select(F.lit(1).alias("lost")))
+    share = F.round(F.try_divide(F.sum("lost"), F.count_if(F.col("lost") == 0)), 6)
+    found = both.agg(F.count_if(F.col("lost") == 0).alias("measured"), share.alias("value"))
+    return evaluation_report(
+        grounding_measures(planted_answers(t), "answer", F.col("flagged")),
+        found.select(F.lit("invented_share").alias("measure"), "measured", "value"),
+    )
+
+
+@query(
+    "q4_accuracy_by_group",
+    """SELECT source, lang, grouping_id(source, lang)::BIGINT AS level, count(*) AS questions,
+        count(*) FILTER (WHERE lang_of = routed) AS matched, round(count(*) FILTER (WHERE lang_of = routed) / count(*)::DOUBLE, 6) AS accuracy
+        FROM (SELECT source, lang, lang AS lang_of, CASE"""
+    + "".join(
+        " WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in r.keywords) + f" THEN '{r.route}'"
+        for r in LANGUAGE_RULES
+    )
+    + " ELSE 'default' END AS routed FROM documents) GROUP BY CUBE (source, lang)",
+)
+def _(t):
+    routed = with_route(t.documents, "text", LANGUAGE_RULES, name="routed").withColumn("expected", F.col("lang"))
+    return accuracy_by_groups(routed, "routed", "expected", ["source", "lang"])
+
+
 @query(
     "h1_browse_sessions",
     """SELECT o_custkey, o_orderkey, o_orderpriority, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey

@@ -16,7 +16,7 @@ from evidora.operators.integrity import (
     owned_by_any,
 )
 from evidora.operators.ranking import top_k_per_group
-from evidora.operators.routing import Rule, expand_sources, routing_accuracy, rules_from_table, with_route
+from evidora.operators.routing import Rule, expand_sources, routing_accuracy, with_route, with_route_from_table
 from evidora.operators.translation import translate
 from evidora.operators.vectors import above_threshold, approx_top_k, exact_top_k, mean_vectors, recall_against
 
@@ -194,7 +194,29 @@ def _(t):
         F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("route"),
         F.concat(F.lit("e"), F.substring(alphabet, F.col("n_nationkey") + 1, F.lit(1)), F.lit("o")).alias("keyword"),
     )
-    return with_route(t.conversations, "text", rules_from_table(rules)).select("conv_id", "turn", "route")
+    return with_route_from_table(t.conversations, "text", rules).select("conv_id", "turn", "route")
+
+
+@query(
+    "j1_router_many_keywords",
+    r"""WITH words AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM benchmark),
+         rules AS (SELECT item_id AS priority, concat('item_', item_id) AS route, word AS keyword FROM words UNION
+           SELECT -1, 'short', substr(word, 1, 2) FROM words WHERE word LIKE 'q%')
+       SELECT doc_id, coalesce(arg_min(route, priority), 'default') AS route
+       FROM documents LEFT JOIN rules ON contains(lower(text), keyword) GROUP BY doc_id""",
+)
+def _(t):
+    """Each word of the test items as a keyword: a table of rules that grows with its source."""
+    words = t.benchmark.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    rules = words.select(
+        F.col("item_id").alias("priority"), F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("route"),
+        F.col("word").alias("keyword"),
+    ).unionByName(
+        words.filter(F.col("word").startswith("q")).select(
+            F.lit(-1).cast("long").alias("priority"), F.lit("short").alias("route"), F.substring("word", 1, 2).alias("keyword")
+        )
+    )
+    return with_route_from_table(t.documents, "text", rules).select("doc_id", "route")
 
 
 _SCORED = "(SELECT *, n_chars / (n_chars + 1000.0::DOUBLE) AS score FROM documents)"

@@ -13,6 +13,7 @@ from evidora.catalog.aggregates import sentences, sql_sentences
 from evidora.catalog.base import query
 from evidora.catalog.projections import ACCENTED
 from evidora.functions.language import detected_language
+from evidora.functions.scores import insufficient
 from evidora.operators.audit import (
     both_occur, cited, conflict_candidates, flag_agreement, invented, language_mismatch, missing_headings,
     normal_page, normal_strength, overcertain, phrase_hits, pregnancy_conflict, rank_tiers, refuses, source_tier, strength_shifts,
@@ -282,6 +283,53 @@ def _(t):
     return flag_agreement(answers, refuses(F.col("answer")), F.col("toxic") == 1)
 
 
+# Answers of each kind are planted by id inside the given texts: a fixed sentence in three spellings, a near miss (a word is
+# left out), and over-certain wording. The flag they are compared with follows from the evidence score alone.
+_PLANTED = [
+    K.REFUSAL_PHRASES[0].capitalize(), K.REFUSAL_PHRASES[1].upper(), K.REFUSAL_PHRASES[2].title(),
+    K.REFUSAL_PHRASES[0].replace(" enough", ""), K.REFUSAL_PHRASES[1].replace(" current", ""), f"This is {K.OVERCERTAIN_PHRASES[0]} so",
+]
+_SQL_PLANTED = (
+    "(SELECT doc_id, lang, n_chars / (n_chars + 1000.0::DOUBLE) < 0.65 AS flagged, CASE doc_id % 9 "
+    + " ".join(f"""WHEN {i} THEN concat(substr(text, 1, 40), ' {p.replace("'", "''")}. ', substr(text, 41))""" for i, p in enumerate(_PLANTED))
+    + " ELSE text END AS answer FROM documents)"
+)
+_SQL_REFUSED = "(" + " OR ".join(
+    f"""contains(lower(answer), '{p.replace("'", "''")}')""" for p in K.REFUSAL_PHRASES
+) + ")"
+
+
+def planted_answers(t):
+    def planted(phrase):
+        return F.concat(F.substring("text", 1, 40), F.lit(f" {phrase}. "), F.substring("text", F.lit(41), F.length("text")))
+
+    answer = F.col("text")
+    for i, phrase in enumerate(_PLANTED):
+        answer = F.when(F.col("doc_id") % 9 == i, planted(phrase)).otherwise(answer)
+    score = F.col("n_chars") / (F.col("n_chars") + F.lit(1000.0))
+    return t.documents.select("doc_id", "lang", insufficient(score).alias("flagged"), answer.alias("answer"))
+
+
+@query(
+    "g4_fixed_refusals",
+    f"""SELECT lang, count(*) AS answers, count(*) FILTER (WHERE {_SQL_REFUSED}) AS refusals,
+        count(*) FILTER (WHERE doc_id % 9 IN (0, 1, 2)) AS planted FROM {_SQL_PLANTED} GROUP BY lang""",
+)
+def _(t):
+    return planted_answers(t).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("answers"), F.count_if(refuses(F.col("answer"))).alias("refusals"),
+        F.count_if((F.col("doc_id") % 9).isin(0, 1, 2)).alias("planted"),
+    )
+
+
+@query(
+    "g5_agreement_with_evidence",
+    f"SELECT {_SQL_REFUSED} AS refused, flagged, count(*) AS answers FROM {_SQL_PLANTED} GROUP BY 1, 2",
+)
+def _(t):
+    return flag_agreement(planted_answers(t), refuses(F.col("answer")), F.col("flagged"))
+
+
 _TIERS = [("src1", 1), ("src2", 2)]
 
 

@@ -11,6 +11,8 @@ from evidora import constants as K
 from evidora.functions.text import fold
 
 WHEN_CHAIN_KEYWORDS = 200
+# Length of the character runs by which keywords of a table meet texts.
+GRAM = 3
 
 
 @dataclass(frozen=True)
@@ -80,6 +82,60 @@ def with_route(
     return folded.withColumn(name, _first_hit(F.col("__folded"), rules, **options)).drop("__folded")
 
 
+def _grams(text: Column) -> Column:
+    """Distinct runs of GRAM characters of a text and all their beginnings, the empty one among them."""
+    # Blanks at the end let the last characters begin a run too; what they add is checked like everything else.
+    whole = F.array_distinct(
+        F.regexp_extract_all(F.concat(text, F.lit(" " * GRAM)), F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    )
+
+    def beginnings(n: int) -> Column:
+        return F.array_distinct(F.transform(whole, lambda g: F.substring(g, 1, n)))
+
+    return F.array_distinct(F.concat(whole, *map(beginnings, range(1, GRAM)), F.array(F.lit(""))))
+
+
+def keyword_keys(rules: DataFrame) -> DataFrame:
+    """The rules with the `gram` by which each keyword is looked up: the run of GRAM characters that the fewest keywords hold.
+
+    Keywords of fewer characters are their own key; rules without a keyword are left out.
+    """
+    words = rules.select(fold(F.col("keyword")).alias("keyword")).where("keyword IS NOT NULL").distinct()
+    runs = F.array_distinct(F.regexp_extract_all("keyword", F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    spread = words.select("keyword", F.explode(F.when(F.length("keyword") < GRAM, F.array("keyword")).otherwise(runs)).alias("gram"))
+    held = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    rarest = spread.join(held, "gram").groupBy("keyword").agg(F.min(F.struct("held", "gram"))["gram"].alias("gram"))
+    named = rules.select("priority", "route", fold(F.col("keyword")).alias("keyword"))
+    return named.groupBy("keyword").agg(F.min(F.struct("priority", "route")).alias("rule")).join(rarest, "keyword")
+
+
+def with_route_from_table(
+    df: DataFrame,
+    text: str,
+    rules: DataFrame,
+    *,
+    name: str = "route",
+    default: str = K.DEFAULT_ROUTE,
+    word_boundary: bool = False,
+) -> DataFrame:
+    """Add the route of a text column by a rule table (priority, route, keyword) of any size.
+
+    The rule of the smallest priority, then route, with a keyword in the folded text wins, as in a chain of its rules. Texts and
+    keywords meet by equality of one character run per keyword; only narrow rows move for that, and the few keywords found
+    for a text are looked for in it when it is joined with them. Equal texts share one list. A null text and a text without a
+    keyword get the default.
+    """
+    keyed = df.withColumns({"__folded": fold(F.col(text)), "__text": F.md5(fold(F.col(text)))})
+    grams = keyed.select("__text", F.explode(_grams(F.col("__folded"))).alias("gram"))
+    found = grams.join(keyword_keys(rules), "gram").groupBy("__text").agg(
+        F.collect_set(F.struct("rule", "keyword")).alias("__found")
+    )
+    hits = F.filter("__found", lambda r: _hit(F.col("__folded"), r["keyword"], word_boundary))
+    best = F.array_min(F.transform(hits, lambda r: r["rule"]))["route"]
+    joined = keyed.join(found, "__text", "left").withColumn(name, F.coalesce(best, F.lit(default)))
+    return joined.drop("__folded", "__text", "__found")
+
+
 def expand_sources(expected: Column, both: str, sources: list[str]) -> Column:
     """One row per named source; the 'both' value stands for all of them."""
     return F.explode(F.when(expected == both, F.array(*[F.lit(s) for s in sources])).otherwise(F.array(expected)))

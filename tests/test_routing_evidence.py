@@ -1,10 +1,15 @@
+import hashlib
+import random
+
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from evidora import constants as K
+from evidora import schemas
 from evidora.functions.text import fold, trim_all
 from evidora.operators.evidence import context_of, evidence_per_route, within_budget
-from evidora.operators.routing import DEFAULT_RULES, Rule, expand_sources, route, routing_accuracy, rules_from_table
+from evidora.operators.routing import DEFAULT_RULES, Rule, expand_sources, route, routing_accuracy, rules_from_table, with_route_from_table
 from evidora.operators.translation import translate
 from evidora.plans.answer_batch import answer_batch, answer_messages
 from evidora.plans.keyword_evidence import keyword_evidence
@@ -162,10 +167,14 @@ def test_answer_messages_with_failures(spark, chunks):
         [(1, "Use it.", 0, None, 5, 6, 11), (2, None, None, "Server error 500", None, None, None)],
         "n int, content string, tokens_used bigint, error string, retrieval_ms bigint, generation_ms bigint, total_ms bigint",
     )
-    rows = {r.n: r for r in answer_messages(batch, answers, ["n"], llm_model="l", embedding_model="e").collect()}
+    made = answer_messages(batch, answers, ["n"], llm_model="l", embedding_model="e", batch_time=F.lit(9))
+    assert made.columns == ["n", *schemas.MESSAGE.names]
+    rows = {r.n: r for r in made.collect()}
     assert rows[1].content == "Use it." and rows[1].metrics.tokens_used == 350 and rows[1].metrics.total_latency_ms == 11
     assert rows[1].confidence_score == 0.96 and not rows[1].is_insufficient_evidence and len(rows[1].citations) == 1
     assert rows[2].content.endswith("query:\nServer error 500") and rows[2].is_insufficient_evidence
+    assert rows[1].id.startswith("msg_") and not rows[1].id.startswith("msg_err_") and rows[1].translation.latency_ms == 0
+    assert rows[2].id.startswith("msg_err_") and rows[2].timestamp == 9 and rows[2].comparison is None
     assert rows[3].content.endswith("Failed to communicate with AI provider.") and rows[3].citations is None
 
 
@@ -198,3 +207,37 @@ def test_blank_term_suggests_nothing(spark):
 def test_domain_constants():
     assert sum(len(words) for _, words in K.ROUTE_KEYWORDS) == 22
     assert K.TOP_K == 4 and K.EVIDENCE_THRESHOLD == 0.65 and K.CHUNK_THRESHOLD == 0.70
+
+
+def test_rule_table_as_a_join(spark):
+    rng = random.Random(4)
+    letters = "abé ?.\n"
+
+    def some(n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    words = [(rng.randint(1, 9), f"r{rng.randint(1, 30)}", some(rng.randint(1, 6)).upper()) for _ in range(60)]
+    words += [(5, "none", None), (8, "z", "zz"), (8, "y", "ZZ")]
+    texts = [(i % 40, some(rng.randint(0, 12))) for i in range(200)] + [(1, None), (1, ""), (2, "x zZ"), (2, "x zZ")]
+    rules = spark.createDataFrame(words, "priority int, route string, keyword string")
+    df = spark.createDataFrame(texts, "n int, t string").repartition(4)
+
+    def wanted(text, table):
+        hits = [(p, r) for p, r, k in table if k is not None and text is not None and k.lower() in text.lower()]
+        return min(hits)[1] if hits else K.DEFAULT_ROUTE
+
+    for table in (words, [*words, (10, "all", "")], []):
+        known = spark.createDataFrame(table, rules.schema)
+        got = with_route_from_table(df, "t", known).collect()
+        assert sorted(map(str, got)) == sorted(str(Row(n=n, t=t, route=wanted(t, table))) for n, t in texts)
+    chain = df.select("n", "t", route(F.col("t"), rules_from_table(rules.filter("keyword IS NOT NULL"))).alias("route"))
+    assert sorted(map(str, with_route_from_table(df, "t", rules).collect())) == sorted(map(str, chain.collect()))
+
+
+def test_hundred_thousand_keywords(spark):
+    rules = spark.range(100_000).selectExpr("id AS priority", "'r' || id AS route", "md5(string(id)) AS keyword")
+    df = spark.createDataFrame([(1, "x" + hashlib.md5(b"77777").hexdigest() + "y"), (2, "no keyword"), (3, None)], "n int, t string")
+    routed = with_route_from_table(df, "t", rules)
+    plan = routed._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {r.n: r.route for r in routed.collect()} == {1: "r77777", 2: K.DEFAULT_ROUTE, 3: K.DEFAULT_ROUTE}
