@@ -150,16 +150,18 @@ def touch(df: DataFrame, changed: Column, updated: str, batch_time: Column) -> D
 
 def new_profiles(users: DataFrame, profiles: DataFrame, batch_time: Column, *, delimiter: str = "@") -> DataFrame:
     """One profile per user that has none: users (id, email, full_name, avatar_url)."""
-    return (
-        users.join(profiles.select("id"), "id", "left_anti")
-        .dropDuplicates(["id"])
-        .select(
-            "id",
-            "email",
-            profile_name(F.col("full_name"), F.col("email"), delimiter=delimiter).alias("full_name"),
-            "avatar_url",
-            F.lit(K.DEFAULT_CLINICAL_ROLE).alias("clinical_role"),
-            batch_time.alias("created_at"),
-            batch_time.alias("updated_at"),
-        )
+    without = users.join(profiles.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    return profile_rows(without, batch_time, delimiter=delimiter)
+
+
+def profile_rows(users: DataFrame, batch_time: Column, *, delimiter: str = "@") -> DataFrame:
+    """The profile of each row of users (id, email, full_name, avatar_url)."""
+    return users.select(
+        "id",
+        "email",
+        profile_name(F.col("full_name"), F.col("email"), delimiter=delimiter).alias("full_name"),
+        "avatar_url",
+        F.lit(K.DEFAULT_CLINICAL_ROLE).alias("clinical_role"),
+        batch_time.alias("created_at"),
+        batch_time.alias("updated_at"),
     )

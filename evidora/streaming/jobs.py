@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from evidora.functions.language import detected_language
 from evidora.operators.routing import DEFAULT_RULES, Rule, with_route
-from evidora.operators.sessions import merge_deltas, message_deltas, new_profiles
-from evidora.session import scratch_path
+from evidora.operators.sessions import merge_deltas, message_deltas, profile_rows
 from evidora.sources.tables import read_or_empty
 from evidora.schemas import PROFILE
 from evidora.streaming.sources import run_to_end
@@ -85,19 +84,17 @@ def profiles_for_new_users(
 ) -> DataFrame:
     """Insert one profile per new user: stream of (id, email, full_name, avatar_url).
 
-    Rows of the batch itself are left out of the lookup, so a repeated batch writes the same rows.
+    The users seen so far are keyed state of the stream, partitioned by id and kept in its checkpoint; profiles written
+    earlier are never read. Of several rows of a user the first to arrive counts; rows without an id make no profile. Each
+    micro-batch is written once, under its number, so a repeated batch replaces itself.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = read_or_empty(spark, f"{path}/batch=*", PROFILE)
-        earlier = known.filter(~F.input_file_name().contains(f"/batch={batch_id}/")).select("id")
-        target = scratch_path(spark, "profiles")
-        new_profiles(batch, earlier, batch_time, delimiter=delimiter).write.parquet(target)
-        spark.read.schema(PROFILE).parquet(target).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        profile_rows(batch, batch_time, delimiter=delimiter).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    run_to_end(stream.writeStream.foreachBatch(save).outputMode("append"), checkpoint)
-    return stream.sparkSession.read.schema(PROFILE).parquet(f"{path}/batch=*")
+    first = stream.where(F.col("id").isNotNull()).dropDuplicates(["id"])
+    run_to_end(first.writeStream.foreachBatch(save).outputMode("append"), checkpoint)
+    return read_or_empty(stream.sparkSession, f"{path}/batch=*", PROFILE)
 
 
 def route_and_tag(

@@ -90,6 +90,19 @@ def test_profiles_are_made_once(spark, feed, tmp_path):
     assert again.count() == 3
 
 
+def test_profiles_after_a_restart_without_reading_earlier_ones(spark, feed, tmp_path):
+    schema = "id string, email string, full_name string, avatar_url string"
+    stamp = F.lit("2024-01-01").cast("timestamp")
+    checkpoint = str(tmp_path / "cp")
+    stream = feed([[("1", "ann@x", None, None), (None, "none@x", None, None)]], schema)
+    first = profiles_for_new_users(stream, stamp, path=str(tmp_path / "one"), checkpoint=checkpoint)
+    assert [r.id for r in first.collect()] == ["1"]
+    late = spark.createDataFrame([("1", "ann@x", "Late", None), ("2", "bob@x", None, None)], schema)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    second = profiles_for_new_users(stream, stamp, path=str(tmp_path / "two"), checkpoint=checkpoint)
+    assert [(r.id, r.full_name) for r in second.collect()] == [("2", "bob")]
+
+
 def test_routing_is_stateless_and_restarts(spark, feed, tmp_path):
     stream = route_and_tag(feed([[("which statin",)], [("who?",)]], "q string"), "q")
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
