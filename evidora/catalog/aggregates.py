@@ -23,6 +23,8 @@ from evidora.operators.sessions import (
     session_summary, touch, turn_pairs, upsert_sessions,
 )
 from evidora.operators.vectors import above_threshold, exact_top_k
+from evidora.session import scratch_path
+from evidora.sources.buckets import change_bucket_table, create_bucket_table, read_bucket_table
 
 BATCH_TIME = "1999-01-01 00:00:00"
 
@@ -446,9 +448,7 @@ def _(t):
 # ---- table changes
 
 
-@query(
-    "c1_session_upsert",
-    f"""WITH old AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE '{K.DEFAULT_TITLE}' END AS title,
+_UPSERTED = f"""WITH old AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE '{K.DEFAULT_TITLE}' END AS title,
           0::BIGINT AS updated_at, 0::BIGINT AS messages FROM orders),
         new AS (SELECT conv_id * 2 AS id, count(*) AS messages, max(turn) AS last_at,
           arg_min(text, turn) FILTER (WHERE role = 'user') AS t FROM conversations GROUP BY conv_id)
@@ -456,16 +456,33 @@ def _(t):
           AND t <> '' THEN CASE WHEN length(t) > 38 THEN concat(substr(t, 1, 38), '...') ELSE t END
           ELSE coalesce(title, '{K.DEFAULT_TITLE}') END AS title,
         coalesce(last_at, updated_at) AS updated_at, coalesce(new.messages, old.messages) AS messages
-        FROM old FULL OUTER JOIN new ON old.id = new.id""",
-)
+        FROM old FULL OUTER JOIN new ON old.id = new.id"""
+
+
+@query("c1_session_upsert", _UPSERTED)
 def _(t):
+    deltas = message_deltas(t.conversations.withColumn("id", F.col("conv_id") * 2), "id", "turn")
+    return upsert_sessions(_order_sessions(t), deltas, "id")
+
+
+def _order_sessions(t):
     title = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise(K.DEFAULT_TITLE)
     zero = F.lit(0).cast("bigint")
-    sessions = t.orders.select(
+    return t.orders.select(
         F.col("o_orderkey").alias("id"), title.alias("title"), zero.alias("updated_at"), zero.alias("messages")
     )
-    deltas = message_deltas(t.conversations.withColumn("id", F.col("conv_id") * 2), "id", "turn")
-    return upsert_sessions(sessions, deltas, "id")
+
+
+@query("c1_upsert_in_buckets", _UPSERTED)
+def _(t):
+    """Two upserts, of the users' messages and then of all, each rewriting only the buckets that hold its sessions."""
+    sessions, path = _order_sessions(t), scratch_path(t.spark, "session-buckets")
+    create_bucket_table(sessions, path, "id", 16)
+    messages = t.conversations.withColumn("id", F.col("conv_id") * 2)
+    for batch in (messages.filter(F.col("role") == "user"), messages):
+        deltas = message_deltas(batch, "id", "turn")
+        change_bucket_table(path, sessions.schema, deltas, "id", 16, lambda old, new: upsert_sessions(old, new, "id"))
+    return read_bucket_table(t.spark, path, sessions.schema)
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from evidora.operators.sessions import session_summary
 from evidora.session import scratch_path
 from evidora.sources.settings import overlay
 from evidora.sources.tables import (
-    append_messages, messages_of, read_sessions, read_table, rejected_sessions, session_fragments, with_defaults, write_sessions,
+    append_messages, messages_of, read_sessions, read_table, rejected_sessions, session_fragments, with_defaults,
+    write_bucketed, write_sessions,
 )
 
 
@@ -195,6 +198,26 @@ def _(t):
     return back.select("id", "user_id", "title", "pinned", F.unix_millis("created_at").alias("created_ms"))
 
 
+@query(
+    "s9_bucketed_sessions",
+    """SELECT o_orderkey AS session_id, o_orderpriority AS title, count(l_orderkey) AS messages, max(l_linenumber)::BIGINT AS last_position
+       FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""",
+)
+def _(t):
+    """Sessions with the number of their messages, from two tables in the same buckets."""
+    sessions = t.orders.select(F.col("o_orderkey").alias("session_id"), F.col("o_orderpriority").alias("title"))
+    messages = t.lineitem.select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").cast("bigint").alias("position"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = scratch_path(t.spark, "bucketed")
+    stored = write_bucketed(sessions, f"{name}_sessions", "session_id", [], 8, path=f"{path}/sessions")
+    of_session = write_bucketed(messages, f"{name}_messages", "session_id", ["position"], 8, path=f"{path}/messages")
+    counted = of_session.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("messages"), F.max("position").alias("last_position")
+    )
+    joined = stored.join(counted, "session_id", "left")
+    return joined.withColumn("messages", F.coalesce("messages", F.lit(0).cast("bigint")))
+
+
 @query(
     "s9_message_table",
     """SELECT concat(conv_id, '-', turn) AS id, CAST(conv_id AS VARCHAR) AS session_id, role, '[]' AS citations,

@@ -73,9 +73,17 @@ def append_messages(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, sort: list[str], buckets: int) -> None:
-    """Messages laid out by session, so joins and groupings on the session need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *sort).format("parquet").saveAsTable(table)
+def write_bucketed(
+    df: DataFrame, table: str, key: str, sort: list[str], buckets: int, *, path: str | None = None
+) -> DataFrame:
+    """Rows laid out by key, so joins and groupings on it need no shuffle; gives the table.
+
+    Rows are dealt by the hash that also numbers the buckets, so a bucket is one file. Tables that are joined need the same
+    number of buckets. With ``path`` the files lie there and the catalog only knows of them.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *sort).format("parquet")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def messages_of(sessions: DataFrame) -> DataFrame:

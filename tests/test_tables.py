@@ -7,6 +7,7 @@ from evidora import constants as K
 from evidora import schemas
 from evidora.operators import integrity, metrics, sessions
 from evidora.operators.ranking import limit_k, pick_positions, top_k_per_group
+from evidora.sources.buckets import BUCKET, change_bucket_table, create_bucket_table, read_bucket_table
 from evidora.sources.settings import overlay
 from evidora.sources.tables import (
     append_messages, messages_of, read_or_empty, read_sessions, read_table, rejected_sessions, session_fragments, with_defaults,
@@ -68,6 +69,62 @@ def test_append_and_bucketed_layout(spark, tmp_path):
     spark.sql("DROP TABLE bucketed_messages")
 
 
+def test_bucketed_tables_join_and_group_without_exchange(spark, tmp_path):
+    sessions = spark.range(100).select(F.col("id").alias("session_id"))
+    messages = spark.range(1000).select((F.col("id") % 90).alias("session_id"), F.col("id").alias("position"))
+    stored = write_bucketed(sessions, "plan_sessions", "session_id", [], 4, path=str(tmp_path / "s"))
+    of_session = write_bucketed(messages, "plan_messages", "session_id", ["position"], 4, path=str(tmp_path / "m"))
+    assert len(list((tmp_path / "m").glob("*.parquet"))) == 4
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = stored.join(of_session.groupBy("session_id").count(), "session_id", "left")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        rows = {r.session_id: r["count"] for r in joined.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(rows) == 100 and rows[5] == 12 and rows[95] is None
+    for name in ("plan_sessions", "plan_messages"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def bucket_files(path):
+    return {p.parent.name: p.name for p in path.glob(f"{BUCKET}=*/*.parquet")}
+
+
+def test_changes_rewrite_only_their_buckets(spark, tmp_path):
+    path, place = tmp_path / "t", str(tmp_path / "t")
+    rows = spark.range(200).select(F.col("id").cast("string").alias("id"), F.lit("old").alias("title"))
+    rows = rows.union(spark.createDataFrame([(None, "no id")], "id string, title string"))
+    create_bucket_table(rows, place, "id", 8)
+    before = bucket_files(path)
+    assert len(before) == 8
+
+    def replace(old, new):
+        return old.join(new, "id", "left_anti").select("id", "title").union(new.select("id", "title"))
+
+    changes = spark.createDataFrame([("7", "new"), ("added", "new")], "id string, title string")
+    touched = {f"{BUCKET}={r[0]}" for r in change_bucket_table(place, rows.schema, changes, "id", 8, replace).collect()}
+    after = bucket_files(path)
+    assert {k for k in before if before[k] != after[k]} == touched and 1 <= len(touched) <= 2
+    change_bucket_table(place, rows.schema, changes, "id", 8, replace)
+    found = read_bucket_table(spark, place, rows.schema)
+    assert found.columns == ["id", "title"] and found.count() == 202
+    assert {r.id for r in found.where("title = 'new'").collect()} == {"7", "added"}
+    kept = bucket_files(path)
+    change_bucket_table(place, rows.schema, changes.limit(0), "id", 8, replace)
+    assert bucket_files(path) == kept
+
+
+def test_buckets_that_lose_all_rows_are_emptied(spark, tmp_path):
+    place = str(tmp_path / "t")
+    rows = spark.range(50).select("id")
+    create_bucket_table(rows, place, "id", 4)
+    doomed = spark.range(49).select("id")
+    change_bucket_table(place, rows.schema, doomed, "id", 4, lambda old, gone: old.join(gone, "id", "left_anti"))
+    assert [r.id for r in read_bucket_table(spark, place, rows.schema).collect()] == [49]
+
+
 def test_table_schemas_and_defaults(spark, tmp_path):
     row = [("m", "s", "u", "user", "text", None, None, None, None, 0.93, None, None)]
     names = [f.name for f in schemas.CHAT_MESSAGE.fields][:-1]
