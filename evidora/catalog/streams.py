@@ -14,11 +14,11 @@ from evidora.session import scratch_path
 from evidora.streaming.jobs import (
     activity_sessions, drop_copies, live_metrics, profiles_for_new_users, route_and_tag, session_state,
 )
-from evidora.streaming.sources import stream_table, to_files, zoned
+from evidora.streaming.sources import stream_table_at, to_files, zoned
 
 
 def stream_of(t, name: str):
-    return stream_table(t.spark, t.folder, getattr(t, name).schema, files=f"{name}.parquet")
+    return stream_table_at(t.spark, f"{t.folder}/{name}.parquet", getattr(t, name).schema)
 
 
 @query(

@@ -19,6 +19,14 @@ def stream_table(
     return reader.parquet(folder)
 
 
+def stream_table_at(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Stream of one table, be it a single file or a folder of files.
+
+    A pattern that only the table's own name fits: Spark takes a plain path to be a folder.
+    """
+    return stream_table(spark, f"{path[:-1]}[{path[-1]}]", schema, files="*")
+
+
 def zoned(df: DataFrame, ts: str) -> DataFrame:
     """Watermarks need a timestamp with zone; zone-less values are read in the session zone (UTC)."""
     return df.withColumn(ts, F.col(ts).cast("timestamp"))

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from evidora.catalog import QUERIES
 from evidora.operators.sessions import merge_deltas, message_deltas
 from evidora.streaming.jobs import (
     activity_sessions, compact_session_state, drop_copies, live_metrics, profiles_for_new_users, read_session_state,
@@ -113,3 +114,16 @@ def test_routing_is_stateless_and_restarts(spark, feed, tmp_path):
         ("which statin", "statins_intensity", "en"), ("who?", "task_shifting_who", "en"),
     }
     assert len(rows) == 2
+
+
+def rows_of_folder_table(spark, tmp_path, name, tables):
+    """Rows of a query over tables that are folders of three files each."""
+    small = "/root/testdata/sf0.001"
+    for table in tables:
+        spark.read.parquet(f"{small}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    return QUERIES[name](spark, str(tmp_path)).collect(), QUERIES[name](spark, small).collect()
+
+
+def test_session_state_of_a_table_in_several_files(spark, tmp_path):
+    got, wanted = rows_of_folder_table(spark, tmp_path, "st1_session_state", ["conversations"])
+    assert wanted and sorted(got) == sorted(wanted)
