@@ -127,3 +127,8 @@ def rows_of_folder_table(spark, tmp_path, name, tables):
 def test_session_state_of_a_table_in_several_files(spark, tmp_path):
     got, wanted = rows_of_folder_table(spark, tmp_path, "st1_session_state", ["conversations"])
     assert wanted and sorted(got) == sorted(wanted)
+
+
+def test_session_upsert_of_a_table_in_several_files(spark, tmp_path):
+    got, wanted = rows_of_folder_table(spark, tmp_path, "st1_session_upsert", ["conversations", "customer"])
+    assert wanted and sorted(got) == sorted(wanted)
