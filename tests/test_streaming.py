@@ -132,3 +132,8 @@ def test_session_state_of_a_table_in_several_files(spark, tmp_path):
 def test_session_upsert_of_a_table_in_several_files(spark, tmp_path):
     got, wanted = rows_of_folder_table(spark, tmp_path, "st1_session_upsert", ["conversations", "customer"])
     assert wanted and sorted(got) == sorted(wanted)
+
+
+def test_stream_routing_of_a_table_in_several_files(spark, tmp_path):
+    got, wanted = rows_of_folder_table(spark, tmp_path, "st6_stream_routing", ["documents"])
+    assert wanted and sorted(got) == sorted(wanted)
