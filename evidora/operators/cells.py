@@ -26,6 +26,8 @@ MOST_CELLS = 4_096
 SAMPLE_BYTES = 32 << 20
 #: Vectors of the sample that play queries when the number of visited cells is chosen.
 SAMPLE_QUERIES = 1_024
+#: Angles of rows to centres that a task holds at once.
+ANGLES = 1 << 20
 #: Scores are rounded to six places and angles are computed; bounds give way by as much.
 _SLACK = 1e-6
 
@@ -101,37 +103,81 @@ def least_angles(matrix: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(matrix @ points.T, -1.0, 1.0))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a matrix of `width` columns for their rows stays within ANGLES values."""
+    rows = max(1, ANGLES // max(1, width))
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def place(vectors: DataFrame, points: np.ndarray) -> DataFrame:
     """id, vec, cell and the angle to its centre."""
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                angles = least_angles(unit_rows(batch.column("vec")), points)
-                nearest = angles.argmin(axis=1)
-                columns = [batch.column("id"), batch.column("vec")]
-                columns += [pa.array(nearest.astype(np.int32)), pa.array(angles[np.arange(len(nearest)), nearest])]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "vec", "cell", "angle"])
+        for batch in _slices(batches, len(points)):
+            angles = least_angles(unit_rows(batch.column("vec")), points)
+            nearest = angles.argmin(axis=1)
+            columns = [batch.column("id"), batch.column("vec")]
+            columns += [pa.array(nearest.astype(np.int32)), pa.array(angles[np.arange(len(nearest)), nearest])]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "vec", "cell", "angle"])
 
     schema = T.StructType([vectors.schema["id"], vectors.schema["vec"]]).add("cell", T.IntegerType()).add("angle", T.DoubleType())
     return vectors.select("id", "vec").mapInArrow(cell, schema)
 
 
-def _visits(queries: DataFrame, choose: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], points: np.ndarray) -> DataFrame:
-    """id, vec, cell of all cells chosen: a matrix of flags, queries by cells."""
+@dataclass(frozen=True)
+class Parts:
+    """Runs of whole cells that hold about a block of vectors together; a cell of more than a block is dealt to several parts."""
+
+    low: np.ndarray  # of each part: its first cell, and the one after its last
+    high: np.ndarray
+    first: np.ndarray  # of each cell: its first part, and their number
+    among: np.ndarray
+
+    @staticmethod
+    def of(cells: Cells, block: int) -> Parts:
+        low, high, held = [], [], block + 1
+        first, among = np.zeros(len(cells.points), np.int64), np.ones(len(cells.points), np.int64)
+        for cell, n in enumerate(cells.rows.tolist()):
+            if held + n > block:
+                among[cell] = max(1, -(-n // block))
+                low += [cell] * int(among[cell])
+                high += [cell + 1] * int(among[cell])
+                first[cell], held = len(low) - among[cell], n
+            else:
+                first[cell], high[-1], held = len(low) - 1, cell + 1, held + n
+        return Parts(np.array(low, np.int64), np.array(high, np.int64), first, among)
+
+    def flags(self, chosen: np.ndarray) -> pa.ListArray:
+        """Of each row of a matrix of flags, rows by cells: the parts with a flag, and the flags of their cells as bits."""
+        spans = list(zip(self.low.tolist(), self.high.tolist(), strict=True))
+        met = np.zeros((len(chosen), len(spans)), bool)
+        bits = []
+        for p, (lo, hi) in enumerate(spans):
+            met[:, p] = chosen[:, lo:hi].any(axis=1)
+            bits.append(np.packbits(chosen[:, lo:hi], axis=1))
+        rows, part = np.nonzero(met)
+        packed = pa.array([bits[p][r].tobytes() for r, p in zip(rows.tolist(), part.tolist(), strict=True)], pa.binary())
+        ends = pa.array(np.concatenate([[0], np.cumsum(met.sum(axis=1))]), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(part.astype(np.int32)), packed], ["part", "cells"]))
+
+
+def _visits(
+    queries: DataFrame, choose: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], points: np.ndarray, parts: Parts
+) -> DataFrame:
+    """id, vec, least of the queries with each part they visit and the cells chosen there, as bits."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                chosen = choose(batch, least_angles(unit_rows(batch.column("vec")), points))
-                ends = np.concatenate([[0], np.cumsum(chosen.sum(axis=1))])
-                lists = pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(np.nonzero(chosen)[1].astype(np.int32))
-                )
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), lists], ["id", "vec", "cells"])
+        for batch in _slices(batches, len(points)):
+            chosen = choose(batch, least_angles(unit_rows(batch.column("vec")), points))
+            columns = [batch.column(c) for c in ("id", "vec", "least")] + [parts.flags(chosen)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "vec", "least", "visits"])
 
-    schema = T.StructType([queries.schema["id"], queries.schema["vec"]]).add("cells", T.ArrayType(T.IntegerType()))
-    return queries.mapInArrow(visit, schema).select("id", "vec", F.explode("cells").alias("cell"))
+    known = queries.select("id", "vec", "least")
+    visits = T.ArrayType(T.StructType().add("part", T.IntegerType()).add("cells", T.BinaryType()))
+    schema = T.StructType([*known.schema.fields]).add("visits", visits)
+    return known.mapInArrow(visit, schema).select("id", "vec", "least", F.inline("visits"))
 
 
 def _nearest(angles: np.ndarray, probes: int) -> np.ndarray:
@@ -140,21 +186,22 @@ def _nearest(angles: np.ndarray, probes: int) -> np.ndarray:
     return chosen
 
 
-def nearest_cells(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
+def nearest_cells(queries: DataFrame, cells: Cells, parts: Parts, probes: int) -> DataFrame:
     """Visits of queries (id, vec) to their nearest cells."""
-    return _visits(queries.select("id", "vec"), lambda batch, angles: _nearest(angles, probes), cells.points)
+    unbounded = queries.select("id", "vec", F.lit(None).cast("double").alias("least"))
+    return _visits(unbounded, lambda batch, angles: _nearest(angles, probes), cells.points, parts)
 
 
-def reaching_cells(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
-    """Visits of queries (id, vec, least) to all cells but the nearest ones that may hold a score of `least` (null: any)."""
+def reaching_cells(queries: DataFrame, cells: Cells, parts: Parts) -> DataFrame:
+    """Visits of queries (id, vec, least) to all cells that may hold a score of `least` (null: any)."""
     widest, held = cells.widest, cells.rows > 0
 
     def choose(batch: pa.RecordBatch, angles: np.ndarray) -> np.ndarray:
         least = batch.column("least").fill_null(-2.0).to_numpy(zero_copy_only=False)
         highest = np.cos(np.maximum(angles - widest - 1e-9, 0.0)) + _SLACK
-        return (highest >= least[:, None]) & held & ~_nearest(angles, probes)
+        return (highest >= least[:, None]) & held
 
-    return _visits(queries.select("id", "vec", "least"), choose, cells.points)
+    return _visits(queries, choose, cells.points, parts)
 
 
 def probes_for(sample: np.ndarray, points: np.ndarray, k: int, recall: float) -> int:
@@ -171,10 +218,3 @@ def probes_for(sample: np.ndarray, points: np.ndarray, k: int, recall: float) ->
     visit = np.take_along_axis(place_of, cell[found], axis=1).ravel()
     reached = np.cumsum(np.bincount(visit, minlength=len(points))) / len(visit)
     return 1 + int(np.searchsorted(reached, recall))
-
-
-def in_bounded_parts(visits: DataFrame, cells: Cells, query_block: int, chunk_block: int) -> DataFrame:
-    """cell, q_parts, c_parts of the cells that are visited: into how many parts each side is cut."""
-    asked = visits.groupBy("cell").agg(F.count("*").alias("n")).collect()
-    rows = [(cell, max(1, -(-n // query_block)), max(1, -(-int(cells.rows[cell]) // chunk_block))) for cell, n in asked]
-    return visits.sparkSession.createDataFrame(rows, "cell int, q_parts int, c_parts int")

@@ -8,7 +8,8 @@ query's k-th best score is skipped.
 * few queries: their matrix (size checked) is broadcast and chunks are scanned where they lie, each batch cut into blocks
   around reference points taken from the queries;
 * many queries: an inverted file (`operators/cells.py`). Every query looks into its nearest cell first; the k-th score found
-  there decides which other cells it has to visit;
+  there decides which cells it has to visit. Cells lie together in parts of a block of chunks each, and a query goes to a part
+  once, with a bit for each cell: vectors move once for each pair of blocks, however many cells there are;
 * approximate: the same inverted file with a fixed number of cells for each query.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidora.operators.cells import (
-    Cells, fit_cells, in_bounded_parts, least_angles, nearest_cells, number_of_cells, place, probes_for, reaching_cells, sample_of, unit_rows,
+    Cells, Parts, fit_cells, least_angles, nearest_cells, number_of_cells, place, probes_for, reaching_cells, sample_of, unit_rows,
 )
 from evidora.operators.ranking import top_k_per_group
 from evidora.session import written
@@ -34,10 +35,13 @@ from evidora.session import written
 # The task functions travel with the job, so executors do not need this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BROADCAST_BYTES = 64 << 20
-QUERY_BLOCK = 8_192
+#: Queries up to this size go to every task, which holds their best chunks; more of them are cut into blocks like the chunks.
+BROADCAST_BYTES = 1 << 20
+QUERY_BLOCK = 16_384
+#: Smaller blocks of queries, down to so many, where there are too few for this many tasks.
+LEAST_QUERIES, LEAST_TASKS = 1_024, 16
 CHUNK_BLOCK = 32_768
-_TILE_SCORES = 8 << 20
+_TILE_SCORES = 2 << 20
 SCORE_PLACES = 6
 
 
@@ -73,7 +77,7 @@ def best_of_block(
     _same_length(queries, chunks)
     parts = []
     scale = 10.0**SCORE_PLACES
-    # A tile of queries at a time, so that the score matrix stays within 64 MB.
+    # A tile of queries at a time, so that the score matrix stays within 16 MB.
     tile = max(1, _TILE_SCORES // max(1, len(chunk_ids)))
     for start in range(0, len(query_ids), tile):
         ids = query_ids[start : start + tile]
@@ -186,36 +190,111 @@ def _scan_with_broadcast(queries: DataFrame, chunks: DataFrame, k: int, exclude_
     return chunks.select("id", "vec").mapInArrow(scan, schema)
 
 
-def _grid(queries: DataFrame, chunks: DataFrame, cell: list[str], k: int, exclude_self: bool, schema) -> DataFrame:
-    """Block search of queries against chunks with equal ``cell`` values; both carry the number of
-    query parts and chunk parts of their cell as ``q_parts`` and ``c_parts``."""
-    placed_queries = queries.withColumn("qp", F.pmod(F.xxhash64("id"), F.col("q_parts")).cast("int")).withColumn(
-        "cp", F.explode(F.sequence(F.lit(0), F.col("c_parts") - 1))
-    )
-    placed_chunks = chunks.withColumn("cp", F.pmod(F.xxhash64("id"), F.col("c_parts")).cast("int")).withColumn(
-        "qp", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1))
-    )
+def best_in_cells(
+    query_ids: np.ndarray,
+    queries: np.ndarray,
+    visits: np.ndarray,
+    least: np.ndarray,
+    chunk_ids: np.ndarray,
+    chunks: np.ndarray,
+    cell: np.ndarray,
+    k: int,
+    exclude_self: bool,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the queries and of the chunks, and scores, of the k best chunks per query in the cells that it visits.
+
+    `visits` has a flag for each query and cell. Only scores of at least `least` count; what a query has found in some cells
+    raises it for the others, so that few scores of a cell are looked at again.
+    """
+    _same_length(queries, chunks)
+    scale = 10.0**SCORE_PLACES
+    floor = least.copy()
+    rank = np.empty(len(chunk_ids), np.int64)
+    rank[np.argsort(chunk_ids, kind="stable")] = np.arange(len(chunk_ids))
+    own = _equal_ids(query_ids, chunk_ids) if exclude_self else None
+    found, pending = [], 0
+    by_cell = np.argsort(cell, kind="stable")
+    for rows in np.split(by_cell, np.flatnonzero(np.diff(cell[by_cell])) + 1):
+        wanted = np.flatnonzero(visits[:, cell[rows[0]]]) if len(rows) else rows
+        # A tile of queries at a time, so that the score matrix stays small.
+        tile = max(1, _TILE_SCORES // max(1, len(rows)))
+        block = chunks[rows].T
+        for start in range(0, len(wanted), tile):
+            asked = wanted[start : start + tile]
+            scores = queries[asked] @ block
+            if own is not None:
+                _strike(scores, own, asked, rows)
+            border = floor[asked]
+            if len(rows) > k and (border == -np.inf).any():
+                border = np.maximum(border, np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k])
+            at, to = np.nonzero(scores >= (border - _SLACK)[:, None])
+            score = scores[at, to]
+            at, to, score = asked[at], rows[to], np.floor(score * scale + 0.5) / scale
+            part = [x[(score > -np.inf) & (score >= floor[at])] for x in (at, to, score)]
+            if len(part[0]) > 8 * k * len(asked):  # many copies
+                part = _k_best(*part, rank, k)
+            found.append(part)
+            pending += len(part[0])
+            if pending > 4 * k * len(queries):
+                found = [_k_best(*map(np.concatenate, zip(*found, strict=True)), rank, k)]
+                held, pending = found[0], 0
+                full = np.flatnonzero(np.bincount(held[0], minlength=len(queries)) >= k)
+                floor[full] = np.maximum(floor[full], held[2][np.searchsorted(held[0], full, side="right") - 1])
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return _k_best(*map(np.concatenate, zip(*found, strict=True)), rank, k)
+
+
+def _k_best(query: np.ndarray, chunk: np.ndarray, score: np.ndarray, rank: np.ndarray, k: int):
+    """The k first chunks of each query by falling score, then rank; in the order of the queries."""
+    order = np.lexsort((rank[chunk], -score, query))
+    query = query[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    kept = order[place < k]
+    return query[place < k], chunk[kept], score[kept]
+
+
+def _equal_ids(query_ids: np.ndarray, chunk_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the queries and of the chunks of equal ids."""
+    sides = [pd.DataFrame({"id": ids, "row": np.arange(len(ids))}) for ids in (query_ids, chunk_ids)]
+    same = sides[0].merge(sides[1], on="id")
+    return same["row_x"].to_numpy(), same["row_y"].to_numpy()
+
+
+def _strike(scores: np.ndarray, own: tuple[np.ndarray, np.ndarray], asked: np.ndarray, rows: np.ndarray) -> None:
+    """Take a query's own chunk out of the scores of the rows `asked` against the chunks `rows`, both ascending."""
+    at, to = np.searchsorted(asked, own[0]).clip(0, len(asked) - 1), np.searchsorted(rows, own[1]).clip(0, len(rows) - 1)
+    here = (asked[at] == own[0]) & (rows[to] == own[1])
+    scores[at[here], to[here]] = -np.inf
+
+
+def _grid(queries: DataFrame, chunks: DataFrame, parts: Parts, k: int, exclude_self: bool, schema) -> DataFrame:
+    """Block search of queries (part, qp, id, vec, least, cells) against chunks (part, qp, id, vec, cell) of equal part and qp."""
+    low, high = parts.low, parts.high
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         query_ids, chunk_ids = ids_of(left["id"]), ids_of(right["id"])
+        query, chunk, score = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if len(query_ids) and len(chunk_ids):
-            best = best_of_block(
-                query_ids, unit_rows(left["vec"]), chunk_ids, unit_rows(right["vec"]), k, exclude_self
+            part = left["part"][0].as_py()
+            bits = np.frombuffer(b"".join(left["cells"].to_pylist()), np.uint8).reshape(len(query_ids), -1)
+            visits = np.unpackbits(bits, axis=1, count=int(high[part] - low[part])).astype(bool)
+            query, chunk, score = best_in_cells(
+                query_ids, unit_rows(left["vec"]), visits, left["least"].fill_null(-np.inf).to_numpy(),
+                chunk_ids, unit_rows(right["vec"]), right["cell"].to_numpy() - low[part], k, exclude_self,
             )
-        else:
-            best = pd.DataFrame({"query_id": query_ids[:0], "chunk_id": chunk_ids[:0], "score": np.zeros(0)})
         return pa.table(
             {
-                "query_id": pa.array(best["query_id"], left["id"].type),
-                "chunk_id": pa.array(best["chunk_id"], right["id"].type),
-                "score": pa.array(best["score"], pa.float64()),
+                "query_id": pa.array(query_ids[query], left["id"].type),
+                "chunk_id": pa.array(chunk_ids[chunk], right["id"].type),
+                "score": pa.array(score, pa.float64()),
             }
         )
 
-    keys = [*cell, "qp", "cp"]
+    keys = ["part", "qp"]
     return (
-        placed_queries.select(*keys, "id", "vec").groupBy(*keys)
-        .cogroup(placed_chunks.select(*keys, "id", "vec").groupBy(*keys))
+        queries.select(*keys, "id", "vec", "least", "cells").groupBy(*keys)
+        .cogroup(chunks.select(*keys, "id", "vec", "cell").groupBy(*keys))
         .applyInArrow(search, schema)
     )
 
@@ -254,12 +333,12 @@ def exact_top_k(
         return _final(_scan_with_broadcast(q, c, k, exclude_self, schema), k)
     rows, sample = sample_of(c)
     cells, placed = _placed(c, sample, number_of_cells(rows), 8)
-    first = _in_cells(q, nearest_cells(q, cells, 1), placed, cells, k, exclude_self, schema, query_block, chunk_block)
-    first = written(_final(first, k), "nearest")
-    least = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-    bounded = q.join(least, "id", "left")
-    rest = _in_cells(q, reaching_cells(bounded, cells, 1), placed, cells, k, exclude_self, schema, query_block, chunk_block)
-    return _final(first.select(*schema.names).unionByName(rest), k)
+    parts = Parts.of(cells, chunk_block)
+    first = _in_cells(nearest_cells(q, cells, parts, 1), placed, parts, k, exclude_self, schema, query_block)
+    # Narrow rows: the k-th score found in the nearest cell bounds what is looked for in the others.
+    first = written(_final(first, k).filter(F.col("rank") == k).select("query_id", "score"), "nearest")
+    bounded = q.join(first.select(F.col("query_id").alias("id"), F.col("score").alias("least")), "id", "left")
+    return _final(_in_cells(reaching_cells(bounded, cells, parts), placed, parts, k, exclude_self, schema, query_block), k)
 
 
 def _placed(chunks: DataFrame, sample: np.ndarray, cells: int, rounds: int) -> tuple[Cells, DataFrame]:
@@ -270,19 +349,23 @@ def _placed(chunks: DataFrame, sample: np.ndarray, cells: int, rounds: int) -> t
 
 
 def _in_cells(
-    queries: DataFrame,
-    visits: DataFrame,
-    placed: DataFrame,
-    cells: Cells,
-    k: int,
-    exclude_self: bool,
-    schema,
-    query_block: int,
-    chunk_block: int,
+    visits: DataFrame, placed: DataFrame, parts: Parts, k: int, exclude_self: bool, schema, query_block: int
 ) -> DataFrame:
-    """The k best chunks of each query in each of the cells that it visits (id, vec, cell)."""
-    parts = in_bounded_parts(visits, cells, query_block, chunk_block)
-    return _grid(visits.join(parts, "cell"), placed.join(parts, "cell"), ["cell"], k, exclude_self, schema)
+    """The k best chunks of each query in each part that it visits (id, vec, least, part, cells)."""
+    asked = visits.groupBy("part").agg(F.count("*")).collect()
+    session = visits.sparkSession
+    cut = session.createDataFrame(
+        [(part, max(-(-n // query_block), min(LEAST_TASKS, n // LEAST_QUERIES))) for part, n in asked], "part int, q_parts int"
+    )
+    rows = [(cell, int(first), int(among)) for cell, (first, among) in enumerate(zip(parts.first, parts.among, strict=True))]
+    cells = session.createDataFrame(rows, "cell int, first int, among int")
+    # At most a row for each cell, and for each block of chunks.
+    left = visits.join(F.broadcast(cut), "part").withColumn("qp", F.pmod(F.xxhash64("id"), F.col("q_parts")).cast("int"))
+    dealt = placed.join(F.broadcast(cells), "cell").withColumn(
+        "part", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("among"))).cast("int")
+    )
+    right = dealt.join(F.broadcast(cut), "part").withColumn("qp", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
+    return _grid(left, right, parts, k, exclude_self, schema)
 
 
 def approx_top_k(
@@ -325,8 +408,8 @@ def approx_top_k(
         probes = max(1, int(np.ceil(share * len(index.points))))
     if probes is None:
         probes = probes_for(sample, index.points, k, recall)
-    visits = nearest_cells(distinct, index, probes)
-    pairs = _in_cells(distinct, visits, placed, index, wanted, False, schema, query_block, chunk_block)
+    parts = Parts.of(index, chunk_block)
+    pairs = _in_cells(nearest_cells(distinct, index, parts, probes), placed, parts, wanted, False, schema, query_block)
     # Narrow rows, written once: how many were found decides who is searched again.
     best = written(_final(pairs, wanted), "approximate")
     enough = best.filter(F.col("rank") == wanted).select("query_id")

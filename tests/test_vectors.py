@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evidora.operators.cells import Cells, Parts, nearest_cells, place
 from evidora.operators.cells import fit_cells, least_angles, number_of_cells, probes_for
 from evidora.operators.vectors import BlockScan, approx_top_k, exact_top_k, mean_vectors, recall_against, set_aside
 
@@ -191,3 +192,28 @@ def test_empty_sides(spark):
         assert exact_top_k(q, c, 2, broadcast_bytes=limit).count() == 0
         assert exact_top_k(q.limit(0), q.toDF("chunk_id", "chunk_vec"), 2, broadcast_bytes=limit).count() == 0
     assert approx_top_k(q, c, 2).count() == 0
+
+
+def test_queries_move_once_for_a_block_of_chunks_not_for_each_cell(spark):
+    rows = np.random.default_rng(9).standard_normal((400, 8))
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    placed = place(frame(spark, rows, "id", "vec"), fit_cells(unit, 20, rounds=2)).cache()
+    cells = Cells.of(fit_cells(unit, 20, rounds=2), placed)
+    parts = Parts.of(cells, 150)
+    assert all(cells.rows[lo:hi].sum() <= 150 for lo, hi in zip(parts.low, parts.high)) and len(parts.low) < 8
+    visits = nearest_cells(placed, cells, parts, 16).collect()
+    bits = sum(int.from_bytes(v.cells, "big").bit_count() for v in visits)
+    assert bits == 400 * 16 and len(visits) <= 400 * len(parts.low)
+
+
+def test_a_cell_of_more_than_a_block_is_dealt_to_several_parts():
+    parts = Parts.of(Cells(np.zeros((4, 2)), np.array([0, 10, 95, 3]), np.zeros(4)), 30)
+    assert list(zip(parts.low, parts.high)) == [(0, 2), (2, 3), (2, 3), (2, 3), (2, 3), (3, 4)]
+    assert parts.first.tolist() == [0, 0, 1, 5] and parts.among.tolist() == [1, 1, 4, 1]
+
+
+def test_tasks_do_not_hold_all_queries_of_a_self_join(spark):
+    rows = np.random.default_rng(10).standard_normal((2_100, 64))
+    got = exact_top_k(frame(spark, rows, "query_id", "query_vec"), frame(spark, rows, "chunk_id", "chunk_vec"), 2, exclude_self=True)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
+    assert found(got) == brute(rows, rows, 2, exclude_self=True)
