@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from evidora import constants as K
 from evidora.functions.text import fold
 
 WHEN_CHAIN_KEYWORDS = 200
+# Keywords of a rule table that every text is asked for first.
+LEADING_KEYWORDS = 200
 # Length of the character runs by which keywords of a table meet texts.
 GRAM = 3
 
@@ -120,20 +122,43 @@ def with_route_from_table(
 ) -> DataFrame:
     """Add the route of a text column by a rule table (priority, route, keyword) of any size.
 
-    The rule of the smallest priority, then route, with a keyword in the folded text wins, as in a chain of its rules. Texts and
-    keywords meet by equality of one character run per keyword; only narrow rows move for that, and the few keywords found
-    for a text are looked for in it when it is joined with them. Equal texts share one list. A null text and a text without a
-    keyword get the default.
+    The rule of the smallest priority, then route, with a keyword in the folded text wins, as in a chain of its rules. The first
+    LEADING_KEYWORDS in that order are looked for where a text lies: none of the others can win over one of them, so a text that
+    holds one is settled. Only the other texts meet the other keywords, by equality of one character run per keyword; narrow
+    rows move for that, and the few keywords found for a text are looked for in it when it is joined with them. Equal texts
+    share one list. A null text and a text without a keyword get the default.
     """
-    keyed = df.withColumns({"__folded": fold(F.col(text)), "__text": F.md5(fold(F.col(text)))})
-    grams = keyed.select("__text", F.explode(_grams(F.col("__folded"))).alias("gram"))
-    found = grams.join(keyword_keys(rules), "gram").groupBy("__text").agg(
+    named = rules.select("priority", "route", fold(F.col("keyword")).alias("keyword")).where("keyword IS NOT NULL").distinct()
+    leading = named.orderBy("priority", "route", "keyword").limit(LEADING_KEYWORDS + 1).collect()
+    more, leading = len(leading) > LEADING_KEYWORDS, leading[:LEADING_KEYWORDS]
+    keyed = df.withColumn("__folded", fold(F.col(text)))
+    keyed = keyed.withColumn("__hit", _leading_hit(F.col("__folded"), leading, word_boundary))
+    at_once = keyed.withColumn(name, F.coalesce(F.col("__hit.route"), F.lit(default))).drop("__folded", "__hit")
+    if not more:
+        return at_once
+    settled = keyed.filter(F.col("__hit").isNotNull()).withColumn(name, F.coalesce(F.col("__hit.route"), F.lit(default)))
+    others = keyed.filter(F.col("__hit").isNull()).withColumn("__text", F.md5("__folded"))
+    grams = others.select("__text", F.explode(_grams(F.col("__folded"))).alias("gram"))
+    left = named.filter(~F.col("keyword").isin([r["keyword"] for r in leading]))
+    found = grams.join(keyword_keys(left), "gram").groupBy("__text").agg(
         F.collect_set(F.struct("rule", "keyword")).alias("__found")
     )
     hits = F.filter("__found", lambda r: _hit(F.col("__folded"), r["keyword"], word_boundary))
     best = F.array_min(F.transform(hits, lambda r: r["rule"]))["route"]
-    joined = keyed.join(found, "__text", "left").withColumn(name, F.coalesce(best, F.lit(default)))
-    return joined.drop("__folded", "__text", "__found")
+    joined = others.join(found, "__text", "left").withColumn(name, F.coalesce(best, F.lit(default)))
+    return settled.drop("__folded", "__hit").unionByName(joined.drop("__folded", "__hit", "__text", "__found"))
+
+
+def _leading_hit(folded: Column, leading: list[Row], word_boundary: bool) -> Column:
+    """A struct with the route of the first of some ordered rules (priority, route, keyword) that a text holds, else null."""
+    by_rule: dict[tuple, list[str]] = {}
+    for row in leading:
+        by_rule.setdefault((row["priority"], row["route"]), []).append(row["keyword"])
+    chain = F
+    for (_, route_name), words in by_rule.items():
+        hit = F.exists(F.array(*map(F.lit, words)), lambda w: _hit(folded, w, word_boundary))
+        chain = chain.when(hit, F.struct(F.lit(route_name).cast("string").alias("route")))
+    return F.lit(None).cast("struct<route: string>") if chain is F else chain
 
 
 def expand_sources(expected: Column, both: str, sources: list[str]) -> Column:

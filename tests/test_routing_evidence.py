@@ -241,3 +241,22 @@ def test_hundred_thousand_keywords(spark):
     plan = routed._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert {r.n: r.route for r in routed.collect()} == {1: "r77777", 2: K.DEFAULT_ROUTE, 3: K.DEFAULT_ROUTE}
+
+
+def test_texts_that_hold_a_leading_keyword_are_settled_without_a_join(spark):
+    rules = [(n % 7, f"r{n % 7}", f"Key{n:03d}x") for n in range(150)]
+    table = spark.createDataFrame(rules, "priority int, route string, keyword string")
+    texts = [(1, "a KEY003X and key007x"), (2, "nothing"), (3, None), (4, "key006x")]
+    got = with_route_from_table(spark.createDataFrame(texts, "id int, text string"), "text", table)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {r.id: r.route for r in got.collect()} == {1: "r0", 2: "default", 3: "default", 4: "r6"}
+
+
+def test_leading_and_other_keywords_give_the_first_rule(spark):
+    rules = [(n // 2, f"r{n // 2:03d}", f"w{n:03d}.") for n in range(600)] + [(900, "late", "w000."), (5, None, "nul"), (901, "end", "zz")]
+    table = spark.createDataFrame(rules, "priority int, route string, keyword string")
+    texts = [(n, f"w{n:03d}. w{(n * 7) % 600:03d}.") for n in range(600)] + [(1000, "nul zz"), (1001, "zz"), (1002, ""), (1003, None)]
+    got = with_route_from_table(spark.createDataFrame(texts, "id int, text string"), "text", table)
+    want = {n: f"r{min(n, (n * 7) % 600) // 2:03d}" for n in range(600)}
+    assert {r.id: r.route for r in got.collect()} == want | {1000: "default", 1001: "end", 1002: "default", 1003: "default"}
