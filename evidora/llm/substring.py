@@ -26,11 +26,11 @@ from evidora.llm import text as tx
 WINDOW = 20
 SEED = 3
 #: Bytes of text whose equal windows are collapsed before anything is sent.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 #: Share of documents looked at to find common runs, the share of those that makes a run common, and how many are kept.
 SAMPLE, COMMON, COMMON_MOST = 1 / 32, 1 / 500, 1 << 18
 #: Buckets for each shuffle partition, so that one bucket is a small part of a task's memory.
-BUCKETS = 2
+BUCKETS = 4
 
 _TOP = np.uint64(1 << 63)
 

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 from evidora.llm import substring
 
@@ -73,3 +74,10 @@ def test_common_runs_do_not_change_the_result(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(substring, "SAMPLE", 1.0)
     assert {d: v[0] for d, v in digest(substring.substring_dedup(df)).items()} == brute(rows, 20)
+
+
+def test_pieces_are_small_beside_the_memory_of_a_worker():
+    texts = ["word " * 20_000] * 60  # 6 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    pieces = list(substring.tx.text_pieces(iter([batch]), "text", substring.PIECE_BYTES))
+    assert len(pieces) > 1 and sum(p.num_rows for p in pieces) == len(texts)
