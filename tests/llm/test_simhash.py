@@ -240,3 +240,35 @@ def test_large_group_against_jaccard(spark, monkeypatch):
     for i in range(len(rows)):
         for j in range(i):
             assert (got[rows[i][0]] == got[rows[j][0]]) == (find(i) == find(j))
+
+
+def test_candidates_of_a_group_of_half_alike_texts_do_not_grow_with_its_square(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 300)]
+    rows = []
+    for i in range(240):
+        own = list(base)
+        for at in rng.choice(300, 10, replace=False):
+            own[at] = f"changed{i}"
+        rows.append((i, " ".join(own)))
+    made, stored = [], simhash.stored
+
+    def counted(df, name):
+        table, path = stored(df, name)
+        if name == "candidates":
+            made.append(table.count())
+        return table, path
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    kept = {str(r.doc_id) for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == similar(rows)
+    assert sum(made) < 10 * len(rows)
+
+
+def test_fingerprints_by_planes_are_majorities():
+    rng = np.random.default_rng(6)
+    number = np.array([0, 1, 2, 3, 7, 0, 500, 33])
+    hashes = rng.integers(0, 1 << 63, number.sum(), dtype=np.uint64)
+    salts = simhash.tx.mixed(np.arange(1, simhash.SIMILAR_PRINTS + 1))
+    wanted = [simhash._majority(simhash.tx.mixed(hashes ^ salt), number).view(np.uint64) for salt in salts]
+    assert (simhash._majorities(hashes, number) == np.stack(wanted, axis=1)).all()
