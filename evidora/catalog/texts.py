@@ -24,8 +24,9 @@ from evidora.operators.markdown import (
 )
 
 
-def part_pages(t):
-    """A markdown page per part."""
+def part_pages(t, *, dealt: bool = False):
+    """A markdown page per part; if dealt, by key, so that spans of a key meet without another exchange."""
+    parts = t.part.repartition("p_partkey") if dealt else t.part
     size = F.col("p_size").cast("string")
     text = F.concat(
         F.lit("## "), "p_name", F.lit("\n**"), "p_brand", F.lit("**\n- type `"), "p_type", F.lit("` size **"), size,
@@ -33,7 +34,7 @@ def part_pages(t):
         F.lit(" |\n ## not a heading\n"), F.when(F.col("p_size") > 25, F.lit("---\n| tail |\n")).otherwise(F.lit("")),
         F.lit("• "), "p_brand", F.lit("\n### "), "p_type", F.lit("\nplain **"), "p_type", F.lit("** and `"), size, F.lit("`"),
     )
-    return t.part.select("p_partkey", text.alias("text"))
+    return parts.select("p_partkey", text.alias("text"))
 
 
 _PAGES = """(SELECT p_partkey, concat('## ', p_name, E'\\n**', p_brand, E'**\\n- type `', p_type, '` size **', p_size,
@@ -109,7 +110,8 @@ def _(t):
         GROUP BY 1, 2, 3""",
 )
 def _(t):
-    spans = part_pages(t).select("p_partkey", F.inline(inline_spans(F.col("text"))))
+    # Hardly a span repeats in a page: parts are dealt out before their spans, so that no scan task holds those of a whole file.
+    spans = part_pages(t, dealt=True).select("p_partkey", F.inline(inline_spans(F.col("text"))))
     return spans.groupBy("p_partkey", "style", F.col("text").alias("content")).agg(F.count(F.lit(1)).alias("spans"))
 
 

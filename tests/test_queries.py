@@ -38,3 +38,8 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
+
+
+def test_inline_spans_are_made_behind_the_exchange(spark):
+    plan = QUERIES["m4_inline_spans"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
