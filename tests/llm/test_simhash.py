@@ -265,6 +265,45 @@ def test_candidates_of_a_group_of_half_alike_texts_do_not_grow_with_its_square(s
     assert sum(made) < 10 * len(rows)
 
 
+def test_pairs_just_below_the_threshold_are_not_written_one_by_one(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 300)]
+    rows = []
+    for i in range(480):
+        own = list(base)
+        for at in rng.choice(300, 4, replace=False):
+            own[at] = f"changed{i}"
+        rows.append((i, " ".join(own)))
+    made, stored = [], simhash.stored
+
+    def counted(df, name):
+        table, path = stored(df, name)
+        if name in ("candidates", "links"):
+            made.append(table.count())
+        return table, path
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    kept = {str(r.doc_id) for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == similar(rows)
+    print(made)
+    assert sum(made) < 60 * len(rows)
+
+
+def test_blocks_of_a_large_root_and_of_the_rest_find_all_links(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", 3000)
+    monkeypatch.setattr(simhash, "FIRST_CANDIDATES", 1)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 300)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for at in rng.choice(300, 1 if i < 60 else 4, replace=False):
+            own[at] = f"changed{i}"
+        rows.append((i, " ".join(own)))
+    kept = {str(r.doc_id) for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == similar(rows)
+
+
 def test_fingerprints_by_planes_are_majorities():
     rng = np.random.default_rng(6)
     number = np.array([0, 1, 2, 3, 7, 0, 500, 33])
