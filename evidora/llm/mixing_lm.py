@@ -3,8 +3,10 @@
 A text is a sequence of words and one end. A word is spelled byte by byte, each byte as a path in one binary code tree, with a
 blank as its last byte. For every bit several predictors look up how often it was 0 and 1 after a hashed context: the last one
 to five bytes, and the whole beginning of the word, each together with the tree's node. Their log odds are
-refined by what came true at such counts, and combined by weights of a gate (how well known the contexts are), both learned
-online. The frequency of the whole word joins in by a share that is learned too. Inside a document a cache of its earlier words shares in
+refined by what came true at such counts, and combined by weights of a gate (how well known the contexts are). The frequency
+of the whole word joins in by a share. All three are learned from all training words: the refinement from the bit counts
+themselves, the weights by Newton's method, each step of which sums up slopes and curvatures over all words by their counts, and the
+share from a histogram of all words. Inside a document a cache of its earlier words shares in
 the probability, more so the longer the document. The sum of all bits is the score.
 
 Counts cover all training texts. Each piece of the corpus becomes one packed row of its distinct words and word numbers.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +38,13 @@ PIECE_BYTES = 6 << 20
 BUCKETS = 2
 #: Table size of each predictor as a power of two: contexts of 1 to 5 bytes, and the word so far.
 TABLE_BITS = (16, 20, 21, 21, 21, 21)
-#: Bound of the words that weights are learned from, the draws made from them, and their number in one step.
+#: Words that a first guess of the weights is made from, on the driver: the draws made from them, and their number in one step.
 SAMPLE_WORDS, DRAWS, BATCH, STEP, SEED = 32_768, 300_000, 128, 0.1, 13
+#: Weights are fitted until a step gains less than so much for each bit, in so many passes at most. Pull towards the plain weights,
+#: once and for each bit.
+GAIN, PASSES, PULL, BIT_PULL = 1e-5, 6, 1.0, 1e-3
+#: Bins of the histogram of spelling against frequency, for each power of ten.
+RATIO_SCALE = 100
 #: Counts travel and are kept as steps on a scale of powers of two: so many for each power, enough for any 64-bit count.
 COUNT_SCALE, COUNT_CODES = 8, 512
 #: Words spelled at once.
@@ -51,6 +59,10 @@ CACHE, CACHE_HALF = 0.2, 50.0
 _CONTEXTS = len(TABLE_BITS)
 _COUNT_OF = np.round(2 ** (np.arange(COUNT_CODES) / COUNT_SCALE) - 1).astype(np.float32)  # small counts come back exactly
 _OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
+# By step of a count, and again for the count less one.
+_LEFT = np.concatenate([_COUNT_OF, np.maximum(_COUNT_OF - 1, 0)])
+_LOG = np.log(_LEFT + 0.4)
+_STEP = np.ceil(np.log2(_LEFT + 1)).astype(np.int64).clip(0, COUNT_STEPS - 1)
 
 
 @dataclass
@@ -136,16 +148,15 @@ class Model:
     share: float = 1.0  # of the spelling in a word's chance; the word's frequency has the rest
 
     def odds(self, bits: Bits, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs (predictor by bit), their places in the refinement, and gates; `less` of each bit are left uncounted."""
-        n0, n1 = _COUNT_OF[self.zeros[bits.slots]], _COUNT_OF[self.ones[bits.slots]]
+        """Inputs (predictor by bit), their places in the refinement, and gates; with `less` each bit itself is left uncounted."""
+        n0, n1 = self.zeros[bits.slots].astype(np.int32), self.ones[bits.slots].astype(np.int32)
         if less:
-            n0 = np.maximum(n0 - less * (bits.bit == 0), 0)
-            n1 = np.maximum(n1 - less * (bits.bit == 1), 0)
-        steps = np.stack([_steps(n0), _steps(n1)])
-        place = (np.arange(_CONTEXTS)[:, None] * COUNT_STEPS + steps[0]) * COUNT_STEPS + steps[1]
-        inputs = np.log((n1 + 0.4) / (n0 + 0.4)) + self.refined.ravel()[place]
-        five = n0[-2] + n1[-2]
-        gate = _steps(n0[-1] + n1[-1]).clip(0, WORD_GATES - 1) * BYTE_GATES + (five > 0) + (five > OFTEN)
+            n0 += COUNT_CODES * (bits.bit == 0)
+            n1 += COUNT_CODES * (bits.bit == 1)
+        place = (np.arange(_CONTEXTS)[:, None] * COUNT_STEPS + _STEP[n0]) * COUNT_STEPS + _STEP[n1]
+        inputs = _LOG[n1] - _LOG[n0] + self.refined.ravel()[place]
+        five = _LEFT[n0[-2]] + _LEFT[n1[-2]]
+        gate = _steps(_LEFT[n0[-1]] + _LEFT[n1[-1]]).clip(0, WORD_GATES - 1) * BYTE_GATES + (five > 0) + (five > OFTEN)
         return inputs, place, gate
 
     def chances(self, bits: Bits, less: int = 0) -> np.ndarray:
@@ -176,14 +187,21 @@ def _steps(counts: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(counts + 1)).astype(np.int64).clip(0, COUNT_STEPS - 1)
 
 
-def learn(
-    tree: Tree, zeros: np.ndarray, ones: np.ndarray, words: list[bytes], counts: np.ndarray, tokens: int
-) -> Model:
-    """Refinement, weights and share from draws of words by their counts; each draw is left out of its own counts."""
+def plain_weights() -> np.ndarray:
     start = np.zeros((WORD_GATES * BYTE_GATES, _CONTEXTS + 1))
     start[:, -2] = np.repeat(np.linspace(0, 0.9, WORD_GATES), BYTE_GATES)
     start[:, -3] = 0.7 - 0.6 * start[:, -2]
     start[:, -4] = 0.3 - 0.3 * start[:, -2]
+    return start
+
+
+def learn(
+    tree: Tree, zeros: np.ndarray, ones: np.ndarray, words: list[bytes], counts: np.ndarray, tokens: int
+) -> Model:
+    """Refinement, weights and share from draws of words by their counts; each draw is left out of its own counts.
+
+    Where all words are at hand in the tasks, `fitted` goes on from the weights; nothing else is kept."""
+    start = plain_weights()
     shape = (_CONTEXTS, COUNT_STEPS, COUNT_STEPS)
     model = Model(tree, zeros, ones, start, np.zeros(shape))
     if not words:
@@ -216,6 +234,117 @@ def learn(
     return model
 
 
+def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, starts and counts of the training words, some at a time."""
+    for batch in batches:
+        for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            raw, counts = _unpack(words, np.uint8), _unpack(counts, np.int64)
+            starts = _starts(raw)
+            for lo in range(0, len(counts), SPELL_WORDS):
+                some = lo + np.flatnonzero(counts[lo : lo + SPELL_WORDS])
+                size = starts[some + 1] - starts[some]
+                if len(some):
+                    yield raw[tx.ranges(starts[some], size)], np.concatenate([[0], np.cumsum(size)]), counts[some]
+
+
+def _slopes(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Of each gate over a task's training words by their counts: loss, bits, slope and curvature of the weights."""
+    wide = _CONTEXTS + 1
+    sums = np.zeros((WORD_GATES * BYTE_GATES, 2 + wide + wide * wide))
+    for raw, starts, counts in _training(batches):
+        bits = spelled(raw, starts, model.tree)
+        inputs, _, gate = model.odds(bits, 1)
+        p = _logistic(model.mixed(inputs, gate))
+        n = counts[bits.word].astype(float)
+        by = np.argsort(gate.astype(np.uint8), kind="stable")
+        x = np.concatenate([inputs, np.ones((1, len(p)))])[:, by]
+        error, bend, loss = (n * (bits.bit - p))[by], (n * p * (1 - p))[by], (-n * np.log(np.where(bits.bit, p, 1 - p)))[by]
+        n, gate = n[by], gate[by]
+        for lo, hi in zip(*tx.runs(np.diff(gate, prepend=-1) != 0), strict=True):
+            part, own = x[:, lo:hi], sums[gate[lo]]
+            own[0] += loss[lo:hi].sum()
+            own[1] += n[lo:hi].sum()
+            own[2 : 2 + wide] += part @ error[lo:hi]
+            own[2 + wide :] += ((part * bend[lo:hi]) @ part.T).ravel()
+    some = np.flatnonzero(sums[:, 1])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(some.astype(np.int32)), pa.array([sums[g].tobytes() for g in some], pa.binary())], ["gate", "sums"]
+    )
+
+
+def _gate_sums(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist())
+    return pa.table({"gate": table.column("gate")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _ratios(batches: Iterator[pa.RecordBatch], model: Model, tokens: int) -> Iterator[pa.RecordBatch]:
+    """Histogram of a task's training words, by occurrence: logarithm of spelling against frequency, null where that is zero."""
+    n, most = Counter(), 40 * RATIO_SCALE
+    logs = Counter()
+    for raw, starts, counts in _training(batches):
+        spelling = model.word_scores(raw, starts, 1)
+        ratio = spelling - np.log10(np.maximum(counts - 1, 0.5) / tokens)
+        bins = np.where(counts > 1, np.floor(ratio * RATIO_SCALE).clip(-10 * most, most), most + 1).astype(np.int64)
+        value, index = np.unique(bins, return_inverse=True)
+        for v, a, b in zip(value.tolist(), np.bincount(index, counts), np.bincount(index, counts * ratio), strict=True):
+            n[v] += a
+            logs[v] += b
+    bins = sorted(n)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([None if b == most + 1 else b for b in bins], pa.int64()),
+            pa.array([n[b] for b in bins], pa.float64()),
+            pa.array([logs[b] for b in bins], pa.float64()),
+        ],
+        ["bin", "n", "logs"],
+    )
+
+
+def fitted(words: DataFrame, model: Model, tokens: int) -> Model:
+    """The model with weights and share fitted to all training words; `words` has packed `words` and `counts`."""
+    spark = words.sparkSession
+    shared = spark.sparkContext.broadcast((model.tree, model.zeros, model.ones, model.refined))
+
+    def of(weights: np.ndarray) -> Model:
+        tree, zeros, ones, refined = shared.value
+        return Model(tree, zeros, ones, weights, refined)
+
+    plain, wide = plain_weights(), _CONTEXTS + 1
+    # Gates are fitted side by side, each by itself.
+    at, base, step = model.weights, model.weights, np.zeros_like(plain)
+    least, gain = np.full(len(plain), np.inf), np.zeros(len(plain))
+    for _ in range(PASSES):
+        made = words.mapInArrow(lambda batches, at=at: _slopes(batches, of(at)), "gate int, sums binary")
+        sums = np.zeros((len(plain), 2 + wide + wide * wide))
+        for row in made.groupBy("gate").applyInArrow(_gate_sums, "gate int, sums binary").collect():
+            sums[row.gate] = np.frombuffer(bytes(row.sums), np.float64)
+        pull = PULL + BIT_PULL * sums[:, 1]
+        loss = sums[:, 0] + pull / 2 * ((at - plain) ** 2).sum(axis=1)
+        slope = sums[:, 2 : 2 + wide] - pull[:, None] * (at - plain)
+        curve = sums[:, 2 + wide :].reshape(-1, wide, wide) + pull[:, None, None] * np.eye(wide)
+        full = np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+        better = loss <= least
+        step = np.where(better[:, None], full, step / 2)
+        gain = np.where(better, (slope * full).sum(axis=1) / 2, gain)
+        base = np.where(better[:, None], at, base)
+        least = np.where(better, loss, least)
+        at = base + step
+        if gain.sum() <= GAIN * sums[:, 1].sum():
+            break
+    else:
+        at = base
+    at = np.round(at, 6)  # sums of tasks come in any order
+    ratios = words.mapInArrow(lambda batches: _ratios(batches, of(at), tokens), "bin long, n double, logs double")
+    rows = ratios.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("logs").alias("logs")).orderBy("bin").collect()
+    n = np.array([r.n for r in rows])
+    ratio = np.array([np.inf if r.bin is None else 10.0 ** (r.logs / r.n) for r in rows])
+    share = 1.0
+    for _ in range(200):
+        part = share * 0.999
+        share = float(np.average(1 / (1 + (1 - part) / (part * ratio)), weights=n))
+    return Model(model.tree, model.zeros, model.ones, at, model.refined, round(share, 6))
+
+
 def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
@@ -340,9 +469,22 @@ def _tables(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Record
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = sum(_unpack(x, np.int64) for x in table.column("counts").to_pylist())
+    total = sum(_unpack(x, np.int64) for x in table.column("counts").to_pylist()).reshape(2, -1)
     steps = np.round(np.log2(total + 1.0) * COUNT_SCALE).clip(0, COUNT_CODES - 1).astype(np.uint16)
-    return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "counts": pa.array([_pack(steps)], pa.binary())})
+    # What each counted bit would be told without itself, and what it is, by steps of the counts.
+    told = np.zeros((3, COUNT_STEPS * COUNT_STEPS))
+    for bit in (0, 1):
+        n0, n1 = (steps[b].astype(np.int32) + COUNT_CODES * (bit == b) for b in (0, 1))
+        place, n = _STEP[n0] * COUNT_STEPS + _STEP[n1], total[bit].astype(float)
+        for k, weight in enumerate((n * _logistic(_LOG[n1] - _LOG[n0]), n * bit, n)):
+            told[k] += np.bincount(place, weight, told.shape[1])
+    return pa.table(
+        {
+            "block": table.column("block")[:1].cast(pa.int32()),
+            "counts": pa.array([_pack(steps)], pa.binary()),
+            "told": pa.array([_pack(told)], pa.binary()),
+        }
+    )
 
 
 def _samples(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -452,13 +594,20 @@ def scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col:
     narrow = counted.select("words", "counts")
     blocks = narrow.mapInArrow(lambda batches: _tables(batches, tree), "block int, counts binary")
     both = np.zeros((2, int(_OFFSETS[-1])), np.uint16)
-    for row in blocks.groupBy("block").applyInArrow(_add, "block int, counts binary").toLocalIterator():
+    told = np.zeros((_CONTEXTS, 3, COUNT_STEPS * COUNT_STEPS))
+    for row in sorted(blocks.groupBy("block").applyInArrow(_add, "block int, counts binary, told binary").toLocalIterator()):
         part = _unpack(bytes(row["counts"]), np.uint16).reshape(2, -1)
         both[:, row["block"] << 16 : (row["block"] << 16) + part.shape[1]] = part
+        told[np.searchsorted(_OFFSETS, row["block"] << 16, side="right") - 1] += _unpack(bytes(row["told"]), float).reshape(3, -1)
+    said_rate, came_rate = ((x + NO_CHANGE / 2) / (told[:, 2] + NO_CHANGE) for x in (told[:, 0], told[:, 1]))
+    refined = (_logit(came_rate) - _logit(said_rate)).reshape(_CONTEXTS, COUNT_STEPS, COUNT_STEPS)
     each = max(1, SAMPLE_WORDS // buckets)
     sample = sorted((bytes(r.word), r.n) for r in narrow.mapInArrow(lambda b: _samples(b, each), "word binary, n long").collect())
     sample = sample[:: max(1, len(sample) // SAMPLE_WORDS)][:SAMPLE_WORDS]
     model = learn(tree, both[0], both[1], [w for w, _ in sample], np.array([n for _, n in sample], float), whole.tokens)
+    model.refined = refined
+    if whole.tokens:
+        model = fitted(narrow, model, whole.tokens)
     shared, spelt = spark.sparkContext.broadcast(model), model.share
     back = counted.select("words", "counts", "back").mapInArrow(
         lambda batches: _give_back(batches, shared.value), "piece long, place binary, counts binary, scores binary"

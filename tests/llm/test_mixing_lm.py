@@ -93,3 +93,15 @@ def test_counts_beyond_32_bits_do_not_wrap():
         codes = m._unpack(m._add(pa.Table.from_batches([part, part])).column("counts")[0].as_py(), np.uint16)
         steps = max(steps, m._COUNT_OF[codes].max())
     assert 5_000_000_000 <= whole <= 5_000_000_007 and abs(steps / (2 * whole) - 1) < 2 ** (1 / m.COUNT_SCALE) - 1
+
+
+def test_weights_refinement_and_share_come_from_all_words(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = []
+    for words, draws in ((4096, 20_000), (16, 300)):
+        monkeypatch.setattr(m, "SAMPLE_WORDS", words)
+        monkeypatch.setattr(m, "DRAWS", draws)
+        got = m.scores(df, F.col("doc_id") % 10 != 0).collect()
+        found.append({r.doc_id: r.score for r in got})
+    assert len(found[0]) > 100
+    assert all(found[1][d] == pytest.approx(x, rel=1e-3) for d, x in found[0].items())
