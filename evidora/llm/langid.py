@@ -32,6 +32,8 @@ SAMPLE_PASSAGES = 6
 MOST_LANGUAGES = 500
 FEATURE_BITS = 18
 BLOCK = 128
+#: Distinct words of the sample whose features are made at a time.
+PIECE_WORDS = 4096
 #: Words of a passage in the spliced sequences, their mean.
 PASSAGE = 12
 EPOCHS, STEP, DECAY, SEED = 3, 0.3, 1e-6, 11
@@ -68,6 +70,17 @@ def _features(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(features).astype(np.int64), np.concatenate(owners)
 
 
+def _features_by_word(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers, word after word, and how many each word has; made in pieces, so that only the numbers are held whole."""
+    features, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for at in range(0, len(vocabulary), PIECE_WORDS):
+        piece = vocabulary.slice(at, PIECE_WORDS)
+        feature, owner = _features(piece)
+        features.append(feature[np.argsort(owner, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(piece)))
+    return np.concatenate(features), np.concatenate(counts)
+
+
 def _emissions(vocabulary: pa.Array, weights: np.ndarray) -> np.ndarray:
     """Scores of each word for each language, over the root of its number of features."""
     feature, owner = _features(vocabulary)
@@ -85,20 +98,23 @@ def _lettered(vocabulary: pa.Array) -> np.ndarray:
     return total[offsets[1:]] > total[offsets[:-1]]
 
 
-def _sequences(texts: list[list[bytes]], labels: np.ndarray, rng: np.random.Generator, length: int):
-    """Words and labels of sequences spliced from passages of documents, all of one length."""
-    passages = []
-    for words, label in zip(texts, labels, strict=True):
-        at = 0
-        while at < len(words):
-            n = int(rng.geometric(1 / PASSAGE))
-            passages.append((words[at : at + n], label))
-            at += n
-    order = rng.permutation(len(passages))
-    words = [w for i in order for w in passages[i][0]]
-    tags = np.array([passages[i][1] for i in order for _ in passages[i][0]], np.int64)
+def _sequences(first: np.ndarray, labels: np.ndarray, rng: np.random.Generator, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers and labels of sequences spliced from passages of documents, all of one length.
+
+    `first` has each document's words; they stay in their array, as numbers, so that the driver makes no object for each."""
+    starts, sizes, tags = [], [], []
+    for begin, end, label in zip(first[:-1].tolist(), first[1:].tolist(), labels.tolist(), strict=True):
+        while begin < end:
+            n = min(int(rng.geometric(1 / PASSAGE)), end - begin)
+            starts.append(begin)
+            sizes.append(n)
+            tags.append(label)
+            begin += n
+    order = rng.permutation(len(starts))
+    size = np.array(sizes, np.int64)[order]
+    words = tx.ranges(np.array(starts, np.int64)[order], size)
     whole = len(words) // length * length
-    return words[:whole], tags[:whole].reshape(-1, length)
+    return words[:whole], np.repeat(np.array(tags, np.int64)[order], size)[:whole].reshape(-1, length)
 
 
 def fit(texts: list[str], labels: list[str]) -> Field:
@@ -110,20 +126,16 @@ def fit(texts: list[str], labels: list[str]) -> Field:
     rng = np.random.default_rng(SEED)
     number = {name: i for i, name in enumerate(languages)}
     words = tx.words_of(pa.array([t.lower() + " " for t in texts], pa.large_string()))
-    split, flat = np.split(np.arange(len(words)), words.first[1:-1]), words.array().to_pylist()
-    lists = [[flat[i] for i in part] for part in split]
     length, batch = 32, 64
-    sequence, tags = _sequences(lists, np.array([number[x] for x in labels]), rng, length)
+    sequence, tags = _sequences(words.first, np.array([number[x] for x in labels]), rng, length)
     weights = np.zeros((1 << FEATURE_BITS, y))
     squares = np.full(weights.shape, 1e-8)
     trans, trans_squares = np.zeros((y, y)), np.full((y, y), 1e-8)
     if not len(tags):
         return Field(languages, weights.astype(np.float32), np.full((y, y), 1 / y), np.full(y, 1 / y))
-    coded = pa.array(sequence, pa.large_binary()).dictionary_encode()
+    coded = words.array().take(pa.array(sequence)).dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64).reshape(-1, length)
-    feature, owner = _features(coded.dictionary)
-    by = np.argsort(owner, kind="stable")
-    feature, count = feature[by], np.bincount(owner, minlength=len(coded.dictionary))
+    feature, count = _features_by_word(coded.dictionary)
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
     scale = 1 / np.sqrt(count)
     for _ in range(EPOCHS):

@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -107,3 +108,22 @@ def test_features_stay_inside_words():
     a, _ = langid._features(words.codes()[1])
     b, owner = langid._features(tx.words_of(pa.array(["cd ab "])).codes()[1])
     assert sorted(a) == sorted(b) and set(owner) == {0, 1}
+
+
+def test_training_holds_little_on_the_driver():
+    rng = np.random.default_rng(3)
+    signs = rng.integers(97, 123, (60_000, 9)).astype(np.uint8)
+    words = [w.tobytes().decode() for w in signs]
+    texts = [" ".join(words[i : i + 300]) for i in range(0, len(words), 300)]
+    vocabulary = pa.array([f"{w} ".encode() for w in words[:10_000]], pa.large_binary())
+    feature, owner = langid._features(vocabulary)
+    by_word, count = langid._features_by_word(vocabulary)
+    assert np.array_equal(by_word, feature[np.argsort(owner, kind="stable")])
+    assert np.array_equal(count, np.bincount(owner))
+    tracemalloc.start()
+    try:
+        langid.fit(texts, ["en", "de"] * 100)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6

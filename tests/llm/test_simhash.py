@@ -1,3 +1,4 @@
+import importlib
 import re
 from collections import defaultdict
 
@@ -139,6 +140,33 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_spend_no_round_on_what_is_settled(spark, monkeypatch):
+    module = importlib.import_module("evidora.llm.components")
+    made, plain = [], module.stored
+
+    def counted(df, name):
+        made.append(name)
+        return plain(df, name)
+
+    monkeypatch.setattr(module, "stored", counted)
+    stars = [(1, 0), (2, 0), (3, 0), (11, 10), (12, 10), (20, 20)]
+    found = components(spark.createDataFrame(stars, "a long, b long"), "merge").collect()
+    assert sorted(map(tuple, found)) == [(0, 0), (1, 0), (2, 0), (3, 0), (10, 10), (11, 10), (12, 10), (20, 20)]
+    assert len(made) == 2  # the links themselves, and one round
+
+
+def test_components_of_random_links(spark):
+    rng = np.random.default_rng(5)
+    for n, m in ((40, 30), (300, 260)):
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))]
+        want = {x: x for p in pairs for x in p}
+        for _ in range(n):
+            for a, b in pairs:
+                want[a] = want[b] = min(want[a], want[b])
+        found = components(spark.createDataFrame(pairs, "a long, b long"), "merge").collect()
+        assert len(found) == len(want) and {r.node: r.root for r in found} == want
+
+
 def test_texts_with_few_changes_are_similar(spark, monkeypatch):
     rng = np.random.default_rng(8)
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 3000)
